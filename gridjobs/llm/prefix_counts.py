@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,7 +33,8 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixCounter:
     """Counts for all prefixes of texts under one byte-level BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = 2 * KEEP):
+        self.keep = keep
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -44,7 +46,9 @@ class PrefixCounter:
         self.vocab = {raw(s): i for s, i in told["model"]["vocab"].items() if s not in added}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"])
         self.rank: dict[tuple[bytes, bytes], int] = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocab))
+        self.tails: dict[bytes, int] = {}  # the longest entry that ends with these three bytes
+        for token in self.vocab:
+            self.tails[token[-3:]] = max(len(token), self.tails.get(token[-3:], 2))
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         self.words = regex.compile(WORDS).findall
         self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
@@ -66,62 +70,70 @@ class PrefixCounter:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts == [a, b]
 
-    def of_word(self, word: str) -> list[int]:
-        """Counts after each code point of one word."""
-        if (known := self.pieces.get(word)) is not None:
-            return known
-        data, vocab, apart = word.encode("utf-8", "surrogatepass"), self.vocab, self.apart
-        last, count = [b""], [0]
-        for i in range(1, len(data) + 1):
-            for at in range(max(0, i - self.longest), i):
-                token = data[at:i]
-                if token in vocab:
-                    if at:
+    def learn_words(self, words: set[str]) -> None:
+        """Counts after each code point of every word; in sorted order, words share their beginnings."""
+        vocab, apart, tails = self.vocab, self.apart, self.tails
+        before, last, count = b"", [b""], [0]
+        for data, word in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            same = 0
+            for x, y in zip(data, before):
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :], count[same + 1 :]
+            for i in range(same + 1, len(data) + 1):
+                at = max(0, i - tails.get(data[i - 3 : i], 2)) if i > 2 else 0
+                while True:
+                    token = data[at:i]
+                    if token in vocab:
+                        if not at:
+                            break
                         pair = (last[at], token)
                         ok = apart.get(pair)
                         if ok is None:
                             ok = apart[pair] = self.stay_apart(*pair)
-                        if not ok:
-                            continue
-                    last.append(token)
-                    count.append(count[at] + 1)
-                    break
-        if len(data) == len(word):
-            out = count[1:]
-        else:
-            out, end = [], 0
-            for c in word:
-                end += len(c.encode("utf-8", "surrogatepass"))
-                out.append(count[end])
-        if len(word) < 64:
-            self.pieces[word] = out
-        return out
+                        if ok:
+                            break
+                    at += 1
+                last.append(token)
+                count.append(count[at] + 1)
+            before = data
+            if len(data) == len(word):
+                self.pieces[word] = count[1:]
+            else:
+                ends = accumulate(len(c.encode("utf-8", "surrogatepass")) for c in word)
+                self.pieces[word] = [count[e] for e in ends]
+
+    def parts(self, chunk: str) -> tuple[int, list[str]]:
+        """Length of the leading white space, and the words of the whole chunk."""
+        lead = self.lead(chunk).end()
+        return lead, self.words(chunk) if lead < len(chunk) else []
 
-    def of_chunk(self, chunk: str) -> list[int]:
+    def of_chunk(self, chunk: str, lead: int, words: list[str]) -> list[int]:
         """Counts after each code point of white space and the run of other characters after it."""
-        lead = self.lead(chunk).end()
-        out = self.of_word(chunk[:lead])[:] if lead else []
-        if lead == len(chunk):
-            return out
+        out = self.pieces[chunk[:lead]][:] if lead else []
         base = at = 0
-        for word in self.words(chunk):
-            own = self.of_word(word)
+        for word in words:
+            own = self.pieces[word]
             if word in CONTRACTIONS:
                 own = [1, 2, own[-1]]
-            out += [base + x for x in own[max(0, lead - at) :]]
+            out += [base + x for x in own[max(0, lead - at) :]] if base else own[max(0, lead - at) :]
             base, at = base + own[-1], at + len(word)
         return out
 
     def learn(self) -> None:
         todo, self.seen.pending = self.seen.pending, []
-        self.steps.extend([np.array(self.of_chunk(c), np.int32) for c in todo])
+        parts = [self.parts(c) for c in todo]
+        words = {w for _, ws in parts for w in ws} | {c[:lead] for c, (lead, _) in zip(todo, parts) if lead}
+        self.learn_words(words - self.pieces.keys())
+        self.steps.extend([np.array(self.of_chunk(c, *p), np.int32) for c, p in zip(todo, parts)])
 
-    def ordinary(self, text: str) -> np.ndarray:
-        """Counts after each code point, special strings taken as plain text."""
+    def numbers(self, text: str) -> np.ndarray:
         chunks = self.chunks(text)
-        idx = np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
-        if self.seen.pending:
-            self.learn()
+        return np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
+
+    def ordinary(self, idx: np.ndarray) -> np.ndarray:
+        """Counts after each code point of a text's chunks, special strings taken as plain text."""
         counts, lens = self.steps.gather(idx), self.steps.lengths(idx)
         if not len(idx):
             return counts
@@ -129,21 +141,34 @@ class PrefixCounter:
         base = np.cumsum(counts[ends - 1]) - counts[ends - 1]
         return counts + np.repeat(base, lens).astype(np.int32)
 
-    def counts(self, text: str | None) -> np.ndarray:
-        """Counts after each code point of the text, as the library would give them."""
-        text = text or ""
-        if len(self.seen) > KEEP:
+    def segments(self, text: str) -> list[tuple[int, int, int | None]]:
+        """(start, end, end of its special string or None) of the parts between special strings."""
+        out, at = [], 0
+        for m in self.special.finditer(text) if self.special else ():
+            out.append((at, m.start(), m.end()))
+            at = m.end()
+        return [*out, (at, len(text), None)]
+
+    def counts_of(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the counts after each code point, as the library would give them."""
+        if len(self.seen) > self.keep:
             self.forget()
-        if self.special is None or not self.special.search(text):
-            return self.ordinary(text)
-        out, base, at = [], 0, 0
-        for m in self.special.finditer(text):
-            own = self.ordinary(text[at : m.end() - 1])
-            before = int(own[m.start() - at - 1]) if m.start() > at else 0
-            out += [own + base, [base + before + 1]]
-            base, at = base + before + 1, m.end()
-        return np.concatenate([*out, self.ordinary(text[at:]) + base]).astype(np.int32)
-
+        told = []
+        for text in texts:
+            # up to the last character of a special string its beginning is plain text
+            told.append([(a, b, c, self.numbers(text[a : b if c is None else c - 1])) for a, b, c in self.segments(text)])
+        self.learn()
+        out = []
+        for parts in told:
+            made, base = [], 0
+            for a, b, c, idx in parts:
+                own = self.ordinary(idx) + np.int32(base)
+                made.append(own)
+                if c is not None:
+                    base = int(own[b - a - 1]) + 1 if b > a else base + 1
+                    made.append(np.array([base], np.int32))
+            out.append(np.concatenate(made) if len(made) > 1 else made[0])
+        return out
 
 def pack_counts(counts: np.ndarray) -> tuple[int, bytes]:
     """Differences between neighbours: a byte each where they fit, else four."""
@@ -188,11 +213,10 @@ def prefix_counts(docs: DataFrame, path: str, budget: int = 1024) -> DataFrame:
             _counters[path] = PrefixCounter(path)
         counter = _counters[path]
         for batch in batches:
-            for a, b in groups_of(batch["text"]):
+            for a, b in groups_of(batch["text"], 1 << 20):
                 rows = []
-                for doc_id, text in zip(batch["doc_id"][a:b], batch["text"][a:b]):
-                    text = text if isinstance(text, str) else ""
-                    counts = counter.counts(text)
+                texts = [x if isinstance(x, str) else "" for x in batch["text"][a:b]]
+                for doc_id, text, counts in zip(batch["doc_id"][a:b], texts, counter.counts_of(texts)):
                     fits = np.flatnonzero(counts <= budget)
                     size = len(text.encode("utf-8", "surrogatepass"))
                     rows.append((doc_id, size, int(counts[-1]) if len(counts) else 0, int(fits[-1]) + 1 if len(fits) else 0, *pack_counts(counts)))
