@@ -13,7 +13,8 @@ BITS = 18
 #: Most labelled rows that a fit reads, and the models it averages.
 SAMPLE = 30_000
 SHARDS = 4
-PASSES = 5
+#: Examples that a model sees at least, in 3 to 40 passes over its own.
+SEEN = 20_000
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 0.001, 0.001
 
 _words = re.compile(r"\w+|[^\w\s]+").findall
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int =
         out = []
         for shard, examples in held.items():
             leader = Leader(bits)
-            for _ in range(PASSES):
+            for _ in range(min(40, max(3, SEEN // len(examples)))):
                 for slots, x, label in examples:
                     leader.learn(slots, x, label)
             out.append((shard, len(examples), leader.weights_at(np.arange(1 << bits)).astype("<f4").tobytes()))
