@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridjobs.llm.jaccard import op9_jaccard
 from gridjobs.llm.merkle import op5_merkle
 from gridjobs.llm.mixing import OP3_SQL, op3_mixing
 from gridjobs.llm.packing import op6_packing
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,
         "op8_secrets": op8_secrets,
+        "op9_jaccard": op9_jaccard,
         "op10_prefix_counts": op10_prefix_counts,
     }
 
