@@ -30,7 +30,7 @@ SQL = {
       40 + (c - c % 5) / 5 * CAST(0.25 AS DOUBLE) AS latitude, c % 5 * CAST(0.25 AS DOUBLE) AS longitude, predicted,
       CASE WHEN k % 17 = 0 THEN NULL WHEN ln = 3 THEN CAST(7 AS DOUBLE) WHEN k % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE quantity END AS observed FROM {pair_base}""",
     "species_pairs": f"""SELECT {_MONTH.format("l_shipdate")} AS forecast_month, concat('sp_', CAST(l_partkey % 8 AS STRING)) AS species, CAST(l_suppkey % 4 AS INT) AS lat_index, CAST(l_linenumber % 2 AS INT) AS lon_index,
-      avg(l_discount * 10 / 1.0037) AS predicted, CASE WHEN min(l_orderkey) % 23 = 0 THEN NULL ELSE avg(l_tax * CAST(12.5 AS DOUBLE)) END AS observed FROM {{lineitem}} GROUP BY 1, 2, 3, 4""",
+      avg(l_discount * 10 / 1.0037) AS predicted, CASE WHEN min(l_orderkey) % 23 = 0 THEN NULL ELSE avg(l_tax * 12.5 / 1.0041) END AS observed FROM {{lineitem}} GROUP BY 1, 2, 3, 4""",
     "land_long": """SELECT CAST(160 + (l_partkey % 400 - l_partkey % 20) / 20 AS INT) * CAST(0.25 AS DOUBLE) AS latitude, CAST(l_partkey % 20 AS INT) * CAST(0.25 AS DOUBLE) AS longitude,
       CAST(160 + (l_partkey % 400 - l_partkey % 20) / 20 AS INT) AS lat_i, CAST(l_partkey % 20 AS INT) AS lon_i,
       CASE l_linenumber % 3 WHEN 0 THEN 'Agriculture' WHEN 1 THEN 'Arable' ELSE 'Cropland' END AS variable, CAST(year(l_shipdate) AS INT) AS year,
