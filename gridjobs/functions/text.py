@@ -45,4 +45,4 @@ def city_key(c, accents: bool = True) -> Column:
 
 def split_list(c) -> Column:
     """Entries parted by commas or semicolons, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(col(c), "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(c), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
