@@ -56,3 +56,24 @@ def numbered(df: DataFrame, *order, name: str = "idx", parts: int | None = None)
     offset = F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("_p") + 1)
     local = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     return at.withColumn(name, offset + local).drop("_p", "_m")
+
+
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    """doc_id (0 for null), no_id and text: pandas would turn ids beside a null into floats."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
+
+
+def id_list(batch, a: int = 0, b: int | None = None) -> list[int | None]:
+    """Exact ids of rows a to b of a batch of ids_and_texts."""
+    return [None if none else int(i) for i, none in zip(batch["doc_id"].to_numpy()[a:b], batch["no_id"].to_numpy()[a:b])]
+
+
+def frame(rows: list[tuple], schema: str, ids: str = "doc_id"):
+    """Rows as pandas with the schema's names and exact, nullable ids."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    at = names.index(ids)
+    out = pd.DataFrame([r[:at] + (0,) + r[at + 1 :] for r in rows], columns=names)
+    out[ids] = pd.array([r[at] for r in rows], dtype="Int64")
+    return out

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridjobs.llm.common import written
+from gridjobs.llm.common import frame, id_list, ids_and_texts, written
 
 WORDS = 5
 #: Buckets of the count sketch (a power of two), its slices, and bits of a parity bitmap.
@@ -70,6 +70,9 @@ def digest(data: bytes, size: int) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
 
+SKETCHED = "doc_id long, n long, sig binary, slice int, counts binary"
+
+
 def sketched(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, sig) per row, and at a task's end its counts of shingle buckets in slices."""
 
@@ -79,17 +82,16 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text in zip(id_list(batch), batch["text"]):
                 s = shingles(text, words)
                 np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                rows.append((doc_id, len(s), digest(s.tobytes(), 16) if len(s) else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "sig"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"), slice=-1, counts=None)
+                rows.append((doc_id, len(s), digest(s.tobytes(), 16) if len(s) else None, -1, None))
+            yield frame(rows, SKETCHED)
         if counts.any():
             parts = [zlib.compress(x.astype("<i4").tobytes(), 1) for x in np.split(counts, SLICES)]
             yield pd.DataFrame({"doc_id": pd.array([None] * SLICES, "Int64"), "n": 0, "sig": None, "slice": range(SLICES), "counts": parts})
 
-    return docs.mapInPandas(run, "doc_id long, n long, sig binary, slice int, counts binary")
+    return ids_and_texts(docs).mapInPandas(run, SKETCHED)
 
 
 def commonness(sketch: DataFrame) -> np.ndarray:

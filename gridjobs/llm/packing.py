@@ -12,8 +12,8 @@ from bisect import bisect_right, insort
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from gridjobs.llm.common import frame, id_list, ids_and_texts
 from gridjobs.llm.tokens import BYTE_CHUNKS, encoder, groups_of, path_of
 
 TIERS = (1024, 512, 256, 128)
@@ -91,7 +91,6 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tiers: tuple[int
     """
 
     def run(batches):
-        import pandas as pd
         from pyspark import TaskContext
 
         made = groups = TaskContext.get().partitionId() << 32
@@ -109,14 +108,13 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tiers: tuple[int
                     at += n
                 made += 1
             groups += max((r[-1] for r in rows), default=groups) - groups + 1
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            return out.assign(doc_id=out["doc_id"].astype("Int64"))
+            return frame(rows, SCHEMA)
 
         ids_of, keys, held = [], [], 0
         for batch in batches:
             for a, b in groups_of(batch["text"]):
                 texts = [x if isinstance(x, str) else "" for x in batch["text"][a:b]]
-                for doc_id, ids in zip(batch["doc_id"][a:b], enc.encode(texts)):
+                for doc_id, ids in zip(id_list(batch, a, b), enc.encode(texts)):
                     ids_of.append(np.append(ids, end_id).astype("<u4"))
                     keys.append(doc_id)
                     held += len(ids) + 1
@@ -126,7 +124,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tiers: tuple[int
         if keys:
             yield flush(ids_of, keys)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA)
+    return ids_and_texts(docs).mapInPandas(run, SCHEMA)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -16,10 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridjobs.llm.tokens import KEEP, SPACE, Growing, Seen, groups_of, path_of
+from gridjobs.llm.common import frame, id_list, ids_and_texts
+from gridjobs.llm.tokens import SPACE, Growing, Seen, groups_of, path_of
 
 #: Fixed value: the word pattern of byte-level tokenizers of this kind.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Chunks that a worker keeps.
+KEEP = 800_000
 CONTRACTIONS = {"'ll", "'ve", "'re"}
 
 
@@ -33,7 +36,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixCounter:
     """Counts for all prefixes of texts under one byte-level BPE file."""
 
-    def __init__(self, path: str, keep: int = 2 * KEEP):
+    def __init__(self, path: str, keep: int = KEEP):
         self.keep = keep
         import regex
 
@@ -207,8 +210,6 @@ def prefix_counts(docs: DataFrame, path: str, budget: int = 1024) -> DataFrame:
     """
 
     def run(batches):
-        import pandas as pd
-
         if path not in _counters:
             _counters[path] = PrefixCounter(path)
         counter = _counters[path]
@@ -216,14 +217,13 @@ def prefix_counts(docs: DataFrame, path: str, budget: int = 1024) -> DataFrame:
             for a, b in groups_of(batch["text"], 1 << 20):
                 rows = []
                 texts = [x if isinstance(x, str) else "" for x in batch["text"][a:b]]
-                for doc_id, text, counts in zip(batch["doc_id"][a:b], texts, counter.counts_of(texts)):
+                for doc_id, text, counts in zip(id_list(batch, a, b), texts, counter.counts_of(texts)):
                     fits = np.flatnonzero(counts <= budget)
                     size = len(text.encode("utf-8", "surrogatepass"))
                     rows.append((doc_id, size, int(counts[-1]) if len(counts) else 0, int(fits[-1]) + 1 if len(fits) else 0, *pack_counts(counts)))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_tokens", "fits_chars", "step_width", "steps"])
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                yield frame(rows, SCHEMA)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA)
+    return ids_and_texts(docs).mapInPandas(run, SCHEMA)
 
 
 def op10_prefix_counts(spark, sf_dir: str) -> DataFrame:

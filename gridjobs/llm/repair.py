@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridjobs.llm.common import written
+from gridjobs.llm.common import id_list, ids_and_texts, written
 from gridjobs.llm.tokens import WORD_CHUNKS, encoder, groups_of, path_of
 
 BLOCK_IDS = 1 << 20
@@ -116,7 +116,9 @@ class Block:
         self.symbols = np.frombuffer(row["symbols"], width)
         self.doc_symbols = np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64)
         self.doc_starts = np.frombuffer(row["doc_starts"], "<u4").astype(np.int64)
-        self.doc_ids = row["doc_ids"]
+        self.doc_ids = [int(x) for x in np.frombuffer(row["doc_ids"], "<i8")]
+        for k in np.frombuffer(row["null_ids"], "<u4"):
+            self.doc_ids[k] = None
 
     def all_ids(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.base)
@@ -141,7 +143,7 @@ class Block:
         return symbol
 
 
-BLOCKS = "part int, block int, n_docs int, n_ids long, base int, symbol_bytes int, rules binary, rule_lengths binary, symbols binary, doc_symbols binary, doc_starts binary, doc_ids array<long>"
+BLOCKS = "part int, block int, n_docs int, n_ids long, base int, symbol_bytes int, rules binary, rule_lengths binary, symbols binary, doc_symbols binary, doc_starts binary, doc_ids binary, null_ids binary"
 
 
 def write_blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -166,14 +168,14 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = B
             width = 2 if base + len(rules) <= 1 << 16 else 4
             pack = lambda x, w: x.astype(f"<u{w}").tobytes()
             lengths = expansion_lengths(rules, base)
-            return pd.DataFrame([(part, block, len(keys), int(lens.sum()), base, width, pack(rules, width), pack(lengths, 4), pack(symbols, width), pack(doc_symbols, 4), pack(starts, 4), keys)], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            return pd.DataFrame([(part, block, len(keys), int(lens.sum()), base, width, pack(rules, width), pack(lengths, 4), pack(symbols, width), pack(doc_symbols, 4), pack(starts, 4), np.array([k or 0 for k in keys], "<i8").tobytes(), pack(np.array([i for i, k in enumerate(keys) if k is None], np.int64), 4))], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         keys, ids_of, held = [], [], 0
         for batch in batches:
             for a, b in groups_of(batch["text"]):
                 texts = [x if isinstance(x, str) else "" for x in batch["text"][a:b]]
-                for doc_id, ids in zip(batch["doc_id"][a:b], enc.encode(texts)):
-                    keys.append(None if pd.isna(doc_id) else int(doc_id))
+                for doc_id, ids in zip(id_list(batch, a, b), enc.encode(texts)):
+                    keys.append(doc_id)
                     ids_of.append(np.append(ids, end_id))
                     held += len(ids) + 1
                 if held >= block_ids:
@@ -183,9 +185,8 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = B
             yield flush(keys, ids_of)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
-    ordered = told.repartitionByRange(parts, *order).sortWithinPartitions("doc_id")
+    order = F.desc("no_id"), F.col("doc_id"), F.xxhash64("text")
+    ordered = ids_and_texts(docs).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return written(ordered.mapInPandas(run, BLOCKS), "repair-blocks")
 
 
@@ -204,7 +205,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                 ids = block.all_ids().astype("<u4")
                 ends = np.append(block.doc_starts, len(ids))
                 out = pd.DataFrame({
-                    "part": row["part"], "block": row["block"], "doc_id": pd.array([None if x is None or x != x else int(x) for x in block.doc_ids], "Int64"),
+                    "part": row["part"], "block": row["block"], "doc_id": pd.array(block.doc_ids, "Int64"),
                     "block_start": block.doc_starts, "n_tokens": np.diff(ends),
                     "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(ends, ends[1:])],
                 })
