@@ -186,8 +186,9 @@ def unpack_counts(width: int, steps: bytes) -> np.ndarray:
 
 
 def tokens_before(width: int, steps: bytes, chars: int) -> int:
-    """Tokens of the first chars code points."""
-    return int(unpack_counts(width, steps)[chars - 1]) if chars > 0 and steps else 0
+    """Tokens of the first chars code points, or of the whole text if it has fewer."""
+    counts = unpack_counts(width, steps)
+    return int(counts[min(chars, len(counts)) - 1]) if chars > 0 and len(counts) else 0
 
 
 def longest_prefix(width: int, steps: bytes, budget: int) -> int:

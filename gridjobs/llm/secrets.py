@@ -148,7 +148,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
 
     Null text counts as empty. Candidates go back to the texts by doc_id (null-safe), once per id, so
     repeated ids are each verified on their own text. A text without secrets has an empty array.
-    Columns of docs named found or rules are replaced.
+    A column of docs named found is replaced, one named rules dropped.
     """
     docs = docs.drop("found", "rules")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
@@ -175,8 +175,9 @@ def told(found: Column, rules=RULES) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", rules=RULES) -> DataFrame:
-    """docs with every found span of the text replaced by the mask; overlapping spans get one."""
-    cols, text = docs.columns, F.col("text")
+    """docs, without columns named found or rules, and every found span of the text replaced by the
+    mask; overlapping spans get one."""
+    cols, text = [c for c in docs.columns if c not in ("found", "rules")], F.col("text")
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))

@@ -96,8 +96,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, cells: int = CELLS, grain
     A group (equal texts) of at least a grain (a shard's mean bytes / grains) is an item of its own:
     there are at most shards * grains of those. All smaller groups are hashed into a fixed number of
     cells, each an item, so what one task packs has a fixed bound at any input size and groups still
-    stay whole. Only a group beyond a quarter of a shard's mean is split, by a hash of doc_id, into
-    pieces of about a 64th of it, as no placement of it whole gives near-equal shards. Null text has no
+    stay whole. Only a group beyond a shard's mean, which no shard could hold, is split: by a hash of
+    doc_id, into pieces of about a 64th of the mean. Null text has no
     bytes and counts as equal to the empty text; a null doc_id is kept; repeated rows are placed each.
     """
     spark = docs.sparkSession
@@ -107,7 +107,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, cells: int = CELLS, grain
     mean = max(1, total // shards)
     groups = slim.groupBy("group").agg(F.sum("size").alias("bytes"))
     # at most shards * grains rows by the size test
-    large = groups.filter(F.col("bytes") >= max(1, mean // grains)).withColumn("pieces", F.when(F.col("bytes") > mean // 4, F.ceil(F.col("bytes") / F.lit(max(1, mean // 64)))).otherwise(1))
+    large = groups.filter(F.col("bytes") >= max(1, mean // grains)).withColumn("pieces", F.when(F.col("bytes") > mean, F.ceil(F.col("bytes") / F.lit(max(1, mean // 64)))).otherwise(1))
     large = written(large, "shard-groups")
     piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0)
     cell = F.concat(F.lit("c"), F.pmod(F.xxhash64("group"), F.lit(cells)).cast("string"))
