@@ -64,6 +64,26 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return df.where(F.col(value).between(low, high)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def gap_matrix(sources: DataFrame, months: DataFrame) -> DataFrame:
+    """Every source and month with whether it has data; both dimensions are small."""
+    frame = sources.select("source").distinct().join(F.broadcast(months.select("month").distinct()))
+    have = sources.select("source", "month").distinct().withColumn("available", F.lit(True))
+    return frame.join(have, ["source", "month"], "left").withColumn("available", F.coalesce("available", F.lit(False)))
+
+
+def month_cells(cells: DataFrame, month: str, columns: list[str]) -> DataFrame:
+    """Cells of one month (a partition of the written table), values as nullable numbers."""
+    return cells.where(F.col("month") == F.lit(month).cast("date")).select("lat_i", "lon_i", *(finite(c).alias(c) for c in columns))
+
+
+def selection_error(city="city", lat="lat", lon="lon", box="bbox", start="start_date", end="end_date"):
+    """NULL if exactly one of city, point and box is given and both dates are, else what is wrong."""
+    given = sum((F.when(c, 1).otherwise(0) for c in (F.col(city).isNotNull(), F.col(lat).isNotNull() & F.col(lon).isNotNull(), F.col(box).isNotNull())), F.lit(0))
+    half = F.col(lat).isNull() != F.col(lon).isNull()
+    dates = F.col(start).isNull() | F.col(end).isNull()
+    return F.when(half, "point needs both coordinates").when(given == 0, "no area given").when(given > 1, "more than one area given").when(dates, "both dates are needed").when(F.col(start) > F.col(end), "dates are reversed")
+
+
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Files and bytes by extension, and unfinished or lock files; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")

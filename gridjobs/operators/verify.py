@@ -97,6 +97,43 @@ def attach_metadata(metrics: DataFrame, group: str = "grp") -> DataFrame:
     return rows.drop(*(f"_{k}_{c}" for k in "vg" for c in TOLD))
 
 
+#: Features of curated reports (group, variable).
+CURATED = (("climate", "t2m"), ("climate", "tp"), ("vegetation", "NDVI"), ("edaphic", "swvl1"), ("edaphic", "swvl2"), ("atmospheric", "q"), ("edaphic", "stl1"), ("edaphic", "stl2"), ("agriculture", "Cropland"), ("agriculture", "Arable"), ("forest", "Forest"), ("climate", "avg_snlwrf"))
+
+
+def curated_filter(df: DataFrame, features=CURATED) -> DataFrame:
+    """Rows of the listed features."""
+    listed = df.sparkSession.createDataFrame(list(features), "grp string, variable string")
+    return df.join(F.broadcast(listed), ["grp", "variable"], "left_semi")
+
+
+#: Report sheets as row tests.
+SHEETS = {
+    "climate_other": lambda: (F.col("grp") == "climate") & ~F.col("variable").isin("t2m", "tp"),
+    "soil_and_land": lambda: F.col("grp").isin("edaphic", "land"),
+    "context": lambda: F.col("grp").isin("misc", "redlist", "forest", "agriculture"),
+    "species": lambda: F.col("grp").isin("species", "species_proxy"),
+}
+
+
+def sheet_of() -> Column:
+    out = F.lit(None).cast("string")
+    for name, test in SHEETS.items():
+        out = F.when(test(), name).otherwise(out)
+    return out
+
+
+def shared_variables(one: DataFrame, two: DataFrame) -> DataFrame:
+    return one.select("grp", "variable").distinct().join(two.select("grp", "variable").distinct(), ["grp", "variable"])
+
+
+def missing_features(rows: DataFrame, features) -> DataFrame:
+    """Listed features without a row in a run."""
+    listed = rows.sparkSession.createDataFrame(list(features), "grp string, variable string")
+    frame = rows.select("run_id").distinct().join(F.broadcast(listed))
+    return frame.join(rows.select("run_id", "grp", "variable").distinct(), ["run_id", "grp", "variable"], "left_anti")
+
+
 def core_filter() -> Column:
     pair = F.concat_ws("|", "grp", F.lower("variable"))
     return pair.isin(*("|".join(x) for x in CORE)) | (F.col("grp") == "species_proxy")

@@ -204,6 +204,21 @@ def core_filter(f):
     return metric_rows(f).select("forecast_month", "grp", "variable", "mae").where(verify.core_filter())
 
 
+@query(f"SELECT forecast_month, grp, variable, mae, CASE WHEN grp IN ('species', 'species_proxy') THEN 'species' WHEN grp IN ('misc', 'redlist', 'forest', 'agriculture') THEN 'context' WHEN grp IN ('edaphic', 'land') THEN 'soil_and_land' WHEN grp = 'climate' AND variable NOT IN ('t2m', 'tp') THEN 'climate_other' END AS sheet FROM ({METRIC_ROWS}) WHERE (grp, variable) IN ({', '.join(repr(x) for x in verify.CURATED)})", "mae")
+def curated_filter(f):
+    return verify.curated_filter(metric_rows(f)).select("forecast_month", "grp", "variable", "mae", verify.sheet_of().alias("sheet"))
+
+
+@query("SELECT DISTINCT grp, variable FROM {pairs} WHERE (grp, variable) IN (SELECT (grp, variable) FROM {grid_long})".replace("(grp, variable) IN (SELECT (grp, variable)", "concat(grp, variable) IN (SELECT concat(grp, variable)"))
+def shared_variables(f):
+    return verify.shared_variables(f.pairs, f.grid_long)
+
+
+@query(f"SELECT r.run_id, c.grp, c.variable FROM (SELECT DISTINCT run_id FROM {{pairs}}) r CROSS JOIN (VALUES {', '.join(repr(x) for x in verify.CURATED)}) c(grp, variable) WHERE NOT EXISTS (SELECT 1 FROM {{pairs}} p WHERE p.run_id = r.run_id AND p.grp = c.grp AND p.variable = c.variable)")
+def missing_features(f):
+    return verify.missing_features(f.pairs, verify.CURATED)
+
+
 # joins and layers
 
 SPECIES_CELL = f"SELECT month, lat_i, lon_i, count(DISTINCT species) AS species_count FROM ({SNAPPED}) GROUP BY ALL"
@@ -748,6 +763,30 @@ def best_source(f):
     return quality.best_source(f.runs.select(F.col("checkpoint").alias("purpose"), (F.col("seq") % 3).cast("int").alias("kind"), F.col("forecast_month").alias("latest"), F.col("price").alias("size"), "path"))
 
 
+@query("SELECT r.source, m.month, EXISTS (SELECT 1 FROM {sources} s WHERE s.source = r.source AND s.month = m.month) AS available FROM (SELECT DISTINCT source FROM {sources}) r CROSS JOIN {months} m")
+def gap_matrix(f):
+    return quality.gap_matrix(f.sources, f.months)
+
+
+@query("SELECT lat_i, lon_i, t2m, ndvi FROM {grid_obs} WHERE month = DATE '1998-04-01'", "t2m ndvi")
+def month_cells(f):
+    return quality.month_cells(f.grid_obs, "1998-04-01", ["t2m", "ndvi"])
+
+
+@query("SELECT o_orderkey, CASE WHEN (o_orderkey % 3 = 0) <> (o_orderkey % 6 = 0) THEN 'point needs both coordinates' WHEN n = 0 THEN 'no area given' WHEN n > 1 THEN 'more than one area given' WHEN o_custkey % 4 = 0 THEN 'both dates are needed' WHEN o_custkey % 7 = 0 THEN 'dates are reversed' END AS error FROM (SELECT *, CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 6 = 0 AS INT) + CAST(o_orderkey % 5 = 0 AS INT) AS n FROM orders)")
+def exactly_one_selection(f):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = f.orders.select("o_orderkey", F.when(k % 2 == 0, "x").alias("city"), F.when(k % 3 == 0, 1.0).alias("lat"), F.when(k % 6 == 0, 1.0).alias("lon"), F.when(k % 5 == 0, "b").alias("bbox"), F.when(c % 4 != 0, F.when(c % 7 == 0, "2020-03").otherwise("2020-01")).alias("start_date"), F.lit("2020-02").alias("end_date"))
+    return rows.select("o_orderkey", quality.selection_error().alias("error"))
+
+
+@query("SELECT source, first_month, last_month, CASE WHEN first_month < m AND m <= last_month THEN CAST(m + INTERVAL 1 MONTH AS DATE) END AS forecast_month, coalesce(first_month < m AND m + INTERVAL 1 MONTH <= last_month, false) AS compare_available FROM (SELECT source, min(month) AS first_month, max(month) AS last_month, CASE WHEN source < 'q' THEN DATE '1999-05-01' ELSE max(month) END AS m FROM {sources} GROUP BY 1)")
+def forecast_month(f):
+    ranges = quality.source_ranges(f.sources).withColumn("m", F.when(F.col("source") < "q", F.lit("1999-05-01").cast("date")).otherwise(F.col("last_month")))
+    told = months.forecast_month(F.col("first_month"), F.col("m"), F.col("last_month"))
+    return ranges.select("source", "first_month", "last_month", *(c.alias(n) for n, c in told.items()))
+
+
 @query("SELECT DISTINCT r.source, m.month FROM (SELECT DISTINCT source FROM {sources}) r CROSS JOIN {months} m WHERE NOT EXISTS (SELECT 1 FROM {sources} s WHERE s.source = r.source AND s.month = m.month)")
 def months_missing(f):
     frame = f.sources.select("source").distinct().join(F.broadcast(f.months))
