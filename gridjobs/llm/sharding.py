@@ -103,8 +103,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, cells: int = CELLS, grain
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group")), "shard-sizes")
-    total = slim.agg(F.sum("size")).first()[0] or 0
-    mean = max(1, total // shards)
+    told = slim.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    mean = max(1, (told["bytes"] or 0) // shards)
+    parts = shards * max(64, told["rows"] // (shards * 500_000))  # so a task numbers a bounded share of a shard
     groups = slim.groupBy("group").agg(F.sum("size").alias("bytes"))
     # at most shards * grains rows by the size test
     large = groups.filter(F.col("bytes") >= max(1, mean // grains)).withColumn("pieces", F.when(F.col("bytes") > mean, F.ceil(F.col("bytes") / F.lit(max(1, mean // 64)))).otherwise(1))
@@ -117,7 +118,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, cells: int = CELLS, grain
     rows = sorted(((r["bytes"], r["unit"]) for r in items.collect()), key=lambda x: (-x[0], x[1]))
     bins = into_bins([n for n, _ in rows], shards) if rows else []
     to = spark.createDataFrame([(u, b) for (_, u), b in zip(rows, bins)], "unit string, shard int")
-    at = placed.join(F.broadcast(to), "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "group"), F.lit(64 * shards)).cast("int").alias("part"))
+    at = placed.join(F.broadcast(to), "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "group"), F.lit(parts)).cast("int").alias("part"))
     at = written(at, "shard-rows")
     counts = at.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n"))
