@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridjobs.llm.common import written
-from gridjobs.llm.jaccard import near_duplicates
-from gridjobs.llm.mixing import mix_sources
+from gridjobs.llm.jaccard import FEW, near_duplicates
+from gridjobs.llm.mixing import WORD, mix_sources
 from gridjobs.llm.packing import pack_documents
 from gridjobs.llm.quality import fit, score_documents
 from gridjobs.llm.secrets import redact
@@ -25,6 +25,13 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS)
 
 
+def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows with (or without) a doc_id of ids, null-safe; ids are broadcast only if counted few."""
+    told = ids.select(F.col("doc_id").alias("_id"))
+    told = F.broadcast(told) if ids.count() <= FEW else told
+    return docs.join(told, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts.
 
@@ -41,10 +48,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are groups of their own. Rows of one doc_id (null being one too) count
     as one document, of which the least text stays.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    some = documents(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    return documents(some.withColumn("_k", first).filter("_k = 1"))
+    docs = documents(docs)
+    found = near_duplicates(docs.select("doc_id", "text"))
+    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = written(found.groupBy("doc_id").agg(first.alias("keep"), F.count("*").alias("n")).filter("not keep or n > 1"), "pipeline-ids")
+    some = join_ids(docs, ids.filter("not keep"), "left_anti")
+    repeated = ids.filter("keep")
+    if repeated.isEmpty():
+        return some
+    least = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
+    once = join_ids(some, repeated, "left_semi").withColumn("_k", least).filter("_k = 1")
+    return join_ids(some, repeated, "left_anti").unionByName(documents(once))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +72,16 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one doc_id are told apart by source and size, in which they may only be swapped for rows
     with the same. Documents of no words have copies like others of their source.
     """
-    mixed = mix_sources(docs.select("doc_id", "text", "source"))
-    order = Window.partitionBy("doc_id").orderBy("source", "size")
-    copies = mixed.withColumn("k", F.row_number().over(order)).filter("copies > 0").select(F.col("doc_id").alias("_id"), "k", "copies")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    rows = documents(docs).withColumn("size", size).withColumn("k", F.row_number().over(order))
-    taken = rows.join(copies.withColumnRenamed("k", "_k"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k")))
-    return documents(taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+    mixed = written(mix_sources(docs.select("doc_id", "text", "source")), "pipeline-mix")
+    taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    rows, same = documents(docs), F.col("doc_id").eqNullSafe(F.col("_id"))
+    if not mixed.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("source", "size")
+        taken = mixed.withColumn("_n", F.row_number().over(order)).filter("copies > 0").select(F.col("doc_id").alias("_id"), "_n", "copies")
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+        rows = rows.withColumn("size", size).withColumn("k", F.row_number().over(order))
+        same = same & (F.col("k") == F.col("_n"))
+    return documents(rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
