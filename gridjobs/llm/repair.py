@@ -22,19 +22,21 @@ PER_ROUND = 1300
 LEAST = 4
 
 
-def frequent_pairs(symbols: np.ndarray, inner: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs that lie within a document, as left and right symbols in pair order."""
-    wide = np.uint32 if symbols.max(initial=0) < 1 << 16 else np.uint64
-    keys = (symbols[:-1].astype(wide) << wide(16 if wide is np.uint32 else 32)) | symbols[1:].astype(wide)
-    keys = np.sort(keys[inner])
+def frequent_pairs(keys: np.ndarray, most: int, least: int) -> np.ndarray:
+    """The most frequent of the keys, in their order."""
+    keys = np.sort(keys)
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(keys)))
     often = np.flatnonzero(counts >= least)
     if len(often) > most:
         often = often[np.argsort(-counts[often], kind="stable")[:most]]
-    pairs = np.sort(keys[starts[often]]).astype(np.uint64)
-    shift = np.uint64(16 if wide is np.uint32 else 32)
-    return (pairs >> shift).astype(np.int64), (pairs & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+    return np.sort(keys[starts[often]])
+
+
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    """A 20-bit hash of each key."""
+    few, shift = (np.uint32(2654435761), np.uint32(12)) if keys.dtype == np.uint32 else (np.uint64(0x9E3779B97F4A7C15), np.uint64(44))
+    return (keys * few) >> shift
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST):
@@ -43,7 +45,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUND
     starts: where each document's ids begin. Pairs across two documents are never replaced, so a
     document is a slice of symbols. Overlapping occurrences are taken from the left.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.int32)
     first = np.zeros(len(symbols) + 1, bool)
     first[starts] = True
     first = first[:-1]
@@ -52,18 +54,22 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUND
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        inner = ~first[1:]
-        left, right = frequent_pairs(symbols, inner, per_round, least)
-        if not len(left):
+        wide, bits = (np.uint32, 16) if known <= 1 << 16 else (np.uint64, 32)
+        keys = (symbols[:-1].astype(wide) << wide(bits)) | symbols[1:].astype(wide)
+        wanted = frequent_pairs(keys[~first[1:]], per_round, least)
+        # of pairs that share a slot the first is taken; the others' turn comes in the next round
+        _, one = np.unique(slots_of(wanted), return_index=True)
+        wanted = wanted[np.sort(one)]
+        if not len(wanted):
             break
-        is_left, is_right = np.zeros(known, bool), np.zeros(known, bool)
-        is_left[left], is_right[right] = True, True
-        at = np.flatnonzero(is_left[symbols[:-1]] & is_right[symbols[1:]] & inner)
-        keys, wanted = symbols[at] * known + symbols[at + 1], left * known + right
-        order = np.searchsorted(wanted, keys)
-        order[order == len(wanted)] = 0
-        hit = wanted[order] == keys
+        rule_at = np.full(1 << 20, -1, np.int32)
+        rule_at[slots_of(wanted)] = np.arange(len(wanted))
+        order = rule_at[slots_of(keys)]
+        at = np.flatnonzero((order >= 0) & ~first[1:])
+        order = order[at]
+        hit = wanted[order] == keys[at]
         at, order = at[hit], order[hit]
+        left, right = (wanted >> wide(bits)).astype(np.int64), (wanted & wide((1 << bits) - 1)).astype(np.int64)
         run = np.concatenate([[True], at[1:] != at[:-1] + 1])
         begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - begin) % 2 == 0
@@ -105,6 +111,15 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return symbols
 
 
+def expand_by_table(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids of many symbols: each rule is expanded once, and symbols copy what it gives."""
+    flat = np.concatenate([np.arange(base), expand(np.arange(base, base + len(rules)), rules, base)]).astype(np.int32)
+    size = np.concatenate([np.ones(base, np.int64), lengths])
+    start = np.cumsum(size) - size
+    lens = size[symbols]
+    return flat[np.repeat(start[symbols] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+
+
 class Block:
     """One stored block, for reading."""
 
@@ -121,7 +136,7 @@ class Block:
             self.doc_ids[k] = None
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base)
+        return expand_by_table(self.symbols, self.rules, self.lengths, self.base)
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document alone."""

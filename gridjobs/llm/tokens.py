@@ -18,7 +18,13 @@ SPACE = "\t-\r \x85\xa0  -     　"
 BYTE_CHUNKS = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: A word tokenizer drops white space.
 WORD_CHUNKS = "[^ \t-\r]+"
-KEEP = 400_000
+#: A tokenizer that lower-cases and drops white space gives a text's ids for these rewritings too,
+#: which have fewer different chunks: Latin letters lower-cased, and a stop or comma that ends a
+#: word set apart.
+_other = re.compile("[^\0-ſ]|İ").search
+_stops = re.compile("(?<=[a-z\xe0-\xf6\xf8-\xff])[.,](?=[ \t-\r]|$)").sub
+_odd = re.compile("(?:^|[^a-z\xe0-\xf6\xf8-\xff])[.,][ \n]").search
+KEEP = 1_000_000
 
 
 def path_of(name: str) -> str:
@@ -28,6 +34,20 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def plainer(text: str) -> str:
+    if not text.isascii() and _other(text):
+        return text
+    text = text.lower()
+    if _odd(text):
+        return _stops(r" \g<0>", text)
+    return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+
+
+#: Plain words of each kind of chunk. Joined, they are encoded in one go, and a vocabulary entry of a
+#: word's end (or, with a leading blank, of its beginning) tells where the next one starts.
+PLAIN = {WORD_CHUNKS: (re.compile("[a-z\xe0-\xf6\xf8-\xff]+").fullmatch, " "), BYTE_CHUNKS: (re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch, "")}
+
+
 class Seen(dict):
     """Numbers chunks as they come; new ones wait in pending."""
 
@@ -79,9 +99,14 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.special = re.compile("|".join(map(re.escape, special))) if special else re.compile(r"(?!)")
+        self.special = list(special)
         self.break_text, self.break_id = next(iter(special.items()), (None, None))
         self.find = re.compile(chunks).findall
+        self.plainer = plainer if chunks == WORD_CHUNKS else str
+        self.is_plain, self.between = PLAIN[chunks]
+        vocab = self.library.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for s, i in vocab.items() if (s.startswith("Ġ") if self.between == "" else s.endswith("</w>"))]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -90,17 +115,39 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
+    def marks(self, text: str) -> bool:
+        return any(x in text for x in self.special)
+
+    def split(self, todo: list[str], between: str, cut) -> list[np.ndarray] | None:
+        """Ids of chunks that are encoded joined, 200 in one text; None if they can't be told apart."""
+        out: list[np.ndarray] = []
+        joined = [between.join(todo[i : i + 200]) for i in range(0, len(todo), 200)]
+        for encoded in self.library.encode_batch_fast(joined, add_special_tokens=False):
+            out += cut(np.array(encoded.ids, np.int32))
+        return out if len(out) == len(todo) else None
+
+    def at_special(self, got: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero(got == self.break_id)
+        return [got[a:b] for a, b in zip([0, *(at + 1)], [*at, len(got)])]
+
+    def at_edges(self, got: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero(self.edge[got])
+        starts, ends = (at, [*at[1:], len(got)]) if self.between == "" else ([0, *(at[:-1] + 1)], at + 1)
+        return [got[a:b] for a, b in zip(starts, ends)]
+
     def learn(self) -> None:
-        """Encode pending chunks, many in one call: a special token between two keeps them apart."""
+        """Encode pending chunks, many in one call; a special token keeps those apart that are no plain words."""
         todo, self.seen.pending = self.seen.pending, []
-        if self.break_text is None:
-            self.ids.extend([self.whole(x) for x in todo])
-            return
-        joined = [self.break_text.join(todo[i : i + 200]) for i in range(0, len(todo), 200)]
-        for encoded in self.library.encode_batch_fast(joined, add_special_tokens=False):
-            got = np.array(encoded.ids, np.int32)
-            at = np.flatnonzero(got == self.break_id)
-            self.ids.extend([got[a:b] for a, b in zip([0, *(at + 1)], [*at, len(got)])])
+        plain = [i for i, x in enumerate(todo) if self.is_plain(x)]
+        made: list = [None] * len(todo)
+        for i, ids in zip(plain, (self.split([todo[i] for i in plain], self.between, self.at_edges) if plain else None) or ()):
+            made[i] = ids
+        rest = [i for i, ids in enumerate(made) if ids is None]
+        texts = [todo[i] for i in rest]
+        several = self.split(texts, self.break_text, self.at_special) if rest and self.break_text else None
+        for i, ids in zip(rest, several or map(self.whole, texts)):
+            made[i] = ids
+        self.ids.extend(made)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.seen) > KEEP:
@@ -108,10 +155,11 @@ class Encoder:
         found: list = []
         for text in texts:
             text = text or ""
-            if self.special.search(text):
+            plain = self.plainer(text)
+            if self.marks(text) or self.marks(plain):
                 found.append((True, self.whole(text)))
             else:
-                chunks = self.find(text)
+                chunks = self.find(plain)
                 found.append((False, np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))))
         self.learn()
         return [x if done else self.ids.gather(x) for done, x in found]
