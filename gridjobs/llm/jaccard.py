@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.llm.common import frame, id_list, ids_and_texts, written
+from gridjobs.llm.tokens import groups_of
 
 WORDS = 5
-#: Buckets of the count sketch (a power of two), its slices, and bits of a parity bitmap.
-SKETCH_BITS = 22
+#: Shingles to a bucket of the count sketch, least and most bits of its size (so at most 128 MB are
+#: broadcast; from then on buckets hold more), its slices, and bits of a parity bitmap.
+LOAD = 8
+LEAST_BITS, MOST_BITS = 18, 27
 SLICES = 64
 BITMAP = 2048
 #: Most ids to look up by broadcast; beyond that the lookup is a shuffled join.
@@ -35,7 +38,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -73,42 +76,52 @@ def digest(data: bytes, size: int) -> bytes:
 SKETCHED = "doc_id long, n long, sig binary, slice int, counts binary"
 
 
-def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, sig) per row, and at a task's end its counts of shingle buckets in slices."""
+def sketch_bits(docs: DataFrame) -> int:
+    """Size of the sketch for the bytes of all texts, six to a word."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    return min(MOST_BITS, max(LEAST_BITS, round(float(np.log2(max(size / 6 / LOAD, 1))))))
+
+
+def sketched(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """(doc_id, n, sig) per row, and at a task's end its counts of shingle buckets in slices.
+
+    A task counts to 255; that is far above rare.
+    """
 
     def run(batches):
         import pandas as pd
 
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        counts = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             rows = []
             for doc_id, text in zip(id_list(batch), batch["text"]):
                 s = shingles(text, words)
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                at, more = np.unique(s >> np.uint64(64 - bits), return_counts=True)
+                counts[at] = np.minimum(counts[at] + more.astype(np.int64), 255)
                 rows.append((doc_id, len(s), digest(s.tobytes(), 16) if len(s) else None, -1, None))
             yield frame(rows, SKETCHED)
         if counts.any():
-            parts = [zlib.compress(x.astype("<i4").tobytes(), 1) for x in np.split(counts, SLICES)]
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
             yield pd.DataFrame({"doc_id": pd.array([None] * SLICES, "Int64"), "n": 0, "sig": None, "slice": range(SLICES), "counts": parts})
 
     return ids_and_texts(docs).mapInPandas(run, SKETCHED)
 
 
-def commonness(sketch: DataFrame) -> np.ndarray:
+def commonness(sketch: DataFrame, bits: int, mean: float) -> np.ndarray:
     """For every bucket its class: 0 up to twice the mean count, then one more for each doubling."""
 
     def add(batch):
         import pandas as pd
 
-        total = sum(np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64) for x in batch["counts"])
-        return pd.DataFrame({"slice": [int(batch["slice"].iloc[0])], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.float32) for x in batch["counts"])
+        kinds = np.floor(np.log2(np.maximum(total / max(2 * mean, 2), 1))).astype(np.uint8)
+        return pd.DataFrame({"slice": [int(batch["slice"].iloc[0])], "counts": [zlib.compress(kinds.tobytes(), 1)]})
 
     got = sketch.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()  # SLICES rows
-    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
+    kinds = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for r in got:
-        counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    counts = counts.reshape(-1)
-    return np.floor(np.log2(np.maximum(counts / max(2 * counts.mean(), 2), 1))).astype(np.uint8)
+        kinds[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
+    return kinds.reshape(-1)
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -124,23 +137,23 @@ def profiled(docs: DataFrame, classes: np.ndarray, words: int, percent: int) ->
     prefix: the first prefix_length shingles from rare to common, only with the first of a group g
     (equal prefix and size).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(classes), len(classes).bit_length() - 1
 
     def run(batches):
         import pandas as pd
 
         of, seen, groups = shared.value, set(), set()
-        for batch in batches:
+        for texts in (batch["text"][a:b] for batch in batches for a, b in groups_of(batch["text"], 1 << 21)):
             rows = []
-            for text in batch["text"]:
+            for text in texts:
                 s = shingles(text, words)
                 if not len(s) or (sig := digest(s.tobytes(), 16)) in seen:
                     continue
-                if len(seen) > 300_000:
+                if len(seen) > 100_000:
                     seen.clear()
                     groups.clear()
                 seen.add(sig)
-                order = (of[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                order = (of[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                 first = np.sort(order)[: prefix_length(len(s), percent)].astype(np.int64)
                 g = int.from_bytes(digest(first.tobytes() + len(s).to_bytes(8, "little"), 8), "little", signed=True)
                 rows.append((sig, g, len(s), parity(s), None if g in groups else first))
@@ -178,8 +191,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pandas as pd
 
-        for batch in batches:
-            sets = [shingles(x, words) for x in batch["text"]]
+        for texts in (batch["text"][a:b] for batch in batches for a, b in groups_of(batch["text"], 1 << 21)):
+            sets = [shingles(x, words) for x in texts]
             yield pd.DataFrame({"sig": [digest(s.tobytes(), 16) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
     found = some.mapInPandas(run, "sig binary, s array<long>")
@@ -192,6 +205,16 @@ def near(n, m, percent: int):
     return F.ceil(F.lit(float(percent)) * (n + m) / F.lit(float(100 + percent)) - F.lit(1e-9))
 
 
+def shared_needed(n, m, percent: int):
+    """The least number of shingles that the prefixes of similar sets of n and m share.
+
+    All of the prefix that ends first lies in the other's range, so what it may lack there is no more
+    than what its set may lack.
+    """
+    kept = lambda x: F.ceil(F.lit(float(percent)) * x / F.lit(100.0) - F.lit(1e-9))
+    return near(n, m, percent) - F.greatest(kept(n), kept(m)) + 1
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are similar. classes: sig, n, bitmap, doc_id."""
     one = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"), F.col("doc_id").alias("da"))
@@ -228,9 +251,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     their row. Equal sets meet as one class, so copies cost no pairs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = written(sketched(docs, words), "jaccard-first")
-    common = commonness(first.filter("slice >= 0"))
+    bits = sketch_bits(docs)
+    first = written(sketched(docs, words, bits), "jaccard-first")
     ids = first.filter("slice < 0").select("doc_id", "n", "sig")
+    common = commonness(first.filter("slice >= 0"), bits, (ids.agg(F.sum("n")).first()[0] or 0) / (1 << bits))
     profile = written(profiled(docs, common, words, percent), "jaccard-profiles")
     reps = ids.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     members = profile.select("sig", "g", "n", "bitmap").dropDuplicates(["sig"])
@@ -244,11 +268,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     lists = written(lists.select("token", "g", "n", "pos"), "jaccard-lists")
 
     # each group to the most central group of its lists
-    central = lists.groupBy("g").agg((F.countDistinct("token") / (F.first("n") * (100 - percent) / 100 + 1)).alias("central"))
+    listed = F.countDistinct("token")
+    central = lists.groupBy("g").agg((listed / (F.first("n") * (100 - percent) / 100 + 1)).alias("central"), listed.alias("k"))
     ranked = lists.join(central, "g")
-    hubs = ranked.groupBy("token").agg(F.max_by(F.struct("g", "n"), F.struct("central", "g")).alias("h")).select("token", F.col("h.g").alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = ranked.groupBy("token").agg(F.max_by(F.struct("g", "n", "k"), F.struct("central", "g")).alias("h")).select("token", F.col("h.g").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.k").alias("hub_k"))
     sizes_fit = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    spokes = lists.join(hubs, "token").filter((F.col("g") != F.col("hub")) & sizes_fit).select("hub", "g").distinct()
+    enough = F.least("k", "hub_k") >= shared_needed(F.col("n"), F.col("hub_n"), percent)
+    spokes = ranked.join(hubs, "token").filter((F.col("g") != F.col("hub")) & sizes_fit & enough).select("hub", "g").distinct()
     ends = heads.select(F.col("g").alias("hub"), F.col("head").alias("a"))
     outer = spokes.join(ends, "hub").join(members.select("g", F.col("sig").alias("b")), "g").select("a", "b")
     inner = members.join(heads.filter("size > 1").select("g", F.col("head").alias("a")), "g").select("a", F.col("sig").alias("b"))
@@ -261,13 +287,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
     state = placed.groupBy("g").agg(F.min("root").alias("c"), F.max("root").alias("c2")).select("g", "c", (F.col("c") != F.col("c2")).alias("mixed"))
     rows = lists.join(state, "g")
     open_lists = rows.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("mixed").alias("m"), F.min("n").alias("least")).filter("c1 <> c2 or m").select("token", "least")
-    rows = rows.join(open_lists, "token")
+    rows = written(rows.join(open_lists, "token"), "jaccard-open")
+    rows = rows.join(rows.groupBy("g").agg(F.countDistinct("token").alias("k")), "g")
     # tokens before the first shared one are not shared: what follows must suffice, with some size in the list
     rest = F.col("n") - F.col("pos")
-    rows = written(rows.filter(rest >= near(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100.0)), percent)).drop("least"), "jaccard-open")
-    x, y = (rows.select("token", *(F.col(c).alias(c + k) for c in ("g", "n", "pos", "c", "mixed"))) for k in "12")
+    rows = written(rows.filter(rest >= near(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100.0)), percent)).drop("least"), "jaccard-rows")
+    x, y = (rows.select("token", *(F.col(c).alias(c + k) for c in ("g", "n", "pos", "c", "mixed", "k"))) for k in "12")
     apart = F.col("mixed1") | F.col("mixed2") | (F.col("c1") != F.col("c2"))
     fits = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= near(F.col("n1"), F.col("n2"), percent))
+    fits = fits & (F.least("k1", "k2") >= shared_needed(F.col("n1"), F.col("n2"), percent))
     pairs = x.join(y, "token").filter((F.col("g1") < F.col("g2")) & apart & fits).select("g1", "g2").distinct()
     pairs = pairs.union(state.filter("mixed").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
     p1 = placed.select(F.col("g").alias("g1"), F.col("sig").alias("a"), F.col("root").alias("r1"))

@@ -24,7 +24,7 @@ class Hashed(dict):
     """Hashes of words met by this worker."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return h

@@ -24,7 +24,7 @@ WORD_CHUNKS = "[^ \t-\r]+"
 _other = re.compile("[^\0-ſ]|İ").search
 _stops = re.compile("(?<=[a-z\xe0-\xf6\xf8-\xff])[.,](?=[ \t-\r]|$)").sub
 _odd = re.compile("(?:^|[^a-z\xe0-\xf6\xf8-\xff])[.,][ \n]").search
-KEEP = 1_000_000
+KEEP = 600_000
 
 
 def path_of(name: str) -> str:
