@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridjobs.llm.common import written
-from gridjobs.llm.jaccard import FEW, near_duplicates
+from gridjobs.llm.jaccard import FEW, keyed_duplicates
 from gridjobs.llm.mixing import WORD, mix_sources
 from gridjobs.llm.packing import pack_documents
 from gridjobs.llm.quality import fit, score_documents
@@ -25,11 +25,11 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS)
 
 
-def join_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows with (or without) a doc_id of ids, null-safe; ids are broadcast only if counted few."""
-    told = ids.select(F.col("doc_id").alias("_id"))
-    told = F.broadcast(told) if ids.count() <= FEW else told
-    return docs.join(told, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+def join_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows with (or without) a doc_id and key of keys, null-safe; keys are broadcast only if counted few."""
+    told = keys.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    told = F.broadcast(told) if keys.count() <= FEW else told
+    return docs.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,22 +43,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One row of each group of near duplicates: the one with the least doc_id (null comes last) and,
+    among the rows of that doc_id, the least hash of its text.
 
-    Documents without words are groups of their own. Rows of one doc_id (null being one too) count
-    as one document, of which the least text stays.
+    Documents without words are groups of their own. Rows of one doc_id, null being one too, are
+    different documents if their texts differ; with equal texts they are one, of which one row stays.
     """
-    docs = documents(docs)
-    found = near_duplicates(docs.select("doc_id", "text"))
-    first = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = written(found.groupBy("doc_id").agg(first.alias("keep"), F.count("*").alias("n")).filter("not keep or n > 1"), "pipeline-ids")
-    some = join_ids(docs, ids.filter("not keep"), "left_anti")
-    repeated = ids.filter("keep")
+    docs = documents(docs).withColumn("key", F.xxhash64("text"))
+    found = keyed_duplicates(docs.select("doc_id", "key", "text"))
+    least = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = written(found.groupBy("doc_id", "key", "component").agg(least.alias("least"), F.count("*").alias("n")), "pipeline-rows")
+    first = rows.filter("least and component is not null")
+    tied = first.groupBy("component").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi")
+    later = written(first.join(tied, "component").filter("key <> lo").select("doc_id", "key"), "pipeline-ties")
+    some = join_keys(docs, rows.filter("not least").select("doc_id", "key").union(later), "left_anti")
+    repeated = rows.filter("least and n > 1")
     if repeated.isEmpty():
-        return some
-    least = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    once = join_ids(some, repeated, "left_semi").withColumn("_k", least).filter("_k = 1")
-    return join_ids(some, repeated, "left_anti").unionByName(documents(once))
+        return documents(some)
+    again = join_keys(some, repeated, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("source", "lang", "n_chars")).alias("row")).select("doc_id", "text", "row.*")
+    return documents(join_keys(some, repeated, "left_anti")).unionByName(documents(again))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,9 +58,9 @@ def numbered(df: DataFrame, *order, name: str = "idx", parts: int | None = None)
     return at.withColumn(name, offset + local).drop("_p", "_m")
 
 
-def ids_and_texts(docs: DataFrame) -> DataFrame:
-    """doc_id (0 for null), no_id and text: pandas would turn ids beside a null into floats."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"))
+def ids_and_texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (0 for null), no_id, text and more columns: pandas would turn ids beside a null into floats."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def id_list(batch, a: int = 0, b: int | None = None) -> list[int | None]:

@@ -73,7 +73,7 @@ def digest(data: bytes, size: int) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
 
-SKETCHED = "doc_id long, n long, sig binary, slice int, counts binary"
+SKETCHED = "doc_id long, key long, n long, sig binary, slice int, counts binary"
 
 
 def sketch_bits(docs: DataFrame) -> int:
@@ -83,7 +83,7 @@ def sketch_bits(docs: DataFrame) -> int:
 
 
 def sketched(docs: DataFrame, words: int, bits: int) -> DataFrame:
-    """(doc_id, n, sig) per row, and at a task's end its counts of shingle buckets in slices.
+    """(doc_id, key, n, sig) per row, and at a task's end its counts of shingle buckets in slices.
 
     A task counts to 255; that is far above rare.
     """
@@ -94,17 +94,17 @@ def sketched(docs: DataFrame, words: int, bits: int) -> DataFrame:
         counts = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(id_list(batch), batch["text"]):
+            for doc_id, key, text in zip(id_list(batch), batch["key"], batch["text"]):
                 s = shingles(text, words)
                 at, more = np.unique(s >> np.uint64(64 - bits), return_counts=True)
                 counts[at] = np.minimum(counts[at] + more.astype(np.int64), 255)
-                rows.append((doc_id, len(s), digest(s.tobytes(), 16) if len(s) else None, -1, None))
+                rows.append((doc_id, key, len(s), digest(s.tobytes(), 16) if len(s) else None, -1, None))
             yield frame(rows, SKETCHED)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
-            yield pd.DataFrame({"doc_id": pd.array([None] * SLICES, "Int64"), "n": 0, "sig": None, "slice": range(SLICES), "counts": parts})
+            yield pd.DataFrame({"doc_id": pd.array([None] * SLICES, "Int64"), "key": 0, "n": 0, "sig": None, "slice": range(SLICES), "counts": parts})
 
-    return ids_and_texts(docs).mapInPandas(run, SKETCHED)
+    return ids_and_texts(docs, "key").mapInPandas(run, SKETCHED)
 
 
 def commonness(sketch: DataFrame, bits: int, mean: float) -> np.ndarray:
@@ -243,17 +243,25 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text); see keyed_duplicates."""
+    return keyed_duplicates(docs.withColumn("key", F.lit(0)), words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keyed_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, component) for every row of docs (doc_id, key, text).
+
+    component tells components apart that have the same component_id (as rows of one doc_id, null
+    being one too, can be in several); it is null for texts without words. key is passed through.
 
     component_id is the smallest doc_id that links reach. Two texts link when their sets' intersection
     is at least percent of their union; texts without words have an empty set and link with none. Null
     text counts as empty. A null doc_id takes part and never is the smallest; repeated rows each get
     their row. Equal sets meet as one class, so copies cost no pairs.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     bits = sketch_bits(docs)
     first = written(sketched(docs, words, bits), "jaccard-first")
-    ids = first.filter("slice < 0").select("doc_id", "n", "sig")
+    ids = first.filter("slice < 0").select("doc_id", "key", "n", "sig")
     common = commonness(first.filter("slice >= 0"), bits, (ids.agg(F.sum("n")).first()[0] or 0) / (1 << bits))
     profile = written(profiled(docs, common, words, percent), "jaccard-profiles")
     reps = ids.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
@@ -309,8 +317,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> D
 
     ids_of = members.select("sig", "doc_id").join(final, F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig"))
     least = ids_of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = ids_of.select("sig", "root").join(least, "root").select("sig", "component_id")
-    return ids.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = ids_of.select("sig", "root").join(least, "root").select("sig", "component_id", F.col("root").alias("component"))
+    return ids.join(named, "sig", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,34 @@ def test_near_copies_stage(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want.values()})
 
 
+def test_near_copies_keep_different_texts_of_one_id(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    near = b + " end"
+    rows = [
+        (None, a), (None, c), (None, c), (None, near), (None, ""), (None, "  "), (None, None),  # near is a copy of 2's text
+        (2, b), (5, d), (5, near), (7, c + " x"), (8, c + " y z"), (9, None), (9, ""), (9, ""),
+        (10, "one two"), (10, "three four"), (11, "p q r s t u"), (11, "P q r s t u"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    kept = [(r["doc_id"], (r["text"] or "").lower() if r["doc_id"] == 11 else r["text"]) for r in pipeline.near_copies(spark, docs, DATA).collect()]
+    want = [
+        (None, a), (None, ""), (None, "  "), (None, None), (2, b), (5, d), (7, c + " x"), (9, None), (9, ""),
+        (10, "one two"), (10, "three four"), (11, "p q r s t u"),
+    ]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want))
+
+
+def test_near_copies_keep_a_third_without_ids(spark, docs):
+    some = docs.withColumn("doc_id", F.expr("case when doc_id % 3 = 0 then null else doc_id end"))
+    kept = pipeline.near_copies(spark, some, DATA).collect()
+    want = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    ids = {}
+    for r in docs.collect():
+        ids.setdefault(r["text"], []).append(r["doc_id"])
+    groups = sorted(want[ids[r["text"]][0]][1] for r in kept)
+    assert groups == sorted({c for _, c in want.values()})
+
+
 def test_secrets_stage(spark):
     data = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = {r["doc_id"]: r for r in pipeline.secrets(spark, data, DATA).collect()}
