@@ -65,11 +65,16 @@ def crop_domain(df: DataFrame, model: bool = True) -> DataFrame:
 def select_bbox(df: DataFrame, areas: DataFrame, key: str = "area_label") -> DataFrame:
     """Rows of every area's box; an area without an exact row takes those within half a cell more.
 
-    areas must be few (a broadcast of a dimension; see areas_range_join for many).
+    Padded boxes are spelt out as cell keys, so this is an equi-join for any number of areas.
     """
     pad = STEP / 2
     wide = {k: F.col(k) + (pad if k.startswith("max") else -pad) for k in ("min_lat", "max_lat", "min_lon", "max_lon")}
-    near = df.join(areas, inside(wide)).withColumn("_exact", inside({k: F.col(k) for k in wide}))
+    keys = [("_lat", "min_lat", "max_lat"), ("_lon", "min_lon", "max_lon")]
+    spelt = areas.where((wide["min_lat"] <= wide["max_lat"]) & (wide["min_lon"] <= wide["max_lon"]))
+    for k, low, high in keys:
+        spelt = spelt.withColumn(k, F.explode(F.sequence(index(wide[low]), index(wide[high]))))
+    rows = df.withColumns({"_lat": index("latitude"), "_lon": index("longitude")})
+    near = rows.join(spelt, ["_lat", "_lon"]).where(inside(wide)).drop("_lat", "_lon").withColumn("_exact", inside({k: F.col(k) for k in wide}))
     some = near.groupBy(key).agg(F.max("_exact").alias("_some"))
     return near.join(some, key).where(F.col("_exact") | ~F.col("_some")).drop("_exact", "_some")
 

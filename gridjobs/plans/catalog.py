@@ -99,7 +99,7 @@ def flag_inside(f):
 SELECT area_label, latitude, longitude FROM near WHERE ok OR area_label NOT IN (SELECT area_label FROM near WHERE ok)""".replace("WITH g", "SELECT * FROM (WITH g") + ")")
 def bbox_select_padded(f):
     cells = f.grid_obs.select("latitude", "longitude").distinct()
-    return grid.select_bbox(cells, F.broadcast(f.areas.where("seq < 40"))).select("area_label", "latitude", "longitude")
+    return grid.select_bbox(cells, f.areas.where("seq < 40")).select("area_label", "latitude", "longitude")
 
 
 @query("SELECT value, lat - 0.5 AS min_lat, lat + 0.5 AS max_lat, lon - 0.5 AS min_lon, lon + 0.5 AS max_lon, (lat - 0.5 + lat + 0.5) / 2 AS center_lat, (lon - 0.5 + lon + 0.5) / 2 AS center_lon FROM {cities}")

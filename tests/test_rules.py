@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridjobs.functions import grid, months, text, values
 from gridjobs.operators import landcover, metrics, observed, quality, reshape, trends, verify
+from gridjobs.plans.fixtures import Fixtures
 
 
 def pairs(spark, predicted, observed_, group="vegetation", variable="NDVI"):
@@ -92,6 +93,21 @@ def test_padding_only_where_a_box_is_empty(spark):
     assert got == {("in", 40.0), ("near", 40.0)}
 
 
+def test_padded_boxes_of_all_areas_meet_by_cell_keys(spark):
+    f = Fixtures(spark, "/root/testdata/sf0.01")
+    off = spark.createDataFrame([(40.125, 0.375), (40.3751, 0.1), (41.07, 0.62), (None, 0.5)], "latitude double, longitude double")
+    cells = f.grid_obs.select("latitude", "longitude").distinct().union(off)
+    out = grid.select_bbox(cells, f.areas.hint("merge"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    at, want = [tuple(r) for r in cells.dropna().collect()], []
+    areas = f.areas.collect()
+    for a in areas:
+        by = {p: [x for x in at if a["min_lat"] - p <= x[0] <= a["max_lat"] + p and a["min_lon"] - p <= x[1] <= a["max_lon"] + p] for p in (0, 0.125)}
+        want += [(a["area_label"], *x) for x in by[0] or by[0.125]]
+    assert len(areas) == 100 and sorted(map(tuple, out.select("area_label", "latitude", "longitude").collect())) == sorted(want)
+
+
 def test_forecast_months(spark):
     df = spark.createDataFrame([("2021-04-01", "2021-05-01", "2021-12-01"), ("2021-11-01", "2021-12-01", "2021-12-01"), ("2021-05-01", "2021-05-01", "2021-12-01")], "s string, e string, l string")
     told = months.forecast_month(*(F.col(c).cast("date") for c in "sel"))
