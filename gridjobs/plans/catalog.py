@@ -828,7 +828,7 @@ def manifest_defaults(f):
 
 @query()
 def flatten_manifest(f):
-    nested = f.runs.where("seq < 400").select("run_id", F.struct("checkpoint", F.struct("input_mode", "atmosphere").alias("input")).alias("run"), F.array("path").alias("paths"))
+    nested = f.runs.select("run_id", F.struct("checkpoint", F.struct("input_mode", "atmosphere").alias("input")).alias("run"), F.array("path").alias("paths"))
     return reshape.flatten(nested)
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from gridjobs.plans import catalog
+from gridjobs.plans.fixtures import Fixtures
 from tests.compare import same
 
 DATA = "/root/testdata/sf0.001"
@@ -31,3 +32,9 @@ def test_plans_stay_in_the_engine(spark):
     for name in ("continuous_metrics", "area_month", "carry_forward", "regrid_pixels", "areas_range_join", "kpis"):
         plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan, name
+
+
+def test_flattened_manifest_has_every_run(spark):
+    runs = Fixtures(spark, DATA).runs
+    values = catalog.queries()["flatten_manifest"](spark, DATA).where("key = 'paths'")
+    assert sorted(r["value"] for r in values.collect()) == sorted(f'["{r["path"]}"]' for r in runs.collect())
