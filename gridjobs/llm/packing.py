@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from gridjobs.llm.common import frame, id_list, ids_and_texts
-from gridjobs.llm.tokens import BYTE_CHUNKS, encoder, groups_of, path_of
+from gridjobs.llm.tokens import BYTES, encoder, groups_of, path_of
 
 TIERS = (1024, 512, 256, 128)
 POOL_TOKENS = 1 << 20
@@ -94,7 +94,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tiers: tuple[int
         from pyspark import TaskContext
 
         made = groups = TaskContext.get().partitionId() << 32
-        enc = encoder(path, BYTE_CHUNKS)
+        enc = encoder(path, BYTES)
 
         def flush(ids_of, keys):
             nonlocal made, groups
@@ -112,7 +112,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tiers: tuple[int
 
         ids_of, keys, held = [], [], 0
         for batch in batches:
-            for a, b in groups_of(batch["text"]):
+            for a, b in groups_of(batch["text"], 1 << 20):
                 texts = [x if isinstance(x, str) else "" for x in batch["text"][a:b]]
                 for doc_id, ids in zip(id_list(batch, a, b), enc.encode(texts)):
                     ids_of.append(np.append(ids, end_id).astype("<u4"))

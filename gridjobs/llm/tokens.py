@@ -9,22 +9,27 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
-#: Unicode white space.
-SPACE = "\t-\r \x85\xa0  -     　"
-#: A byte-level tokenizer keeps white space: the last blank of a run goes with the next word.
-BYTE_CHUNKS = f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: A word tokenizer drops white space.
-WORD_CHUNKS = "[^ \t-\r]+"
-#: A tokenizer that lower-cases and drops white space gives a text's ids for these rewritings too,
-#: which have fewer different chunks: Latin letters lower-cased, and a stop or comma that ends a
-#: word set apart.
-_other = re.compile("[^\0-ſ]|İ").search
-_stops = re.compile("(?<=[a-z\xe0-\xf6\xf8-\xff])[.,](?=[ \t-\r]|$)").sub
-_odd = re.compile("(?:^|[^a-z\xe0-\xf6\xf8-\xff])[.,][ \n]").search
-KEEP = 600_000
+from gridjobs.llm.chunks import SPACE, Clash, Growing, Numbers, packed, segments
+
+#: Unicode white space beyond ASCII.
+WIDE_SPACE = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "\t-\r " + WIDE_SPACE
+#: White space of both kinds side by side, where a run cannot be told from its ASCII part.
+_mixed = re.compile(f"[\t-\r ][{WIDE_SPACE}]|[{WIDE_SPACE}][\t-\r ]").search
+_wide = re.compile(f"[{WIDE_SPACE}]").search
+#: Lead bytes of such characters.
+_WIDE_LEADS = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
+#: Chunks of a text with such runs: the last blank of a run goes with the next word.
+_byte_chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+#: Bytes of characters below U+0180.
+_LOW = bytes(range(0xC6))
+#: Kinds of tokenizer: one keeps white space, the other lower-cases and drops it.
+BYTES, WORDS = "bytes", "words"
+KEEP = 800_000
 
 
 def path_of(name: str) -> str:
@@ -34,148 +39,180 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def plainer(text: str) -> str:
-    if not text.isascii() and _other(text):
-        return text
-    text = text.lower()
-    if _odd(text):
-        return _stops(r" \g<0>", text)
-    return text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
+def utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
-#: Plain words of each kind of chunk. Joined, they are encoded in one go, and a vocabulary entry of a
-#: word's end (or, with a leading blank, of its beginning) tells where the next one starts.
-PLAIN = {WORD_CHUNKS: (re.compile("[a-z\xe0-\xf6\xf8-\xff]+").fullmatch, " "), BYTE_CHUNKS: (re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch, "")}
+def lowered(text: str) -> bytes:
+    """Bytes of the text, its Latin letters lower-cased if it has no other letters.
 
+    A tokenizer that lower-cases gives the same ids for both, and there are fewer different chunks.
+    """
+    if text.isascii():
+        return text.lower().encode()
+    data = utf8(text)
+    return data if data.translate(None, _LOW) or "\u0130" in text else text.lower().encode()
 
-class Seen(dict):
-    """Numbers chunks as they come; new ones wait in pending."""
 
-    def __init__(self):
-        self.pending: list[str] = []
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins of bytes in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.pending.append(chunk)
-        return n
 
+_SHOWN = {b: c for c, b in byte_alphabet().items()}
 
-class Growing:
-    """Arrays of varying length, end to end, to gather by number."""
 
-    def __init__(self, dtype):
-        self.flat, self.ends, self.n = np.empty(1 << 16, dtype), np.zeros(1 << 14, np.int64), 0
+def shown(chunk: str) -> str:
+    """A chunk in the stand-ins of its bytes."""
+    return chunk.replace(" ", "\u0120") if chunk.isascii() else utf8(chunk).decode("latin-1").translate(_SHOWN)
 
-    def extend(self, parts: list[np.ndarray]) -> None:
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
-        start = self.ends[self.n]
-        ends = start + np.cumsum(lens)
-        while self.n + len(parts) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while len(parts) and ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.ends[self.n + 1 : self.n + 1 + len(parts)] = ends
-        if len(parts):
-            self.flat[start : ends[-1]] = np.concatenate(parts)
-        self.n += len(parts)
 
-    def lengths(self, idx: np.ndarray) -> np.ndarray:
-        return self.ends[idx + 1] - self.ends[idx]
+def wide_space(text: str, data: bytes) -> bool:
+    return any(x in data for x in _WIDE_LEADS) and _wide(text) is not None
 
-    def gather(self, idx: np.ndarray) -> np.ndarray:
-        lens = self.lengths(idx)
-        shift = np.repeat(self.ends[idx] - (np.cumsum(lens) - lens), lens)
-        return self.flat[shift + np.arange(len(shift))]
+
+def mixed_space(text: str, data: bytes) -> bool:
+    """Whether ASCII and other white space stand side by side."""
+    return any(x in data for x in _WIDE_LEADS) and _mixed(text) is not None
+
+
+def cut_with_blanks(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of chunks that keep white space: the last blank of a run goes with the next word."""
+    starts, ends, kind = segments(buf)
+    white = kind == SPACE
+    joins = np.append(white[:-1] & ~white[1:] & (ends[:-1] == starts[1:]), False)[: len(white)]
+    blank = joins & (buf[ends - 1] == 32)
+    starts = starts - np.concatenate([[False], blank[:-1]])[: len(starts)]
+    # a run before a word gives what precedes its last character, and that character unless a blank
+    one, two = np.where(joins, ends - 1, ends), ends - blank
+    at = np.stack([starts, one], 1).ravel()
+    to = np.stack([one, two], 1).ravel()
+    kept = at < to
+    return at[kept], to[kept]
+
+
+def cut_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of chunks without white space."""
+    starts, ends, kind = segments(buf)
+    kept = kind != SPACE
+    return starts[kept], ends[kept]
+
+
+def cut_after_blanks(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of chunks that keep all white space with what follows it."""
+    starts, ends, kind = segments(buf)
+    white = kind == SPACE
+    joins = np.append(white[:-1] & ~white[1:] & (ends[:-1] == starts[1:]), False)[: len(white)]
+    starts[1:][joins[:-1]] = starts[:-1][joins[:-1]]
+    return starts[~joins], ends[~joins]
 
 
 class Encoder:
     """Ids of texts as the library gives them, without added special tokens."""
 
-    def __init__(self, path: str, chunks: str):
+    def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.kind = kind
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = list(special)
         self.break_text, self.break_id = next(iter(special.items()), (None, None))
-        self.find = re.compile(chunks).findall
-        self.plainer = plainer if chunks == WORD_CHUNKS else str
-        self.is_plain, self.between = PLAIN[chunks]
-        vocab = self.library.get_vocab()
-        self.edge = np.zeros(max(vocab.values()) + 1, bool)
-        self.edge[[i for s, i in vocab.items() if (s.startswith("Ġ") if self.between == "" else s.endswith("</w>"))]] = True
+        # plain words go to the model without the rest of the library's work
+        self.is_plain = re.compile(" [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+" if kind == BYTES else "[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+        self.cut, self.bytes_of = (cut_with_blanks, utf8) if kind == BYTES else (cut_words, lowered)
         self.forget()
 
-    def forget(self) -> None:
-        self.seen, self.ids = Seen(), Growing(np.int32)
+    def forget(self, turn: int = 0) -> None:
+        self.seen, self.ids = Numbers(turn), Growing(np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
 
     def marks(self, text: str) -> bool:
-        return any(x in text for x in self.special)
-
-    def split(self, todo: list[str], between: str, cut) -> list[np.ndarray] | None:
-        """Ids of chunks that are encoded joined, 200 in one text; None if they can't be told apart."""
-        out: list[np.ndarray] = []
-        joined = [between.join(todo[i : i + 200]) for i in range(0, len(todo), 200)]
-        for encoded in self.library.encode_batch_fast(joined, add_special_tokens=False):
-            out += cut(np.array(encoded.ids, np.int32))
-        return out if len(out) == len(todo) else None
-
-    def at_special(self, got: np.ndarray) -> list[np.ndarray]:
-        at = np.flatnonzero(got == self.break_id)
-        return [got[a:b] for a, b in zip([0, *(at + 1)], [*at, len(got)])]
-
-    def at_edges(self, got: np.ndarray) -> list[np.ndarray]:
-        at = np.flatnonzero(self.edge[got])
-        starts, ends = (at, [*at[1:], len(got)]) if self.between == "" else ([0, *(at[:-1] + 1)], at + 1)
-        return [got[a:b] for a, b in zip(starts, ends)]
-
-    def learn(self) -> None:
-        """Encode pending chunks, many in one call; a special token keeps those apart that are no plain words."""
-        todo, self.seen.pending = self.seen.pending, []
-        plain = [i for i, x in enumerate(todo) if self.is_plain(x)]
-        made: list = [None] * len(todo)
-        for i, ids in zip(plain, (self.split([todo[i] for i in plain], self.between, self.at_edges) if plain else None) or ()):
-            made[i] = ids
+        return any(x in text for x in self.special) or (self.kind == WORDS and any(x in text.lower() for x in self.special if "<" in text))
+
+    def of_rest(self, todo: list[str]) -> list[np.ndarray]:
+        """Ids of chunks that are no plain words, 200 in one text, parted by a special token."""
+        if self.break_text:
+            out: list[np.ndarray] = []
+            for encoded in self.library.encode_batch_fast([self.break_text.join(todo[i : i + 200]) for i in range(0, len(todo), 200)], add_special_tokens=False):
+                got = np.array(encoded.ids, np.int32)
+                at = np.flatnonzero(got == self.break_id)
+                out += [got[a:b] for a, b in zip([0, *(at + 1)], [*at, len(got)])]
+            if len(out) == len(todo):
+                return out
+        return [self.whole(x) for x in todo]
+
+    def learn(self, todo: list[str]) -> None:
+        tokenize, plain = self.model.tokenize, self.is_plain
+        made: list = [[t.id for t in tokenize(shown(x))] if plain(x) else None for x in todo]
         rest = [i for i, ids in enumerate(made) if ids is None]
-        texts = [todo[i] for i in rest]
-        several = self.split(texts, self.break_text, self.at_special) if rest and self.break_text else None
-        for i, ids in zip(rest, several or map(self.whole, texts)):
+        for i, ids in zip(rest, self.of_rest([todo[i] for i in rest])):
             made[i] = ids
-        self.ids.extend(made)
+        lens = np.fromiter(map(len, made), np.int64, len(made))
+        self.ids.append(np.fromiter(chain.from_iterable(made), np.int32, lens.sum()), lens)
+
+    def ids_of(self, raw: list[bytes], cuts=None) -> list[np.ndarray]:
+        """Ids of each text from those of its chunks, given as lengths of their bytes or found here."""
+        buf, at = packed(raw)
+        if cuts is None:
+            starts, ends = self.cut(buf)
+        else:
+            starts = np.concatenate([a + np.cumsum(c) - c for a, c in zip(at, cuts)])
+            ends = starts + np.concatenate(cuts)
+        idx, new = self.seen.numbers(buf, starts, ends - starts)
+        self.learn([buf[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(starts[new], ends[new])])
+        upto = np.concatenate([[0], np.cumsum(self.ids.lengths(idx))])
+        bounds = upto[np.append(np.searchsorted(starts, at), len(idx))]
+        flat = self.ids.gather(idx)
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.seen) > KEEP:
             self.forget()
-        found: list = []
-        for text in texts:
+        out: list = [None] * len(texts)
+        plain, odd = [], []
+        for i, text in enumerate(texts):
             text = text or ""
-            plain = self.plainer(text)
-            if self.marks(text) or self.marks(plain):
-                found.append((True, self.whole(text)))
+            if self.marks(text):
+                out[i] = self.whole(text)
+                continue
+            data = self.bytes_of(text)
+            if self.kind == BYTES and mixed_space(text, data):
+                odd.append((i, text))
             else:
-                chunks = self.find(plain)
-                found.append((False, np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))))
-        self.learn()
-        return [x if done else self.ids.gather(x) for done, x in found]
+                plain.append((i, data))
+        turn = self.seen.turn
+        while True:
+            try:
+                for some, cuts in ((plain, None), ([(i, utf8(t)) for i, t in odd], [np.array([len(utf8(c)) for c in _byte_chunks(t)], np.int64) for _, t in odd])):
+                    if some:
+                        for (i, _), ids in zip(some, self.ids_of([b for _, b in some], cuts)):
+                            out[i] = ids
+                return out
+            except Clash:  # chunks of one hash: another hash tells them apart
+                turn += 2
+                self.forget(turn)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, chunks: str) -> Encoder:
+def encoder(path: str, kind: str) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if (path, chunks) not in _encoders:
-        _encoders[path, chunks] = Encoder(path, chunks)
-    return _encoders[path, chunks]
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = Encoder(path, kind)
+    return _encoders[path, kind]
 
 
-def groups_of(values, chars: int = 200_000):
+def groups_of(values, chars: int = 1 << 21):
     """Slices of a batch holding about so many characters, so intermediate lists stay small."""
     start = held = 0
     for i, x in enumerate(values):
