@@ -14,74 +14,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.llm.common import id_list, ids_and_texts, written
-from gridjobs.llm.tokens import WORD_CHUNKS, encoder, groups_of, path_of
+from gridjobs.llm.tokens import WORDS, encoder, groups_of, path_of
 
 BLOCK_IDS = 1 << 20
-ROUNDS = 12
-PER_ROUND = 1300
+#: A rule takes the room of three symbols (two and its length), so fewer replacements than this save none.
 LEAST = 4
+SLOTS = 20
+_LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
-def frequent_pairs(keys: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent of the keys, in their order."""
-    keys = np.sort(keys)
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(starts, len(keys)))
-    often = np.flatnonzero(counts >= least)
-    if len(often) > most:
-        often = often[np.argsort(-counts[often], kind="stable")[:most]]
-    return np.sort(keys[starts[often]])
-
-
-def slots_of(keys: np.ndarray) -> np.ndarray:
-    """A 20-bit hash of each key."""
-    few, shift = (np.uint32(2654435761), np.uint32(12)) if keys.dtype == np.uint32 else (np.uint64(0x9E3779B97F4A7C15), np.uint64(44))
-    return (keys * few) >> shift
-
-
-def compress(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST):
+def compress(ids: np.ndarray, starts: np.ndarray, base: int, least: int = LEAST):
     """Rules (left, right) for symbols base, base + 1, ..., the symbols, and each document's first symbol.
 
     starts: where each document's ids begin. Pairs across two documents are never replaced, so a
-    document is a slice of symbols. Overlapping occurrences are taken from the left.
+    document is a slice of symbols. Each round replaces all pairs that occur as often as a threshold,
+    which falls by half from round to round, down to `least`; it ends when no pair occurs so often.
+    Where occurrences of wanted pairs overlap, they are taken from the left.
     """
-    symbols = ids.astype(np.int32)
+    import pandas as pd
+
+    symbols = ids.astype(np.uint32)
     first = np.zeros(len(symbols) + 1, bool)
     first[starts] = True
     first = first[:-1]
-    rules = []
-    known = base
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        wide, bits = (np.uint32, 16) if known <= 1 << 16 else (np.uint64, 32)
-        keys = (symbols[:-1].astype(wide) << wide(bits)) | symbols[1:].astype(wide)
-        wanted = frequent_pairs(keys[~first[1:]], per_round, least)
-        # of pairs that share a slot the first is taken; the others' turn comes in the next round
-        _, one = np.unique(slots_of(wanted), return_index=True)
-        wanted = wanted[np.sort(one)]
-        if not len(wanted):
-            break
-        rule_at = np.full(1 << 20, -1, np.int32)
-        rule_at[slots_of(wanted)] = np.arange(len(wanted))
-        order = rule_at[slots_of(keys)]
-        at = np.flatnonzero((order >= 0) & ~first[1:])
-        order = order[at]
-        hit = wanted[order] == keys[at]
-        at, order = at[hit], order[hit]
-        left, right = (wanted >> wide(bits)).astype(np.int64), (wanted & wide((1 << bits) - 1)).astype(np.int64)
+    rules, known, threshold = [], base, None
+    while len(symbols) > 1:
+        # counts by a hash of the pair leave few pairs to count exactly
+        slot = ((symbols[:-1] * _LEFT + symbols[1:] * _RIGHT) >> np.uint32(32 - SLOTS)).astype(np.int32)
+        slot[first[1:]] = 1 << SLOTS
+        counts = np.bincount(slot, minlength=(1 << SLOTS) + 1)
+        counts[-1] = 0
+        threshold = max(least, int(counts.max()) // 2 if threshold is None else threshold // 2)
+        at = np.flatnonzero((counts >= threshold)[slot])
+        which, pairs = pd.factorize(symbols[at].astype(np.int64) << 32 | symbols[at + 1])
+        wanted = np.bincount(which, minlength=len(pairs)) >= threshold
+        if not wanted.any():
+            if threshold == least:
+                break
+            continue
+        at, which = at[wanted[which]], which[wanted[which]]
         run = np.concatenate([[True], at[1:] != at[:-1] + 1])
         begin = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - begin) % 2 == 0
-        at, order = at[take], order[take]
-        symbols[at] = known + order
+        at, which = at[take], which[take]
+        # a pair that lost all its occurrences to others needs no rule
+        used = np.bincount(which, minlength=len(pairs)) > 0
+        symbols[at] = known + (np.cumsum(used) - 1)[which]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, first = symbols[keep], first[keep]
-        rules.append(np.stack([left, right], 1))
-        known += len(left)
+        rules.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], 1))
+        known += int(used.sum())
     rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    return rules, symbols, np.flatnonzero(first)
+    return rules, symbols.astype(np.int64), np.flatnonzero(first)
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -120,15 +105,26 @@ def expand_by_table(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray,
     return flat[np.repeat(start[symbols] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
 
 
+def stored(x: np.ndarray, width: int) -> bytes:
+    """Numbers as little-endian integers of so many bytes."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def loaded(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u4")[:, 0].astype(np.int64)
+
+
 class Block:
     """One stored block, for reading."""
 
     def __init__(self, row):
-        width = f"<u{row['symbol_bytes']}"
+        width = row["symbol_bytes"]
         self.base, self.n = row["base"], row["n_ids"]
-        self.rules = np.frombuffer(row["rules"], width).reshape(-1, 2).astype(np.int64)
+        self.rules = loaded(row["rules"], width).reshape(-1, 2)
         self.lengths = np.frombuffer(row["rule_lengths"], "<u4").astype(np.int64)
-        self.symbols = np.frombuffer(row["symbols"], width)
+        self.symbols = loaded(row["symbols"], width)
         self.doc_symbols = np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64)
         self.doc_starts = np.frombuffer(row["doc_starts"], "<u4").astype(np.int64)
         self.doc_ids = [int(x) for x in np.frombuffer(row["doc_ids"], "<i8")]
@@ -166,28 +162,30 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 1, block_ids: int = B
 
     Documents are dealt to ranges of (doc_id, hash of the text), null ids first, so repeated ids
     spread too; (part, block) orders the blocks. Null text counts as empty: the end id alone. An
-    empty table gives no blocks.
+    empty table gives no blocks. A document is never cut, so a block holds block_ids ids and at most
+    one group of texts (a million characters, or one longer text) more; other columns are not read.
     """
 
     def run(batches):
         import pandas as pd
         from pyspark import TaskContext
 
-        enc, part, block = encoder(path, WORD_CHUNKS), TaskContext.get().partitionId(), 0
+        enc, part, block = encoder(path, WORDS), TaskContext.get().partitionId(), 0
         base = enc.library.get_vocab_size(with_added_tokens=True)
 
         def flush(keys, ids_of):
             lens = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
             starts = np.cumsum(lens) - lens
             rules, symbols, doc_symbols = compress(np.concatenate(ids_of), starts, base)
-            width = 2 if base + len(rules) <= 1 << 16 else 4
-            pack = lambda x, w: x.astype(f"<u{w}").tobytes()
+            width = 2 if base + len(rules) <= 1 << 16 else 3 if base + len(rules) <= 1 << 24 else 4
             lengths = expansion_lengths(rules, base)
-            return pd.DataFrame([(part, block, len(keys), int(lens.sum()), base, width, pack(rules, width), pack(lengths, 4), pack(symbols, width), pack(doc_symbols, 4), pack(starts, 4), np.array([k or 0 for k in keys], "<i8").tobytes(), pack(np.array([i for i, k in enumerate(keys) if k is None], np.int64), 4))], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            nulls = np.array([i for i, k in enumerate(keys) if k is None], np.int64)
+            row = (part, block, len(keys), int(lens.sum()), base, width, stored(rules.ravel(), width), stored(lengths, 4), stored(symbols, width), stored(doc_symbols, 4), stored(starts, 4), np.array([k or 0 for k in keys], "<i8").tobytes(), stored(nulls, 4))
+            return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         keys, ids_of, held = [], [], 0
         for batch in batches:
-            for a, b in groups_of(batch["text"]):
+            for a, b in groups_of(batch["text"], 1 << 20):
                 texts = [x if isinstance(x, str) else "" for x in batch["text"][a:b]]
                 for doc_id, ids in zip(id_list(batch, a, b), enc.encode(texts)):
                     keys.append(doc_id)
