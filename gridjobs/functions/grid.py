@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridjobs.functions.tables import few
 from gridjobs.functions.values import col, number
 
 #: Grid step, model domain and its size, and the wider area.
@@ -124,17 +125,30 @@ def flip(df: DataFrame, lat: bool = True, lon: bool = False, height: int = MODEL
     return df.withColumns(out) if out else df
 
 
+def flip_by(df: DataFrame, lat: str, lon: str, height: int = MODEL_HEIGHT, width: int = MODEL_WIDTH) -> DataFrame:
+    """Reverse rows or columns of maps where their own boolean columns lat and lon say so."""
+    turned = lambda c, size, flag: F.when(F.col(flag), size - 1 - F.col(c)).otherwise(F.col(c))
+    return df.withColumns({"lat_index": turned("lat_index", height, lat), "lon_index": turned("lon_index", width, lon)})
+
+
 def nearest_to_grid(df: DataFrame, grid: DataFrame, key: str) -> DataFrame:
     """For every grid coordinate the row of the nearest source coordinate of one axis, ties to the larger.
 
-    Both axes are small dimensions (their distinct values), so all pairs are compared there only.
+    Only distinct values of the axis are compared; those of the source are sent to all tasks if few.
     """
     source = df.select(F.col(key).alias("source")).distinct()
     target = grid.select(F.col(key).alias("target")).distinct()
-    best = target.join(F.broadcast(source)).groupBy("target").agg(F.min_by("source", F.struct(F.abs(F.col("source") - F.col("target")), -F.col("source"))).alias("source"))
+    best = target.crossJoin(few(source)).groupBy("target").agg(F.min_by("source", F.struct(F.abs(F.col("source") - F.col("target")), -F.col("source"))).alias("source"))
     return best
 
 
+def model_grid_counts(table: DataFrame, grid: DataFrame, value: str) -> DataFrame:
+    """How many cells of the table with a value the grid has (matched) and has not (skipped)."""
+    cells = table.where(F.col(value).isNotNull()).select("lat_i", "lon_i").distinct()
+    known = cells.join(grid.select("lat_i", "lon_i").distinct().withColumn("_in", F.lit(True)), ["lat_i", "lon_i"], "left")
+    return known.agg(F.count("_in").alias("matched"), F.count_if(F.col("_in").isNull()).alias("skipped"))
+
+
 def to_model_grid(table: DataFrame, grid: DataFrame, value: str, fill: float = 0.0) -> DataFrame:
     """Mean of duplicates per grid cell, `fill` where there is none."""
     mean = table.where(F.col(value).isNotNull()).groupBy("lat_i", "lon_i").agg(F.avg(value).alias(value))

@@ -18,6 +18,13 @@ def unit_token(c) -> Column:
     return F.trim(F.regexp_replace(text, "[^a-z0-9]+", "_"), F.lit("_"))
 
 
+def unit_name(unit: str) -> str:
+    """unit_token of one known unit, for column names; nothing left is native."""
+    import re
+
+    return "_".join(re.findall("[a-z0-9]+", unit.replace("°", "").replace("/", "_per_").lower())) or "native"
+
+
 def feature_label(prefix: str, variable, unit) -> Column:
     return F.concat_ws("_", F.lit(prefix), F.lower(col(variable)), unit_token(unit))
 

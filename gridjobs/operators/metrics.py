@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridjobs.functions.grid import flip
+from gridjobs.functions.grid import flag_inside, flip, inside
+from gridjobs.functions.text import unit_name
 from gridjobs.functions.values import EPS, col, finite, pct_error, ratio
 
 
@@ -60,9 +61,9 @@ def plain_valid(predicted: str, observed: str) -> Column:
 def cell_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Per cell: percent errors and share of the map's WAPE, with the map's totals from one small join."""
     p, o, ok = finite("predicted"), finite("observed"), valid_pair()
-    totals = continuous_metrics(pairs, keys).select(*keys, "wape_pct", "rmae_pct", "cvrmse_pct")
-    sums = pairs.groupBy(*keys).agg(F.sum(F.when(ok, F.abs(o))).alias("_sum"))
-    rows = pairs.join(totals.join(sums, keys), keys)
+    told = _aggregates(ok, p, o)
+    totals = pairs.groupBy(*keys).agg(*(told[c].alias(c) for c in ("wape_pct", "rmae_pct", "cvrmse_pct")), F.sum(F.when(ok, F.abs(o))).alias("_sum"))
+    rows = pairs.join(totals, keys)
     size, d = F.abs(p) + F.abs(o), F.abs(p - o)
     return rows.withColumns({
         "metric_valid": ok,
@@ -72,11 +73,15 @@ def cell_metrics(pairs: DataFrame, keys: list[str]) -> DataFrame:
     }).drop("_sum")
 
 
-def binary_aggregates(threshold, predicted="predicted", observed="observed") -> dict[str, Column]:
-    """Counts of presence (value at or over the threshold; missing is absent) and scores from them."""
+def presence_counts(threshold, predicted="predicted", observed="observed") -> dict[str, Column]:
+    """Counts of presence: a value at or over the threshold; a missing one is absent."""
     p = F.coalesce(finite(predicted) >= threshold, F.lit(False))
     o = F.coalesce(finite(observed) >= threshold, F.lit(False))
-    tp, fp, fn, tn = F.count_if(p & o), F.count_if(p & ~o), F.count_if(~p & o), F.count_if(~p & ~o)
+    return {"tp": F.count_if(p & o), "fp": F.count_if(p & ~o), "fn": F.count_if(~p & o), "tn": F.count_if(~p & ~o)}
+
+
+def scores(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
+    """Counts of presence and the scores from them."""
     return {
         "tp": tp, "fp": fp, "fn": fn, "tn": tn,
         "precision": F.try_divide(tp, tp + fp), "recall": F.try_divide(tp, tp + fn),
@@ -86,24 +91,66 @@ def binary_aggregates(threshold, predicted="predicted", observed="observed") ->
     }
 
 
+def binary_aggregates(threshold, predicted="predicted", observed="observed") -> dict[str, Column]:
+    return scores(**presence_counts(threshold, predicted, observed))
+
+
 def binary_scores(pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return pairs.groupBy(*keys).agg(*(c.alias(n) for n, c in binary_aggregates(threshold).items()))
 
 
+RICHNESS = ("predicted_mean", "observed_mean", "mae", "rmse", "bias", "correlation", "wape_pct", "smape_pct", "rmae_pct", "cvrmse_pct", "cell_count")
+
+
 def species_richness(pairs: DataFrame, keys: list[str], cell: list[str], thresholds=(0.1, 0.5)) -> DataFrame:
     """Per run and threshold: presence scores over species and cells, and metrics of richness per cell.
 
-    Thresholds are columns of one aggregation per cell, not copies of the rows.
+    Thresholds are columns of one aggregation per cell and one per run, not copies of the rows: the
+    scores are sums of the cells' counts.
     """
-    over = lambda c, t: F.count_if(F.coalesce(finite(c) >= t, F.lit(False)))
-    by_cell = pairs.groupBy(*keys, *cell).agg(*(over(c, t).cast("double").alias(f"{c}_{k}") for k, t in enumerate(thresholds) for c in ("predicted", "observed")))
-    out = None
+    counts = {(k, n): c for k, t in enumerate(thresholds) for n, c in presence_counts(t).items()}
+    by_cell = pairs.groupBy(*keys, *cell).agg(*(c.alias(f"{n}_{k}") for (k, n), c in counts.items()))
+    told = []
     for k, t in enumerate(thresholds):
-        rich = continuous_metrics(by_cell, keys, f"predicted_{k}", f"observed_{k}", plain_valid(f"predicted_{k}", f"observed_{k}"))
-        rich = rich.select(*keys, *(F.col(c).alias(f"richness_{c}") for c in ("predicted_mean", "observed_mean", "mae", "rmse", "bias", "correlation", "wape_pct", "smape_pct", "rmae_pct", "cvrmse_pct", "cell_count")))
-        one = binary_scores(pairs, keys, t).join(rich, keys).withColumn("threshold", F.lit(float(t)))
-        out = one if out is None else out.unionByName(one)
-    return out
+        p, o = ((F.col(f"tp_{k}") + F.col(f"{x}_{k}")).cast("double") for x in ("fp", "fn"))
+        rich = _aggregates(F.lit(True), p, o)
+        own = scores(*(F.sum(f"{n}_{k}") for n in ("tp", "fp", "fn", "tn")))
+        told.append(F.struct(*(c.alias(n) for n, c in own.items()), *(rich[n].alias(f"richness_{n}") for n in RICHNESS), F.lit(float(t)).alias("threshold")))
+    return by_cell.groupBy(*keys).agg(F.array(*told).alias("_r")).select(*keys, F.explode("_r").alias("_r")).select(*keys, "_r.*")
+
+
+def species_matrix(pairs: DataFrame, keys: list[str], bounds, threshold: float = 0.5) -> DataFrame:
+    """Per species, on the full grid and on the selected area: continuous metrics and presence scores.
+
+    Both scopes and both kinds of metrics are columns of one aggregation.
+    """
+    within = F.coalesce(inside(bounds), F.lit(False))
+    told = []
+    for scope, some in (("full_grid", F.lit(True)), ("selected_area", within)):
+        p, o = (F.when(some, finite(c)) for c in ("predicted", "observed"))
+        ok = some & p.isNotNull() & o.isNotNull()
+        over = {c: F.coalesce(v >= threshold, F.lit(False)) for c, v in (("p", p), ("o", o))}
+        counts = (F.count_if(some & a & b) for a, b in ((over["p"], over["o"]), (over["p"], ~over["o"]), (~over["p"], over["o"]), (~over["p"], ~over["o"])))
+        metrics = _aggregates(ok, p, o) | {"cell_count": F.count_if(some)}
+        told.append(F.struct(F.lit(scope).alias("scope"), *(c.alias(n) for n, c in metrics.items()), *(c.alias(n) for n, c in scores(*counts).items())))
+    return pairs.groupBy(*keys).agg(F.array(*told).alias("_r")).select(*keys, F.explode("_r").alias("_r")).select(*keys, "_r.*")
+
+
+def cell_matrix(pairs: DataFrame, keys: list[str], variable: str, unit: str, bounds) -> DataFrame:
+    """One variable's cells: predicted, observed, difference and absolute error in columns named after
+    variable and unit, the percent columns of cell_metrics, and whether a cell lies in the area."""
+    label = f"{variable}_{unit_name(unit)}"
+    rows = flag_inside(cell_metrics(pairs.where(F.col("variable") == variable), keys), bounds)
+    d = F.col("predicted") - F.col("observed")
+    named = {"predicted": F.col("predicted"), "observed": F.col("observed"), "difference": d, "abs_error": F.abs(d)}
+    percent = ("metric_valid", "ape_pct", "cell_smape_pct", "wape_contribution_pct", "wape_pct", "rmae_pct", "cvrmse_pct")
+    return rows.select(*keys, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), *(c.alias(f"{n}_{label}") for n, c in named.items()), "inside_selected_area", *percent)
+
+
+def sort_metrics(metrics: DataFrame, nulls_first: bool = False) -> DataFrame:
+    """By month, group, variable and level; missing values first in one report, last in the other."""
+    order = F.asc_nulls_first if nulls_first else F.asc_nulls_last
+    return metrics.orderBy(*(order(c) for c in ("forecast_month", "grp", "variable", "level")))
 
 
 def species_proxy(pairs: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.functions.grid import STEP, cell_keys, inside, snap_to_grid
+from gridjobs.functions.tables import few
 from gridjobs.functions.months import days_in_month, filter_months, month_start
 from gridjobs.functions.values import col
 
@@ -37,16 +38,22 @@ def species_area_month(occ: DataFrame, bounds=None, start=None, end=None, max_st
     return rows.select("month", "species").distinct().groupBy("month").agg(F.count("*").alias("species_count_observed_area"))
 
 
+def species_records(occ: DataFrame) -> DataFrame:
+    """Months, species and grid cells with a record: the sparse form of presence."""
+    return snap_to_grid(occ.dropna()).select(month_start("ts").alias("month"), "species", "lat_i", "lon_i").distinct()
+
+
 def species_presence(occ: DataFrame, cells: DataFrame, species: DataFrame, months: DataFrame) -> DataFrame:
-    """1 where a listed species has a record in a month and grid cell, 0 elsewhere: the dense form."""
-    seen = snap_to_grid(occ.dropna()).select(month_start("ts").alias("month"), "species", "lat_i", "lon_i").distinct().withColumn("presence", F.lit(1))
-    frame = cells.select("lat_i", "lon_i").join(F.broadcast(months.select("month").distinct())).join(F.broadcast(species.select("species").distinct()))
+    """1 where a listed species has a record in a month and grid cell, 0 elsewhere: the dense form of species_records."""
+    seen = species_records(occ).withColumn("presence", F.lit(1))
+    frame = cells.select("lat_i", "lon_i").crossJoin(few(months.select("month").distinct())).crossJoin(few(species.select("species").distinct()))
     return frame.join(seen, ["month", "species", "lat_i", "lon_i"], "left").withColumn("presence", F.coalesce("presence", F.lit(0)))
 
 
 def first_matching_step(grid: DataFrame, keys=("variable", "month", "lat_i", "lon_i"), time: str = "valid_time") -> DataFrame:
-    """Of several time steps of one month the first."""
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(time))
+    """Of several time steps of one month the first; of equal ones the least in the other columns."""
+    rest = sorted(c for c in grid.columns if c not in (*keys, time))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(time, *rest))
     return grid.withColumn("_n", first).where("_n = 1").drop("_n")
 
 
@@ -72,11 +79,14 @@ def precipitation_mm(df: DataFrame) -> DataFrame:
     return df.withColumns({"precipitation_mean_daily_mm": F.lit(None).cast("double"), "precipitation_mean_mm": F.lit(None).cast("double")})
 
 
-def ndvi_from_lai(high="lai_hv", low="lai_lv") -> Column:
-    """Greenness from leaf area; one missing part counts 0, both missing stay missing."""
+def ndvi_from_lai(high="lai_hv", low="lai_lv", land=None) -> Column:
+    """Greenness of land from leaf area, a missing part counting 0; missing at sea.
+
+    land: whether the cell is land, or nothing if all rows are.
+    """
     lai = F.coalesce(col(high), F.lit(0.0)) + F.coalesce(col(low), F.lit(0.0))
     value = F.least(F.greatest(1.0 - F.exp(-0.5 * lai), F.lit(0.0)), F.lit(0.92))
-    return F.when(col(high).isNull() & col(low).isNull(), None).otherwise(value)
+    return value if land is None else F.when(col(land), value)
 
 
 def primary_fallback(primary: DataFrame, fallback: DataFrame, value: str, keys=("month", "lat_i", "lon_i")) -> DataFrame:
@@ -92,7 +102,7 @@ def monthly_layer(table: DataFrame, value: str, name: str) -> DataFrame:
 
 def static_broadcast(df: DataFrame, months: DataFrame) -> DataFrame:
     """A layer without time, for every month (a dimension of distinct months)."""
-    return df.crossJoin(F.broadcast(months.select("month").distinct()))
+    return df.crossJoin(few(months.select("month").distinct()))
 
 
 def yearly_asof(land: DataFrame, months: DataFrame, variable: str) -> DataFrame:
@@ -106,6 +116,21 @@ def yearly_asof(land: DataFrame, months: DataFrame, variable: str) -> DataFrame:
     return layer.join(F.broadcast(chosen), "year").select("month", "lat_i", "lon_i", "value", F.col("year").alias("source_year"))
 
 
+def yearly_asof_wide(land: DataFrame, months: DataFrame, names: dict[str, str]) -> DataFrame:
+    """yearly_asof of several variables side by side: (month, lat_i, lon_i) and a column for each name.
+
+    One filter, one mean per year and cell, and one pivot, however many variables there are.
+    """
+    table = land.where(F.col("variable").isin(*names))
+    years = table.select("variable", "year").distinct()
+    wanted = months.select("month", F.year("month").alias("y")).distinct()
+    # small dimensions: variables times years, and months
+    chosen = wanted.crossJoin(few(years)).where(F.col("year") <= F.col("y")).groupBy("month", "variable").agg(F.max("year").alias("year"))
+    layer = table.where(F.col("value").isNotNull()).groupBy("variable", "year", "lat_i", "lon_i").agg(F.avg("value").alias("value"))
+    rows = layer.join(few(chosen), ["variable", "year"])
+    return rows.groupBy("month", "lat_i", "lon_i").agg(*(F.max(F.when(F.col("variable") == v, F.col("value"))).alias(n) for v, n in names.items()))
+
+
 def drop_all_missing(df: DataFrame, columns) -> DataFrame:
     return df.dropna(how="all", subset=list(columns))
 
@@ -122,19 +147,20 @@ def weighted_land_series(grid: DataFrame, value: str, transform=lambda c: c) ->
     return land.groupBy("month").agg(transform(weighted_mean(value)).alias("value"))
 
 
-def cell_month(climate: DataFrame, species: DataFrame, ndvi: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+def cell_month(climate: DataFrame, species: DataFrame, layers: DataFrame, ndvi: DataFrame | None = None) -> DataFrame:
     """The wide cell table: climate rows of land cells with any value, and what other layers know of them.
 
-    All joins are equi-joins on (month, lat_i, lon_i), so one partitioning serves them.
+    layers: yearly_asof_wide. ndvi: a table of its own, if ndvi_mean is no column of climate. All joins
+    are equi-joins on (month, lat_i, lon_i), so one partitioning serves them.
     """
     keys = ["month", "lat_i", "lon_i"]
     base = precipitation_mm(climate).withColumn("temperature_mean_c", F.col("t2m") - 273.15)
     base = base.withColumns({"swvl1_mean": F.col("swvl1"), "swvl2_mean": F.col("swvl2"), "stl1_mean": F.col("stl1") - 273.15, "stl2_mean": F.col("stl2") - 273.15})
     base = drop_all_missing(base, ("temperature_mean_c", "precipitation_mean_mm", "swvl1_mean", "swvl2_mean", "stl1_mean", "stl2_mean"))
     out = apply_land_mask(base, land_mask(climate)).select(*keys, *(c for c in AREA_MEANS if c in base.columns))
-    out = out.join(ndvi.select(*keys, "ndvi_mean"), keys, "left")
-    for name, layer in layers.items():
-        out = out.join(layer.select(*keys, F.col("value").alias(name)), keys, "left")
+    if ndvi is not None:
+        out = out.join(ndvi.select(*keys, "ndvi_mean"), keys, "left")
+    out = out.join(layers, keys, "left")
     out = out.join(species.select(*keys, F.col("species_count").alias("species_count_observed_cell")), keys, "left")
     return cell_keys(out.withColumns({"latitude": F.col("lat_i") * STEP, "longitude": F.col("lon_i") * STEP}))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridjobs.functions.values import display_unit, display_value, finite
 from gridjobs.functions.grid import inside
+from gridjobs.functions.tables import few
 
 
 def variable_inventory(grid: DataFrame, value: str = "value") -> DataFrame:
@@ -66,7 +67,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 def gap_matrix(sources: DataFrame, months: DataFrame) -> DataFrame:
     """Every source and month with whether it has data; both dimensions are small."""
-    frame = sources.select("source").distinct().join(F.broadcast(months.select("month").distinct()))
+    frame = sources.select("source").distinct().crossJoin(few(months.select("month").distinct()))
     have = sources.select("source", "month").distinct().withColumn("available", F.lit(True))
     return frame.join(have, ["source", "month"], "left").withColumn("available", F.coalesce("available", F.lit(False)))
 
@@ -100,8 +101,8 @@ def source_sample(grid: DataFrame, variable: str, value: str = "value") -> DataF
 
 
 def sample_points(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """A repeatable sample: the n rows of least hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """A repeatable sample: the n rows of least md5 of seed and keys, the same in any engine."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys))), *keys).limit(n)
 
 
 def best_source(candidates: DataFrame) -> DataFrame:
@@ -127,8 +128,14 @@ def kelvin_guard(layers: DataFrame) -> DataFrame:
 
 
 def dense_batch(groups: DataFrame, cells: DataFrame, variables: DataFrame, mode: str = "all") -> DataFrame:
-    """Every listed variable on every cell: values where known, zeros elsewhere and for placeholder groups."""
+    """Every listed variable on every cell: values where known, zeros elsewhere and for placeholder groups.
+
+    The land group's Land is a copy of the surface group's lsm. Mode clean also leaves vegetation,
+    agriculture and forest at zero.
+    """
+    land = groups.where((F.col("grp") == "surface") & (F.col("variable") == "lsm")).withColumns({"grp": F.lit("land"), "variable": F.lit("Land")})
+    groups = groups.where((F.col("grp") != "land") | (F.col("variable") != "Land")).unionByName(land)
     empty = ("redlist", "misc") + (("vegetation", "agriculture", "forest") if mode == "clean" else ())
-    frame = cells.select("lat_i", "lon_i").join(F.broadcast(variables))
+    frame = cells.select("lat_i", "lon_i").crossJoin(few(variables))
     rows = frame.join(groups, ["grp", "variable", "lat_i", "lon_i"], "left")
     return rows.withColumn("value", F.when(F.col("grp").isin(*empty), 0.0).otherwise(F.coalesce("value", F.lit(0.0))))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridjobs.functions.grid import STEP, cell_keys, inside
 from gridjobs.functions.months import MONTH_NAMES, month_number, month_start
 from gridjobs.functions.values import number
 
@@ -122,6 +123,24 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(*leaves(df.schema, ""))).alias("r")).select("r.*")
 
 
+#: The variables of a forecast month and their columns.
+FORECAST_COLUMNS = {
+    "temperature": "temperature_mean_c", "ndvi": "ndvi_mean", "swvl1": "swvl1_mean", "swvl2": "swvl2_mean", "stl1": "stl1_mean", "stl2": "stl2_mean",
+    "cropland": "cropland_mean", "arable": "arable_mean", "forest": "forest_mean",
+}
+
+
+def forecast_month_cells(layers: DataFrame, bounds, columns: dict[str, str] = FORECAST_COLUMNS) -> DataFrame:
+    """All layers of each month side by side within a box, with cell id and weight.
+
+    layers: month, variable, lat_i, lon_i, value. A cell is there if any layer has it; species counts
+    are not forecast and stay missing.
+    """
+    wide = forecast_cells(layers.where(F.col("variable").isin(*columns)), list(columns)).withColumnsRenamed(columns)
+    at = wide.withColumns({"latitude": F.round(F.col("lat_i") * STEP, 2), "longitude": F.round(F.col("lon_i") * STEP, 2)}).where(inside(bounds))
+    return cell_keys(at).select("month", "latitude", "longitude", "cell_id", "latitude_weight", F.lit(None).cast("long").alias("species_count_observed_cell"), *columns.values())
+
+
 def forecast_cells(layers: DataFrame, variables: list[str]) -> DataFrame:
     """Long layers of a month side by side: one shuffle on the cell instead of a join per layer."""
     return layers.groupBy("month", "lat_i", "lon_i").pivot("variable", variables).agg(F.first("value", ignorenulls=True))

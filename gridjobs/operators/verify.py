@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridjobs.functions.grid import areas_range_join, flip
+from gridjobs.functions.grid import areas_range_join, flip, flip_by
+from gridjobs.functions.tables import few
 from gridjobs.functions.values import col, pct_error, pct_error_kelvin
 from gridjobs.operators.metrics import continuous_metrics
 
@@ -59,6 +60,20 @@ def pair_maps(predicted: DataFrame, observed: DataFrame, keys: list[str], flip_l
     return turned.select(*cell, "predicted").join(observed.select(*cell, "observed"), cell, "left" if keep_unmatched else "inner")
 
 
+def pair_runs(predicted: DataFrame, observed: DataFrame, runs: DataFrame, keys: list[str], export: bool = False, size=(160, 280), keep_unmatched: bool = False) -> DataFrame:
+    """pair_maps of many runs in one job, each turned as its own manifest says.
+
+    runs: run_id, latitude_flip, longitude_flip (null where a manifest says nothing). Metrics then take
+    no turn; exports assume that rows are turned and columns are not. A run without a row in runs counts
+    as one whose manifest says nothing. One prediction and its flags meet by an equi-join on run_id.
+    """
+    flags = few(runs.select("run_id", *(F.coalesce(c, F.lit(d)).alias(f"_{c}") for c, d in (("latitude_flip", export), ("longitude_flip", False)))))
+    told = predicted.join(flags, "run_id", "left").withColumns({"_latitude_flip": F.coalesce("_latitude_flip", F.lit(export)), "_longitude_flip": F.coalesce("_longitude_flip", F.lit(False))})
+    turned = flip_by(told, "_latitude_flip", "_longitude_flip", *size)
+    cell = ["run_id", *keys, "lat_index", "lon_index"]
+    return turned.select(*cell, "predicted").join(observed.select(*cell, "observed"), cell, "left" if keep_unmatched else "inner")
+
+
 def reliability(group="grp", variable="variable", mae="mae", corr="correlation", rel="rmae_pct") -> Column:
     """Grades in the words of the reports; comparisons with a missing metric fail."""
     g, v, m, r, e = map(col, (group, variable, mae, corr, rel))
@@ -180,7 +195,7 @@ def area_summary(pairs: DataFrame, areas: DataFrame, keys: list[str]) -> DataFra
     """Metrics of every area and of the full grid; an area without cells has counts of 0."""
     some = areas_range_join(pairs, areas)
     own = continuous_metrics(some, [*keys, "area_label"])
-    frame = areas.select("area_label").distinct().join(F.broadcast(pairs.select(*keys).distinct()))
+    frame = areas.select("area_label").distinct().crossJoin(few(pairs.select(*keys).distinct()))
     own = frame.join(own, [*keys, "area_label"], "left").fillna(0, ["cell_count", "valid_cell_count"])
     full = continuous_metrics(pairs, keys).withColumn("area_label", F.lit("full_grid"))
     return own.unionByName(full).withColumn("within_3pct", F.coalesce(F.col("rmae_pct") <= 3.0, F.lit(False)))
@@ -204,6 +219,14 @@ def by_city(cases: DataFrame) -> DataFrame:
     return cases.groupBy("city").agg(F.count("*").alias("case_count"), *(F.avg(c).alias(f"mean_{c}") for c in mean), (F.avg(F.col("overall_pass").cast("int")) * 100.0).alias("overall_pass_rate_pct"))
 
 
+def validation_summary(cases: DataFrame) -> DataFrame:
+    """One row over all validated cases; without cases counts and means are 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return cases.agg(
+        F.count("*").alias("case_count"), F.countDistinct("city").alias("city_count"), F.count_if("overall_pass").alias("overall_pass_count"), zero(F.avg(F.col("overall_pass").cast("int")) * 100.0).alias("overall_pass_rate_pct"),
+        zero(F.avg("temperature_error_pct_kelvin")).alias("temperature_mean_error_pct_kelvin"), zero(F.avg("precipitation_error_pct")).alias("precipitation_mean_error_pct"), zero(F.avg("species_error_pct_proxy")).alias("species_mean_error_pct_proxy"))
+
+
 def history_upsert(previous: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Append and keep the last batch's row per key; batches are numbered by seq, never by row order."""
     rows = previous.unionByName(new, allowMissingColumns=True)

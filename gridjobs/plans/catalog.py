@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.functions import grid, months, text, values
@@ -95,11 +95,11 @@ def flag_inside(f):
     return grid.flag_inside(at, {"min_lat": 41.0, "max_lat": 44.0, "min_lon": 2.0, "max_lon": 9.0}).select("c_custkey", "inside_selected_area")
 
 
-@query("""WITH g AS (SELECT DISTINCT latitude, longitude FROM {grid_obs}), near AS (SELECT area_label, latitude, longitude, latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon AS ok FROM g JOIN {areas} ON latitude BETWEEN min_lat - 0.125 AND max_lat + 0.125 AND longitude BETWEEN min_lon - 0.125 AND max_lon + 0.125 WHERE seq < 40)
+@query("""WITH g AS (SELECT DISTINCT latitude, longitude FROM {grid_obs}), near AS (SELECT area_label, latitude, longitude, latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon AS ok FROM g JOIN {areas} ON latitude BETWEEN min_lat - 0.125 AND max_lat + 0.125 AND longitude BETWEEN min_lon - 0.125 AND max_lon + 0.125)
 SELECT area_label, latitude, longitude FROM near WHERE ok OR area_label NOT IN (SELECT area_label FROM near WHERE ok)""".replace("WITH g", "SELECT * FROM (WITH g") + ")")
 def bbox_select_padded(f):
     cells = f.grid_obs.select("latitude", "longitude").distinct()
-    return grid.select_bbox(cells, f.areas.where("seq < 40")).select("area_label", "latitude", "longitude")
+    return grid.select_bbox(cells, f.areas).select("area_label", "latitude", "longitude")
 
 
 @query("SELECT value, lat - 0.5 AS min_lat, lat + 0.5 AS max_lat, lon - 0.5 AS min_lon, lon + 0.5 AS max_lon, (lat - 0.5 + lat + 0.5) / 2 AS center_lat, (lon - 0.5 + lon + 0.5) / 2 AS center_lon FROM {cities}")
@@ -133,9 +133,14 @@ def precipitation_mm(f):
     return observed.precipitation_mm(f.grid_obs).select(*keys, "precipitation_mean_daily_mm", "precipitation_mean_mm").join(other, keys)
 
 
-@query("SELECT month, lat_i, lon_i, CASE WHEN lai_hv IS NULL AND lai_lv IS NULL THEN NULL ELSE least(greatest(1 - exp(-0.5 * (coalesce(lai_hv, 0) + coalesce(lai_lv, 0))), 0), 0.92) END AS ndvi_mean FROM {grid_obs}", "ndvi_mean")
+GREEN = "least(greatest(1 - exp(-0.5 * (coalesce(lai_hv, 0) + coalesce(lai_lv, 0))), 0), 0.92)"
+
+
+@query(f"SELECT month, lat_i, lon_i, CASE WHEN (lat_i, lon_i) IN (SELECT (lat_i, lon_i) FROM ({LAND})) THEN {GREEN} END AS ndvi_mean FROM {{grid_obs}}", "ndvi_mean")
 def ndvi_from_lai(f):
-    return f.grid_obs.select("month", "lat_i", "lon_i", observed.ndvi_from_lai().alias("ndvi_mean"))
+    land = observed.land_mask(f.grid_obs).withColumn("land", F.lit(True))
+    rows = f.grid_obs.join(land, ["lat_i", "lon_i"], "left")
+    return rows.select("month", "lat_i", "lon_i", observed.ndvi_from_lai(land="land").alias("ndvi_mean"))
 
 
 @query("SELECT DISTINCT lat_i, lon_i, printf('%.2f_%.2f', latitude, longitude) AS cell_id, cos(radians(latitude)) AS latitude_weight FROM {grid_obs}", "latitude_weight")
@@ -178,6 +183,13 @@ def scale_roundtrip(f):
     return back.select("month", "lat_i", "lon_i", "variable", "scaled", F.col("value").alias("restored"))
 
 
+@query("SELECT month, lat_i, lon_i, variable, (value - avg(value) OVER w) / stddev_pop(value) OVER w AS scaled FROM {grid_long} WINDOW w AS (PARTITION BY variable)", "scaled")
+def scale_zscore(f):
+    rows = f.grid_long.select("month", "lat_i", "lon_i", "variable", F.lit(None).cast("int").alias("level"), "value")
+    stats = rows.groupBy("variable", "level").agg(F.min("value").alias("stat_min"), F.max("value").alias("stat_max"), F.avg("value").alias("stat_mean"), F.stddev_pop("value").alias("stat_std"))
+    return quality.scale(rows, stats, "zscore").select("month", "lat_i", "lon_i", "variable", F.col("value").alias("scaled"))
+
+
 @query(f"SELECT tile_seq, code, CASE WHEN code IN {landcover.ARABLE_CODES} THEN CAST(100 AS DOUBLE) ELSE 0 END AS arable, CASE WHEN code IN {landcover.CROPLAND_CODES} THEN CAST(100 AS DOUBLE) ELSE 0 END AS cropland, CASE WHEN value BETWEEN 0 AND 100 AND value <> nodata THEN value END AS forest, count(*) AS n FROM {{pixels}} GROUP BY ALL")
 def landcover_mask(f):
     rows = f.pixels.select("tile_seq", "code", landcover.class_mask("code", landcover.ARABLE_CODES).alias("arable"), landcover.class_mask("code", landcover.CROPLAND_CODES).alias("cropland"), landcover.valid_range("value", "nodata").alias("forest"))
@@ -239,16 +251,16 @@ def approx_species(f):
     return observed.species_cell_month(f.occ, BOX, approximate=True)
 
 
-@query(f"SELECT m.month, s.species, c.lat_i, c.lon_i, CAST(CASE WHEN o.species IS NULL THEN 0 ELSE 1 END AS INT) AS presence FROM (SELECT DISTINCT lat_i, lon_i - 17 AS lon_i FROM {{grid_base}} WHERE lon_i < 6 AND lat_i < 163) c CROSS JOIN (SELECT DISTINCT month FROM {{months}} WHERE month < DATE '1996-01-01') m CROSS JOIN (SELECT DISTINCT species FROM {{occ}} WHERE species < 'sp_15') s LEFT JOIN (SELECT DISTINCT * FROM ({SNAPPED})) o ON o.month = m.month AND o.species = s.species AND o.lat_i = c.lat_i AND o.lon_i = c.lon_i")
+@query(f"SELECT m.month, s.species, c.lat_i, c.lon_i, CAST(CASE WHEN o.species IS NULL THEN 0 ELSE 1 END AS INT) AS presence FROM (SELECT DISTINCT lat_i, lon_i - 17 AS lon_i FROM {{grid_base}}) c CROSS JOIN {{months}} m CROSS JOIN (SELECT DISTINCT species FROM {{occ}}) s LEFT JOIN (SELECT DISTINCT * FROM ({SNAPPED})) o ON o.month = m.month AND o.species = s.species AND o.lat_i = c.lat_i AND o.lon_i = c.lon_i")
 def species_presence(f):
-    cells = f.grid_base.where("lon_i < 6 and lat_i < 163").select("lat_i", (F.col("lon_i") - 17).alias("lon_i")).distinct()
-    return observed.species_presence(f.occ, cells, f.occ.where("species < 'sp_15'"), f.months.where("month < date '1996-01-01'")).select("month", "species", "lat_i", "lon_i", "presence")
+    cells = f.grid_base.select("lat_i", (F.col("lon_i") - 17).alias("lon_i")).distinct()
+    return observed.species_presence(f.occ, cells, f.occ, f.months).select("month", "species", "lat_i", "lon_i", "presence")
 
 
-@query("SELECT coalesce(p.month, q.month) AS month, coalesce(p.lat_i, q.lat_i) AS lat_i, coalesce(p.lon_i, q.lon_i) AS lon_i, coalesce(p.ndvi, q.swvl1) AS ndvi FROM (SELECT * FROM {grid_obs} WHERE k1 % 2 = 0) p FULL JOIN (SELECT * FROM {grid_obs} WHERE k1 % 3 = 0) q ON p.month = q.month AND p.lat_i = q.lat_i AND p.lon_i = q.lon_i".replace("k1", "(lat_i + lon_i)"), "ndvi")
+@query("SELECT coalesce(p.month, q.month) AS month, coalesce(p.lat_i, q.lat_i) AS lat_i, coalesce(p.lon_i, q.lon_i) AS lon_i, coalesce(CASE WHEN (p.k1) % 2 = 0 THEN p.ndvi END, CASE WHEN (q.k1) % 3 = 0 THEN q.swvl1 END) AS ndvi FROM (SELECT *, lat_i + lon_i AS k1 FROM {grid_obs}) p FULL JOIN (SELECT *, lat_i + lon_i AS k1 FROM {grid_obs}) q ON p.month = q.month AND p.lat_i = q.lat_i AND p.lon_i = q.lon_i", "ndvi")
 def primary_fallback(f):
     at = F.col("lat_i") + F.col("lon_i")
-    return observed.primary_fallback(f.grid_obs.where(at % 2 == 0), f.grid_obs.where(at % 3 == 0).withColumn("ndvi", F.col("swvl1")), "ndvi")
+    return observed.primary_fallback(f.grid_obs.withColumn("ndvi", F.when(at % 2 == 0, F.col("ndvi"))), f.grid_obs.withColumn("ndvi", F.when(at % 3 == 0, F.col("swvl1"))), "ndvi")
 
 
 @query("SELECT month, lat_i, lon_i, avg(ndvi) AS ndvi_mean FROM {grid_obs} WHERE ndvi IS NOT NULL GROUP BY ALL", "ndvi_mean")
@@ -336,19 +348,23 @@ def species_proxy(f):
     return metrics.species_proxy(f.species_pairs, ["forecast_month"], ["lat_index", "lon_index"])
 
 
-@query(f"""WITH p AS ({PAIRED} WHERE forecast_month < DATE '1996-07-01'), a AS (SELECT * FROM {{areas}} WHERE seq < 60), frame AS (SELECT area_label, forecast_month, grp, variable FROM (SELECT DISTINCT area_label FROM a) CROSS JOIN (SELECT DISTINCT forecast_month, grp, variable FROM p)),
+@query(f"""WITH p AS ({PAIRED}), a AS (SELECT * FROM {{areas}}), frame AS (SELECT area_label, forecast_month, grp, variable FROM (SELECT DISTINCT area_label FROM a) CROSS JOIN (SELECT DISTINCT forecast_month, grp, variable FROM p)),
   own AS (SELECT area_label, forecast_month, grp, variable, {METRICS} FROM p JOIN a ON {IN_AREA} GROUP BY ALL)
   SELECT forecast_month, grp, variable, area_label, coalesce(cell_count, 0) AS cell_count, coalesce(valid_cell_count, 0) AS valid_cell_count, mae, rmse, rmae_pct, coalesce(rmae_pct <= 3, false) AS within_3pct FROM frame LEFT JOIN own USING (area_label, forecast_month, grp, variable)
   UNION ALL SELECT forecast_month, grp, variable, 'full_grid', cell_count, valid_cell_count, mae, rmse, rmae_pct, coalesce(rmae_pct <= 3, false) FROM (SELECT forecast_month, grp, variable, {METRICS} FROM p GROUP BY ALL)""".replace("WITH p", "SELECT * FROM (WITH p") + ")", "mae rmse rmae_pct")
 def area_summary(f):
-    out = verify.area_summary(f.pairs.where("forecast_month < date '1996-07-01'"), f.areas.where("seq < 60"), KEYS)
+    out = verify.area_summary(f.pairs, f.areas, KEYS)
     return out.select(*KEYS, "area_label", "cell_count", "valid_cell_count", "mae", "rmse", "rmae_pct", "within_3pct")
 
 
-@query(f"SELECT * FROM (SELECT species, {METRICS} FROM (SELECT *, predicted AS p, observed AS o, predicted IS NOT NULL AND observed IS NOT NULL AS v FROM {{species_pairs}}) GROUP BY ALL) JOIN (SELECT *, {SCORES} FROM (SELECT species, {BINARY} FROM ({PRESENCE.replace('{T}', '0.5')}) GROUP BY ALL)) USING (species)", METRIC_COLUMNS + " " + SCORE_COLUMNS)
+def _matrix(scope: str, where: str) -> str:
+    return f"SELECT '{scope}' AS scope, * FROM (SELECT species, {METRICS} FROM (SELECT *, predicted AS p, observed AS o, predicted IS NOT NULL AND observed IS NOT NULL AS v FROM {{species_pairs}} WHERE {where}) GROUP BY ALL) JOIN (SELECT *, {SCORES} FROM (SELECT species, {BINARY} FROM ({PRESENCE.replace('{T}', '0.5')}) WHERE {where} GROUP BY ALL)) USING (species)"
+
+
+@query(f"{_matrix('full_grid', 'true')} UNION ALL {_matrix('selected_area', 'lat_index BETWEEN 1 AND 2 AND lon_index BETWEEN 0 AND 0')}", METRIC_COLUMNS + " " + SCORE_COLUMNS)
 def species_matrix(f):
-    both = metrics.continuous_metrics(f.species_pairs, ["species"], valid=metrics.plain_valid("predicted", "observed"))
-    return both.join(metrics.binary_scores(f.species_pairs, ["species"], 0.5), "species")
+    at = f.species_pairs.withColumns({"latitude": F.col("lat_index").cast("double"), "longitude": F.col("lon_index").cast("double")})
+    return metrics.species_matrix(at, ["species"], {"min_lat": 1.0, "max_lat": 2.0, "min_lon": 0.0, "max_lon": 0.5})
 
 
 BATCH = "SELECT month, CASE WHEN sum(w) <> 0 THEN sum(t2m * w) / sum(w) END - 273.15 AS temperature_mean_area_c, CASE WHEN sum(w) <> 0 THEN sum(tp * w) / sum(w) END * 1000 AS precipitation_mean_area_mm, count(*) AS cell_count FROM (SELECT *, cos(radians(latitude)) AS w FROM {grid_obs}) GROUP BY 1"
@@ -478,6 +494,32 @@ def by_city(f):
     return verify.by_city(verify.case_validation(f.cases))
 
 
+@query(f"SELECT count(*) AS case_count, count(DISTINCT city) AS city_count, count(*) FILTER (overall_pass) AS overall_pass_count, avg(CAST(overall_pass AS INT)) * 100 AS overall_pass_rate_pct, avg(temperature_error_pct_kelvin) AS temperature_mean_error_pct_kelvin, avg(precipitation_error_pct) AS precipitation_mean_error_pct, avg(species_error_pct_proxy) AS species_mean_error_pct_proxy FROM ({_CASES})", "overall_pass_rate_pct temperature_mean_error_pct_kelvin precipitation_mean_error_pct species_mean_error_pct_proxy")
+def validation_summary(f):
+    return verify.validation_summary(verify.case_validation(f.cases))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY forecast_month NULLS LAST, grp NULLS LAST, variable NULLS LAST, level NULLS LAST) AS INT) AS place, forecast_month, grp, variable, level, mae FROM (SELECT forecast_month, grp, variable, level, {METRICS} FROM (SELECT * REPLACE (CASE WHEN lat_index = 0 THEN level END AS level) FROM ({PAIRED})) GROUP BY ALL)", "mae")
+def sort_metrics(f):
+    told = metrics.continuous_metrics(f.pairs.withColumn("level", F.when(F.col("lat_index") == 0, F.col("level"))), [*KEYS, "level"])
+    order = Window.orderBy(*(F.asc_nulls_last(c) for c in (*KEYS, "level")))
+    # a report's rows are few: one for each month, variable and level
+    return metrics.sort_metrics(told).select(F.row_number().over(order).alias("place"), *KEYS, "level", "mae")
+
+
+@query("""SELECT p.run_id, p.forecast_month, p.variable, p.lat_index, p.lon_index, p.predicted, o.observed FROM (SELECT run_id, forecast_month, variable, predicted, CASE WHEN month(forecast_month) % 3 = 0 THEN 4 - lat_index ELSE lat_index END AS lat_index, CASE WHEN month(forecast_month) % 2 = 0 THEN 4 - lon_index ELSE lon_index END AS lon_index FROM {pairs}) p
+  JOIN {pairs} o ON p.run_id = o.run_id AND p.variable = o.variable AND p.lat_index = o.lat_index AND p.lon_index = o.lon_index""", "predicted observed")
+def pair_runs(f):
+    m = F.month("forecast_month")
+    runs = f.pairs.select("run_id", "forecast_month").distinct().select("run_id", F.when(m % 3 != 1, m % 3 == 0).alias("latitude_flip"), (m % 2 == 0).alias("longitude_flip"))
+    return verify.pair_runs(f.pairs, f.pairs, runs, ["forecast_month", "variable"], size=(5, 5))
+
+
+@query("SELECT count(*) FILTER (g.lat_i IS NOT NULL) AS matched, count(*) FILTER (g.lat_i IS NULL) AS skipped FROM (SELECT DISTINCT lat_i, lon_i FROM {land_long} WHERE variable = 'Arable' AND year = 1997 AND value IS NOT NULL) l LEFT JOIN (SELECT DISTINCT lat_i, lon_i FROM {grid_obs} WHERE lsm > 0.5) g ON l.lat_i = g.lat_i AND l.lon_i = g.lon_i")
+def model_grid_counts(f):
+    return grid.model_grid_counts(f.land_long.where("variable = 'Arable' and year = 1997"), f.grid_obs.where("lsm > 0.5"), "value")
+
+
 @query("SELECT run_id, forecast_month, path FROM (SELECT *, row_number() OVER (PARTITION BY forecast_month ORDER BY ends_with(run_id, ' 4'), path) AS n FROM {runs} WHERE checkpoint = 'small') WHERE n = 1")
 def select_runs(f):
     return verify.select_runs(f.runs, "small").select("run_id", "forecast_month", "path")
@@ -519,7 +561,7 @@ def source_status(f):
 # observed assessment end to end
 
 _CELLS = f"""SELECT g.month, g.lat_i, g.lon_i, g.t2m - 273.15 AS temperature_mean_c, g.avg_tprate * 86400 * {DAYS.replace('month', 'g.month')} AS precipitation_mean_mm, g.avg_tprate * 86400 AS precipitation_mean_daily_mm, g.swvl1 AS swvl1_mean, g.swvl2 AS swvl2_mean, g.stl1 - 273.15 AS stl1_mean, g.stl2 - 273.15 AS stl2_mean,
-  coalesce(g.ndvi, CASE WHEN g.lai_hv IS NULL AND g.lai_lv IS NULL THEN NULL ELSE least(greatest(1 - exp(-0.5 * (coalesce(g.lai_hv, 0) + coalesce(g.lai_lv, 0))), 0), 0.92) END) AS ndvi_mean, cr.value AS cropland_mean, ar.value AS arable_mean, fo.value AS forest_mean, sp.species_count AS species_count_observed_cell, cos(radians(g.latitude)) AS latitude_weight
+  coalesce(g.ndvi, {GREEN}) AS ndvi_mean, cr.value AS cropland_mean, ar.value AS arable_mean, fo.value AS forest_mean, sp.species_count AS species_count_observed_cell, cos(radians(g.latitude)) AS latitude_weight
   FROM {{grid_obs}} g SEMI JOIN ({LAND}) l ON g.lat_i = l.lat_i AND g.lon_i = l.lon_i LEFT JOIN ({ASOF.replace('VAR', 'Cropland')}) cr ON cr.month = g.month AND cr.lat_i = g.lat_i AND cr.lon_i = g.lon_i LEFT JOIN ({ASOF.replace('VAR', 'Arable')}) ar ON ar.month = g.month AND ar.lat_i = g.lat_i AND ar.lon_i = g.lon_i
   LEFT JOIN ({ASOF.replace('VAR', 'Agriculture')}) fo ON fo.month = g.month AND fo.lat_i = g.lat_i AND fo.lon_i = g.lon_i LEFT JOIN (SELECT month, lat_i, lon_i + 17 AS lon_i, species_count FROM ({SPECIES_CELL})) sp ON sp.month = g.month AND sp.lat_i = g.lat_i AND sp.lon_i = g.lon_i
   WHERE coalesce(g.t2m, g.avg_tprate, g.swvl1, g.swvl2, g.stl1, g.stl2) IS NOT NULL"""
@@ -527,11 +569,11 @@ _WIDE = "temperature_mean_c precipitation_mean_mm precipitation_mean_daily_mm sw
 
 
 def cells_of(f):
-    keys = ["month", "lat_i", "lon_i"]
     species = observed.species_cell_month(f.occ).withColumn("lon_i", F.col("lon_i") + 17)
-    ndvi = observed.primary_fallback(f.grid_obs.select(*keys, F.col("ndvi").alias("ndvi_mean")), f.grid_obs.select(*keys, observed.ndvi_from_lai().alias("ndvi_mean")), "ndvi_mean")
-    land = {n: observed.yearly_asof(f.land_long, f.months, v) for n, v in (("cropland_mean", "Cropland"), ("arable_mean", "Arable"), ("forest_mean", "Agriculture"))}
-    return observed.cell_month(f.grid_obs, species, ndvi, land)
+    # both greenness sources are columns of one table, so the fallback needs no join
+    climate = f.grid_obs.withColumn("ndvi_mean", F.coalesce("ndvi", observed.ndvi_from_lai()))
+    layers = observed.yearly_asof_wide(f.land_long, f.months, {"Cropland": "cropland_mean", "Arable": "arable_mean", "Agriculture": "forest_mean"})
+    return observed.cell_month(climate, species, layers)
 
 
 @query(f"SELECT month, lat_i, lon_i, {', '.join(_WIDE.split())}, species_count_observed_cell FROM ({_CELLS})", _WIDE)
@@ -588,11 +630,18 @@ def forecast_area_month(f):
     return observed.area_month(grid.cell_keys(at), means=_FMEANS)
 
 
-@query("SELECT forecast_month, variable, lat_index, lon_index, predicted, observed, predicted - observed AS difference, abs(predicted - observed) AS abs_error, latitude BETWEEN 40.25 AND 40.75 AND longitude BETWEEN 0.25 AND 0.75 AS inside_selected_area FROM {pairs}", "predicted observed difference abs_error")
+@query(f"""SELECT forecast_month, grp, variable, latitude AS lat, longitude AS lon, p AS predicted_NDVI_native, o AS observed_NDVI_native, p - o AS difference_NDVI_native, abs(p - o) AS abs_error_NDVI_native, latitude BETWEEN 40.25 AND 40.75 AND longitude BETWEEN 0.25 AND 0.75 AS inside_selected_area,
+  v AS metric_valid, CASE WHEN v AND abs(o) > 1e-12 THEN 100 * abs(p - o) / abs(o) END AS ape_pct, CASE WHEN v THEN CASE WHEN abs(p) + abs(o) > 1e-12 THEN 200 * abs(p - o) / (abs(p) + abs(o)) ELSE 0 END END AS cell_smape_pct,
+  CASE WHEN v AND sum(abs(o)) FILTER (v) OVER w > 1e-12 THEN 100 * abs(p - o) / (sum(abs(o)) FILTER (v) OVER w) END AS wape_contribution_pct, wape_pct, rmae_pct, cvrmse_pct
+  FROM ({PAIRED}) JOIN (SELECT forecast_month, grp, variable, wape_pct, rmae_pct, cvrmse_pct FROM ({METRIC_ROWS})) USING (forecast_month, grp, variable) WHERE variable = 'NDVI' WINDOW w AS (PARTITION BY forecast_month, grp, variable)""", "predicted_NDVI_native observed_NDVI_native difference_NDVI_native abs_error_NDVI_native ape_pct cell_smape_pct wape_contribution_pct wape_pct rmae_pct cvrmse_pct")
 def cell_matrix(f):
-    d = F.col("predicted") - F.col("observed")
-    rows = grid.flag_inside(f.pairs, {"min_lat": 40.25, "max_lat": 40.75, "min_lon": 0.25, "max_lon": 0.75})
-    return rows.select("forecast_month", "variable", "lat_index", "lon_index", "predicted", "observed", d.alias("difference"), F.abs(d).alias("abs_error"), "inside_selected_area")
+    return metrics.cell_matrix(f.pairs, KEYS, "NDVI", "native", {"min_lat": 40.25, "max_lat": 40.75, "min_lon": 0.25, "max_lon": 0.75})
+
+
+@query("SELECT month, latitude, longitude, printf('%.2f_%.2f', latitude, longitude) AS cell_id, cos(radians(latitude)) AS latitude_weight, CAST(NULL AS BIGINT) AS species_count_observed_cell, temperature AS temperature_mean_c, CAST(NULL AS DOUBLE) AS ndvi_mean, swvl1 AS swvl1_mean, CAST(NULL AS DOUBLE) AS swvl2_mean, stl1 AS stl1_mean, CAST(NULL AS DOUBLE) AS stl2_mean, CAST(NULL AS DOUBLE) AS cropland_mean, CAST(NULL AS DOUBLE) AS arable_mean, CAST(NULL AS DOUBLE) AS forest_mean FROM (SELECT *, lat_i * CAST(0.25 AS DOUBLE) AS latitude, lon_i * CAST(0.25 AS DOUBLE) AS longitude FROM (" + _PIVOT + ")) WHERE latitude BETWEEN 41 AND 43 AND longitude BETWEEN 1 AND 3", "temperature_mean_c swvl1_mean stl1_mean latitude_weight")
+def forecast_month_cells(f):
+    known = quality.kelvin_guard(layers(f)).where("variable <> 'tp'")
+    return reshape.forecast_month_cells(known, {"min_lat": 41.0, "max_lat": 43.0, "min_lon": 1.0, "max_lon": 3.0})
 
 
 @query("SELECT month, lat_i, lon_i, max(value) FILTER (variable = 't2m') AS t2m_native, max(value) FILTER (variable = 'swvl1') AS swvl1_native FROM {grid_long} GROUP BY ALL", "t2m_native swvl1_native")
@@ -600,13 +649,22 @@ def group_wide(f):
     return reshape.group_wide(f.grid_long.withColumnRenamed("variable", "name"), ["month", "lat_i", "lon_i"], ["t2m", "swvl1"])
 
 
-@query("SELECT v.grp, v.variable, c.lat_i, c.lon_i, CASE WHEN v.grp = 'misc' THEN 0 ELSE coalesce(g.value, 0) END AS value FROM (SELECT DISTINCT lat_i, lon_i FROM {grid_obs}) c CROSS JOIN (VALUES ('climate', 't2m'), ('edaphic', 'stl1'), ('misc', 'avg_pevr')) v(grp, variable) LEFT JOIN (SELECT * FROM {grid_long} WHERE month = DATE '1997-05-01') g ON g.grp = v.grp AND g.variable = v.variable AND g.lat_i = c.lat_i AND g.lon_i = c.lon_i", "value")
+@query("SELECT v.grp, v.variable, c.lat_i, c.lon_i, CASE WHEN v.grp = 'misc' THEN 0 ELSE coalesce(g.value, 0) END AS value FROM (SELECT DISTINCT lat_i, lon_i FROM {grid_obs}) c CROSS JOIN (VALUES ('climate', 't2m'), ('edaphic', 'stl1'), ('misc', 'avg_pevr'), ('surface', 'lsm'), ('land', 'Land')) v(grp, variable) LEFT JOIN (SELECT grp, variable, lat_i, lon_i, value FROM {grid_long} WHERE month = DATE '1997-05-01' UNION ALL SELECT CASE n WHEN 1 THEN 'surface' ELSE 'land' END, CASE n WHEN 1 THEN 'lsm' ELSE 'Land' END, lat_i, lon_i, lsm FROM {grid_obs} CROSS JOIN (VALUES (1), (2)) t(n) WHERE month = DATE '1997-05-01') g ON g.grp = v.grp AND g.variable = v.variable AND g.lat_i = c.lat_i AND g.lon_i = c.lon_i", "value")
 def dense_batch(f):
-    listed = f.spark.createDataFrame([("climate", "t2m"), ("edaphic", "stl1"), ("misc", "avg_pevr")], "grp string, variable string")
+    listed = f.spark.createDataFrame([("climate", "t2m"), ("edaphic", "stl1"), ("misc", "avg_pevr"), ("surface", "lsm"), ("land", "Land")], "grp string, variable string")
     groups = f.grid_long.where("month = date '1997-05-01'").select("grp", "variable", "lat_i", "lon_i", "value")
+    groups = groups.unionByName(f.grid_obs.where("month = date '1997-05-01'").select(F.lit("surface").alias("grp"), F.lit("lsm").alias("variable"), "lat_i", "lon_i", F.col("lsm").alias("value")))
     return quality.dense_batch(groups, f.grid_obs.select("lat_i", "lon_i").distinct(), listed)
 
 
+@query("SELECT v.grp, v.variable, c.lat_i, c.lon_i, CASE WHEN v.grp = 'vegetation' THEN 0 ELSE coalesce(g.t2m, 0) END AS value FROM (SELECT DISTINCT lat_i, lon_i FROM {grid_obs}) c CROSS JOIN (VALUES ('climate', 't2m'), ('vegetation', 'NDVI')) v(grp, variable) LEFT JOIN (SELECT * FROM {grid_obs} WHERE month = DATE '1997-05-01') g ON g.lat_i = c.lat_i AND g.lon_i = c.lon_i", "value")
+def dense_batch_clean(f):
+    listed = f.spark.createDataFrame([("climate", "t2m"), ("vegetation", "NDVI")], "grp string, variable string")
+    month = f.grid_obs.where("month = date '1997-05-01'")
+    of = lambda g, v, c: month.select(F.lit(g).alias("grp"), F.lit(v).alias("variable"), "lat_i", "lon_i", F.col(c).alias("value"))
+    return quality.dense_batch(of("climate", "t2m", "t2m").unionByName(of("vegetation", "NDVI", "ndvi")), f.grid_obs.select("lat_i", "lon_i").distinct(), listed, "clean")
+
+
 # land cover
 
 
@@ -743,7 +801,7 @@ def histogram(f):
     return quality.histogram(f.grid_obs, "t2m", 260.0, 310.0, 10)
 
 
-@query()
+@query("SELECT month, lat_i, lon_i, t2m FROM {grid_obs} ORDER BY md5(concat_ws('|', '42', CAST(month AS VARCHAR), CAST(lat_i AS VARCHAR), CAST(lon_i AS VARCHAR))), month, lat_i, lon_i LIMIT 5000", "t2m")
 def sample_points(f):
     return quality.sample_points(f.grid_obs.select("month", "lat_i", "lon_i", "t2m"), 5000, 42, "month", "lat_i", "lon_i")
 
@@ -826,7 +884,10 @@ def manifest_defaults(f):
     return told.select("seq", alignment_flag("latitude_flip", True).alias("flip_lat"), alignment_flag("latitude_flip", False).alias("flip_lat_metrics"))
 
 
-@query()
+_MANIFEST = (("run_id", "run_id"), ("run.checkpoint", "checkpoint"), ("run.input.input_mode", "input_mode"), ("run.input.atmosphere", "CAST(atmosphere AS VARCHAR)"), ("paths", "concat('[\"', path, '\"]')"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS key, {v} AS value FROM {{runs}}" for k, v in _MANIFEST))
 def flatten_manifest(f):
     nested = f.runs.select("run_id", F.struct("checkpoint", F.struct("input_mode", "atmosphere").alias("input")).alias("run"), F.array("path").alias("paths"))
     return reshape.flatten(nested)
@@ -835,10 +896,9 @@ def flatten_manifest(f):
 # names and cities
 
 
-@query("SELECT value, lower(regexp_replace(concat(label, '_', country), '[^a-zA-Z0-9]+', '_', 'g')) AS slug, concat('predicted_', lower(label), '_', 'mm_per_month') AS feature FROM (SELECT value, label, country FROM {cities} WHERE geonameid < 500)")
+@query("SELECT value, lower(regexp_replace(concat(label, '_', country), '[^a-zA-Z0-9]+', '_', 'g')) AS slug, concat('predicted_', lower(label), '_', 'mm_per_month') AS feature FROM {cities}")
 def name_slugs(f):
-    few = f.cities.where("geonameid < 500")
-    return few.select("value", text.slugify(F.concat_ws("_", "label", "country")).alias("slug"), text.feature_label("predicted", "label", F.lit("°mm/month")).alias("feature"))
+    return f.cities.select("value", text.slugify(F.concat_ws("_", "label", "country")).alias("slug"), text.feature_label("predicted", "label", F.lit("°mm/month")).alias("feature"))
 
 
 _CATALOG = "SELECT concat(trim(regexp_replace(lower(concat(label, '_', country)), '[^a-z0-9]+', '_', 'g'), '_'), '_', geonameid) AS value, label, country, country_code, lat, lon, population FROM {cities} WHERE continent = 'EUROPE'"
@@ -859,7 +919,7 @@ def search_cities(f):
     return cities.search_cities(catalog_of(f), "city 12")
 
 
-@query(f"SELECT query, label, country, min_lat, max_lat FROM (SELECT q.query, c.label, c.country, c.lat - 0.5 AS min_lat, c.lat + 0.5 AS max_lat, row_number() OVER (PARTITION BY q.query ORDER BY population DESC, country, label, value) AS n FROM (SELECT DISTINCT upper(label) AS query FROM {{cities}} WHERE geonameid < 120) q JOIN ({_CATALOG}) c ON lower(q.query) = lower(c.label)) WHERE n = 1")
+@query(f"SELECT query, label, country, min_lat, max_lat FROM (SELECT q.query, c.label, c.country, c.lat - 0.5 AS min_lat, c.lat + 0.5 AS max_lat, row_number() OVER (PARTITION BY q.query ORDER BY population DESC, country, label, value) AS n FROM (SELECT DISTINCT upper(label) AS query FROM {{cities}}) q JOIN ({_CATALOG}) c ON lower(q.query) = lower(c.label)) WHERE n = 1")
 def resolve_city(f):
-    asked = f.cities.where("geonameid < 120").select(F.upper("label").alias("query")).distinct()
+    asked = f.cities.select(F.upper("label").alias("query")).distinct()
     return cities.resolve_city(asked, catalog_of(f), 0.5).select("query", "label", "country", "min_lat", "max_lat")

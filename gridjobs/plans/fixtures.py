@@ -43,13 +43,15 @@ SQL = {
       40 + CAST(c_custkey % 40 AS DOUBLE) / 4 AS lat, CAST(c_custkey % 60 AS DOUBLE) / 4 AS lon, CAST(floor(c_acctbal) AS BIGINT) + 2000 AS population
       FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
     "runs": f"""SELECT concat('run_', CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN ' 4' ELSE '' END) AS run_id, {_MONTH.format("o_orderdate")} AS forecast_month, CASE WHEN o_orderkey % 2 = 0 THEN 'small' ELSE 'large' END AS checkpoint,
-      CASE WHEN o_custkey % 4 = 0 THEN 'clean' ELSE 'all' END AS input_mode, o_custkey % 5 = 0 AS atmosphere, concat('p/', CAST(o_orderkey AS STRING)) AS path, o_totalprice AS price, o_orderkey AS seq FROM {{orders}} WHERE o_custkey % 10 < 5""",
+      CASE WHEN o_custkey % 4 = 0 THEN 'clean' ELSE 'all' END AS input_mode, o_custkey % 5 = 0 AS atmosphere, concat('p/', CAST(o_orderkey AS STRING)) AS path, o_totalprice AS price, o_orderkey AS seq FROM {{orders}}""",
     "cases": """SELECT concat('city_', CAST(o_custkey % 15 AS STRING)) AS city, o_orderkey AS case_id, o_totalprice / 20011 AS temperature_predicted_c, o_totalprice / 20011 + (o_orderkey % 7 - 3) AS temperature_observed_c,
       o_totalprice / 5003 AS precipitation_predicted_mm, CASE WHEN o_orderkey % 9 = 0 THEN CAST(0 AS DOUBLE) ELSE o_totalprice / 5003 * (1 + (o_orderkey % 5) / CAST(50 AS DOUBLE)) END AS precipitation_observed_mm,
       CAST(o_custkey % 9 AS DOUBLE) AS species_predicted_proxy, CAST(o_custkey % 9 + o_orderkey % 2 AS DOUBLE) AS species_observed_proxy FROM {orders}""",
-    "sources": f"""SELECT CASE o_custkey % 5 WHEN 0 THEN 'temperature' WHEN 1 THEN 'precipitation' WHEN 2 THEN 'soil' WHEN 3 THEN 'species' ELSE 'ndvi' END AS source, {_MONTH.format("o_orderdate")} AS month, CAST(o_custkey % 5 AS INT) AS priority,
-      CASE WHEN o_orderkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE o_totalprice / 1000 END AS value FROM {{orders}} WHERE o_custkey % 41 = 0""",
-    "months": f"SELECT DISTINCT {_MONTH.format('o_orderdate')} AS month FROM {{orders}} WHERE o_custkey % 41 = 0",
+    # every seventh month of a source is in the archive instead, so whole months of sources are missing
+    "sources": f"""SELECT CASE kind WHEN 0 THEN 'temperature' WHEN 1 THEN 'precipitation' WHEN 2 THEN 'soil' WHEN 3 THEN 'species' WHEN 4 THEN 'ndvi' ELSE 'archive' END AS source, month, kind AS priority, value
+      FROM (SELECT CAST(CASE WHEN (year(o_orderdate) * 12 + month(o_orderdate) + o_custkey % 5 * 3) % 7 = 0 THEN 5 ELSE o_custkey % 5 END AS INT) AS kind, {_MONTH.format("o_orderdate")} AS month,
+        CASE WHEN o_orderkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE o_totalprice / 1000 END AS value FROM {{orders}}) AS _s""",
+    "months": f"SELECT DISTINCT {_MONTH.format('o_orderdate')} AS month FROM {{orders}}",
     "area_series": f"""SELECT concat('area_', CAST(o_custkey % 10 AS STRING)) AS area, {_MONTH.format("o_orderdate")} AS month, CASE WHEN min(o_orderkey) % 5 = 0 THEN NULL ELSE avg(o_totalprice) / 10007 END AS t, avg(o_totalprice) / 12007 AS stl1, max(o_totalprice) / 20011 AS stl2,
       min(o_totalprice) / 10007 AS swvl1, CASE WHEN min(o_orderkey) % 4 = 0 THEN NULL ELSE avg(o_totalprice) / 9001 END AS swvl2, avg(o_totalprice) / 300007 AS ndvi, max(o_totalprice) / 30011 AS forest, avg(o_totalprice) / 40009 AS arable, avg(o_totalprice) / 50021 AS cropland
       FROM {{orders}} GROUP BY 1, 2""",

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridjobs.functions.grid import prepare_spatial
+from gridjobs.functions.grid import crop_domain, prepare_spatial
+from gridjobs.functions.tables import few
 from gridjobs.functions.values import decimal_comma, number
 
 OCCURRENCES = ("Species", "Latitude", "Longitude", "Timestamp")
 AREAS = "label string, min_lat double, max_lat double, min_lon double, max_lon double"
 CASES = "city string, start string, `end` string"
+BOUNDS = ("min_lat", "max_lat", "min_lon", "max_lon")
 CITIES = "value string, label string, country string, countryCode string, lat double, lon double, population long"
 
 
@@ -30,9 +34,11 @@ def read_spatial_table(spark: SparkSession, path: str) -> DataFrame:
     return prepare_spatial(spark.read.csv(path, header=True))
 
 
-def read_grid_long(spark: SparkSession, path: str, variables: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
-    """Chosen variables and months of a long grid table partitioned by variable."""
+def read_grid_long(spark: SparkSession, path: str, variables: list[str], start: str | None = None, end: str | None = None, model: bool | None = None) -> DataFrame:
+    """Chosen variables and months of a long grid table partitioned by variable; model crops it to the
+    model domain (True) or the wider one (False)."""
     rows = spark.read.parquet(path).where(F.col("variable").isin(*variables))
+    rows = rows if model is None else crop_domain(rows, model)
     return rows.where(F.col("month").between(F.lit(start).cast("date"), F.lit(end).cast("date"))) if start else rows
 
 
@@ -41,7 +47,10 @@ def read_pixels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _read_json(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True).dropna(subset=required)
+    """Rows of a JSON list; a row without one of the required keys is an error, as nothing may vanish."""
+    rows = spark.read.schema(schema).json(path, multiLine=True)
+    lacking = F.concat_ws(", ", *(F.when(F.col(c).isNull(), F.lit(c)) for c in required))
+    return rows.where(F.when(lacking == "", F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{path}: a row lacks "), lacking)).cast("boolean")))
 
 
 def read_areas(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +58,7 @@ def read_areas(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases with all three keys."""
+    """Cases; each must have all three keys."""
     return _read_json(spark, path, CASES, ["city", "start", "end"])
 
 
@@ -58,10 +67,18 @@ def read_cities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_forecast_layers(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
-    """Layers of some months as (month, variable, column_name, latitude, longitude, value)."""
-    rows = spark.read.parquet(path).where(F.col("month").isin(*months))
-    name = next(c for c in rows.columns if c.startswith("predicted_"))
-    return prepare_spatial(rows).select("month", "variable", F.lit(name).alias("column_name"), "lat_i", "lon_i", number(name).alias("value"))
+    """Layers of some months as (month, variable, column_name, lat_i, lon_i, value).
+
+    Each layer (month and variable) has its own predicted column: of several in the table's schema the
+    first that has a value in the layer. One aggregate over (month, variable) finds them.
+    """
+    rows = prepare_spatial(spark.read.option("mergeSchema", "true").parquet(path).where(F.col("month").isin(*months)))
+    names = [c for c in rows.columns if c.startswith("predicted_")]
+    if not names:
+        raise KeyError("no predicted_ column")
+    own = rows.groupBy("month", "variable").agg(F.coalesce(*(F.when(F.count(F.col(f"`{c}`")) > 0, F.lit(c)) for c in names), F.lit(names[0])).alias("column_name"))
+    value = F.coalesce(*(F.when(F.col("column_name") == c, number(F.col(f"`{c}`"))) for c in names))
+    return rows.join(few(own), ["month", "variable"]).select("month", "variable", "column_name", "lat_i", "lon_i", value.alias("value"))
 
 
 def alignment_flag(c, default: bool) -> Column:
@@ -70,8 +87,17 @@ def alignment_flag(c, default: bool) -> Column:
 
 
 def read_run_manifests(spark: SparkSession, path: str, skip: tuple[str, ...] = ("published", "reports")) -> DataFrame:
-    """All run manifests below a folder, without those of published and report folders."""
+    """All run manifests below a folder, without those of published and report folders.
+
+    latitude_flip and longitude_flip are the orientation a manifest tells; one without the block
+    spatial_alignment is read as turned north to south, one with the block but not the flag as missing.
+    """
     rows = spark.read.option("recursiveFileLookup", "true").json(path, multiLine=True).withColumn("path", F.input_file_name())
+    block = next((f.dataType for f in rows.schema.fields if f.name == "spatial_alignment"), None)
+    known = {f.name for f in block.fields} if isinstance(block, T.StructType) else set()
+    for name, told, default in (("latitude_flip", "prediction_latitude_flip_applied", True), ("longitude_flip", "prediction_longitude_flip_applied", False)):
+        own = F.col(f"spatial_alignment.{told}").cast("boolean") if told in known else F.lit(None).cast("boolean")
+        rows = rows.withColumn(name, F.when(F.col("spatial_alignment").isNotNull(), own).otherwise(F.lit(default)) if known else F.lit(default))
     for part in skip:
         rows = rows.where(~F.contains("path", F.lit(f"/{part}/")))
     return rows
@@ -97,14 +123,47 @@ def write_csv(df: DataFrame, path: str, excel: bool = False, comma: bool = False
     df.write.mode("overwrite").csv(path, header=True, sep=";" if excel or comma else ",")
 
 
-def write_summary_json(df: DataFrame, path: str, label: str, mode: str) -> None:
-    """One row about an area-month table."""
-    df.agg(F.lit(label).alias("label"), F.lit(mode).alias("mode"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.count("*").alias("months"), F.max("cell_count_land").alias("cell_count_land")).write.mode("overwrite").json(path)
+#: What a summary says of its columns.
+SEMANTICS = {
+    "species_semantics_area": "species_count_observed_area = number of species observed in the selected area in a month",
+    "species_semantics_cells": "species_count_observed_cell = number of species observed in a cell in a month",
+    "species_note": "a missing number of species means no records in that month",
+}
+
+
+def bounds_to_json(bounds: dict[str, float]) -> str:
+    """A box as JSON text, its sides in a fixed order."""
+    return json.dumps({k: float(bounds[k]) for k in BOUNDS})
+
 
+def bounds_from_json(c) -> Column:
+    """A box of JSON text as a struct of four doubles; missing if a side is."""
+    box = F.from_json(c, ", ".join(f"{k} double" for k in BOUNDS))
+    return F.when(F.forall(F.array(*(box[k] for k in BOUNDS)), lambda x: x.isNotNull()), box)
 
-def publish_forecast_month(df: DataFrame, path: str, features: list[str]) -> DataFrame:
-    """Write each month to its own folder, replacing that month only; return the manifest rows."""
+
+def write_summary_json(df: DataFrame, path: str, label: str, mode: str, bounds: dict[str, float] | None = None, sources: dict[str, str] | None = None, selection: str | None = None, cell_rows: int | None = None) -> None:
+    """One row about an area-month table: period and counts, box, sources and what its columns mean."""
+    species = F.count("species_count_observed_area") if "species_count_observed_area" in df.columns else F.lit(None).cast("long")
+    cells = F.max("cell_count_land") if "cell_count_land" in df.columns else F.lit(None).cast("long")
+    box = F.struct(*(F.lit(float(bounds[k])).alias(k) for k in BOUNDS)) if bounds else F.lit(None).cast("string")
+    row = df.agg(
+        F.lit(label).alias("label"), F.lit(mode).alias("mode"), F.lit(selection).cast("string").alias("selection_mode"), box.alias("bounds"), F.min("month").alias("first_month"), F.max("month").alias("last_month"),
+        F.countDistinct("month").alias("months"), cells.alias("cell_count_land"), F.lit(cell_rows).cast("long").alias("cell_rows"), species.alias("species_months_with_records"),
+        *(F.lit(v).alias(f"{k}_source") for k, v in (sources or {}).items()), *(F.lit(v).alias(k) for k, v in SEMANTICS.items()))
+    row.write.mode("overwrite").json(path)
+
+
+def publish_forecast_month(df: DataFrame, path: str, features: list[str], source_run: str | None = None) -> DataFrame:
+    """Write each month to its own folder, replacing that month only; return the manifest rows.
+
+    A row tells the month, its step and the number of steps of this publication, its rows, its features
+    and those of the wanted list that it lacks. Months of one publication are few, as a rollout has a
+    step for each; their rows are numbered after the aggregation.
+    """
     df.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     have = F.collect_set("variable")
     rows = df.groupBy("month").agg(F.count("*").alias("rows"), F.sort_array(have).alias("features"), F.sort_array(F.array_except(F.array(*map(F.lit, features)), have)).alias("missing_features"))
-    return rows
+    steps = rows.agg(F.sort_array(F.collect_list("month")).alias("m"))
+    told = rows.crossJoin(F.broadcast(steps)).withColumns({"rollout_step_index": F.array_position("m", F.col("month")).cast("int"), "rollout_steps_total": F.size("m"), "source_run_dir": F.lit(source_run).cast("string")})
+    return told.drop("m")

@@ -79,6 +79,61 @@ def test_flip_twice_is_identity(spark):
     assert sorted(twice.collect()) == sorted(df.collect())
 
 
+def test_runs_are_turned_as_their_manifests_say(spark):
+    cells = [(r, "t2m", y, x, float(10 * y + x)) for r in "abc" for y in (0, 1) for x in (0, 1)]
+    maps = spark.createDataFrame(cells, "run_id string, variable string, lat_index int, lon_index int, predicted double").withColumn("observed", F.col("predicted"))
+    runs = spark.createDataFrame([("a", True, True), ("b", None, None)], "run_id string, latitude_flip boolean, longitude_flip boolean")
+    at = lambda **k: {r["run_id"]: r["observed"] for r in verify.pair_runs(maps, maps, runs, ["variable"], size=(2, 2), **k).where("predicted = 0").collect()}
+    assert at() == {"a": 11.0, "b": 0.0, "c": 0.0} and at(export=True) == {"a": 11.0, "b": 10.0, "c": 10.0}
+
+
+def test_greenness_without_leaf_area_is_zero_on_land_and_missing_at_sea(spark):
+    df = spark.createDataFrame([(None, None, True), (None, None, None), (2.0, None, True), (90.0, 9.0, True), (1.0, 1.0, False)], "lai_hv double, lai_lv double, land boolean")
+    got = [r[0] for r in df.select(observed.ndvi_from_lai(land="land")).collect()]
+    assert got == [0.0, None, pytest.approx(1 - math.exp(-1)), 0.92, None]
+
+
+def test_first_of_equal_steps_does_not_depend_on_order(spark):
+    rows = [("t", "2020-01", 1, 1, 5, v) for v in (3.0, 1.0, 2.0)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "variable string, month string, lat_i int, lon_i int, valid_time int, value double")
+        assert [r["value"] for r in observed.first_matching_step(df).collect()] == [1.0]
+
+
+def test_approximate_counts_stay_near(spark):
+    f = Fixtures(spark, "/root/testdata/sf0.01")
+    one, two = (observed.species_cell_month(f.occ, approximate=a).toPandas().set_index(["month", "lat_i", "lon_i"])["species_count"] for a in (False, True))
+    two = two.reindex(one.index)
+    assert two.notna().all() and ((one - two).abs() <= 1 + 0.15 * one).all()
+
+
+def test_sorted_metrics_put_missing_levels_where_asked(spark):
+    df = spark.createDataFrame([("b", "g", "v", 1), ("a", "g", "v", 2), ("a", "g", "v", None)], "forecast_month string, grp string, variable string, level int")
+    order = lambda first: [(r["forecast_month"], r["level"]) for r in metrics.sort_metrics(df, first).collect()]
+    assert order(True) == [("a", None), ("a", 2), ("b", 1)] and order(False) == [("a", 2), ("a", None), ("b", 1)]
+
+
+def test_validation_summary_without_cases(spark):
+    cases = Fixtures(spark, "/root/testdata/sf0.001").cases
+    told = verify.validation_summary(verify.case_validation(cases.limit(0))).first()
+    assert (told["case_count"], told["overall_pass_rate_pct"], told["species_mean_error_pct_proxy"]) == (0, 0.0, 0.0)
+
+
+def counted(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    physical = df._jdf.queryExecution().sparkPlan().toString()
+    return plan.count("Relation "), physical.count("BroadcastNestedLoopJoin") + physical.count("CartesianProduct")
+
+
+def test_plans_stay_small(spark):
+    from gridjobs.plans import catalog
+
+    build = catalog.queries()
+    for name, scans, loops in (("cell_month", 8, 1), ("area_month", 9, 1), ("cell_metrics", 2, 0), ("species_richness", 1, 0), ("species_matrix", 1, 0)):
+        told = counted(build[name](spark, "/root/testdata/sf0.001"))
+        assert told[0] <= scans and told[1] <= loops, (name, told)
+
+
 def test_model_domain_leaves_out_its_edges(spark):
     cells = grid.grid_cells(spark)
     assert cells.count() == 160 * 280

@@ -1,15 +1,19 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridjobs.sources import tables
 
 
 def test_json_dimensions_need_their_keys(spark, tmp_path):
-    (tmp_path / "cases.json").write_text(json.dumps([{"city": "A", "start": "2020-01", "end": "2020-02"}, {"city": "B", "start": "2020-01"}]))
+    (tmp_path / "cases.json").write_text(json.dumps([{"city": "A", "start": "2020-01", "end": "2020-02"}]))
+    (tmp_path / "bad.json").write_text(json.dumps([{"city": "A", "start": "2020-01", "end": "2020-02"}, {"city": "B", "start": "2020-01"}]))
     (tmp_path / "areas.json").write_text(json.dumps([{"label": "x", "min_lat": 1, "max_lat": 2, "min_lon": 3, "max_lon": 4}]))
     assert [r["city"] for r in tables.read_cases(spark, str(tmp_path / "cases.json")).collect()] == ["A"]
+    with pytest.raises(Exception, match="lacks end"):
+        tables.read_cases(spark, str(tmp_path / "bad.json")).collect()
     assert tables.read_areas(spark, str(tmp_path / "areas.json")).first()["max_lon"] == 4.0
 
 
@@ -35,6 +39,8 @@ def test_publish_replaces_only_its_months(spark, tmp_path):
     path = str(tmp_path / "cache")
     df = spark.createDataFrame([("2020-01", "t", 1.0), ("2020-02", "t", 2.0)], "month string, variable string, value double")
     tables.publish_forecast_month(df, path, ["t", "tp"])
+    steps = {r["month"]: (r["rollout_step_index"], r["rollout_steps_total"]) for r in tables.publish_forecast_month(df, path, ["t"]).collect()}
+    assert steps == {"2020-01": (1, 2), "2020-02": (2, 2)}
     told = tables.publish_forecast_month(df.where("month = '2020-02'").withColumn("value", F.lit(9.0)), path, ["t", "tp"])
     assert told.first()["missing_features"] == ["tp"]
     assert {(r["month"], r["value"]) for r in spark.read.parquet(path).select(F.col("month").cast("string"), "value").collect()} == {("2020-01", 1.0), ("2020-02", 9.0)}
@@ -48,5 +54,37 @@ def test_csv_round_trip(spark, tmp_path):
     assert (str(r["month"]), r["temperature_mean_area_c"], r["cell_count_land"]) == ("2020-01-01", 1.5, 3)
     tables.write_csv(df, path, comma=True)
     assert "1,5" in spark.read.text(path).where("value like '2020%'").first()[0]
-    tables.write_summary_json(df, str(tmp_path / "s"), "x", "city")
-    assert spark.read.json(str(tmp_path / "s")).first()["months"] == 1
+    box = {"min_lat": 1.0, "max_lat": 2.0, "min_lon": 3.0, "max_lon": 4.0}
+    tables.write_summary_json(df, str(tmp_path / "s"), "x", "city", box, {"temperature": "t.nc"}, cell_rows=7)
+    told = spark.read.json(str(tmp_path / "s")).first()
+    assert told["months"] == 1 and told["bounds"].asDict() == box and told["temperature_source"] == "t.nc" and told["cell_rows"] == 7 and "species_note" in told
+    texts = spark.createDataFrame([(tables.bounds_to_json(box),), ('{"min_lat": 1}',), ("x",)], "j string")
+    assert [r[0] and r[0].asDict() for r in texts.select(tables.bounds_from_json("j")).collect()] == [box, None, None]
+
+
+def test_each_forecast_layer_has_its_own_column(spark, tmp_path):
+    path = str(tmp_path / "layers")
+    spark.createDataFrame([("2020-01", "t", 40.0, 1.0, "280", None), ("2020-01", "s", 40.0, 1.0, None, "0.5"), ("2020-02", "t", 40.0, 1.0, "x", None)], "month string, variable string, Lat double, LON double, predicted_t_native string, predicted_s string").write.parquet(path)
+    got = {(r["month"], r["variable"]): (r["column_name"], r["value"]) for r in tables.read_forecast_layers(spark, path, ["2020-01", "2020-02"]).collect()}
+    assert got == {("2020-01", "t"): ("predicted_t_native", 280.0), ("2020-01", "s"): ("predicted_s", 0.5), ("2020-02", "t"): ("predicted_t_native", None)}
+
+
+def test_manifests_tell_or_lack_their_orientation(spark, tmp_path):
+    told = {"a": {"run": "a", "spatial_alignment": {"prediction_latitude_flip_applied": False}}, "b": {"run": "b"}, "c": {"run": "c", "spatial_alignment": {"prediction_longitude_flip_applied": True}}}
+    for name, manifest in told.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.json").write_text(json.dumps(manifest))
+    (tmp_path / "reports").mkdir()
+    (tmp_path / "reports" / "m.json").write_text(json.dumps({"run": "d"}))
+    got = {r["run"]: (r["latitude_flip"], r["longitude_flip"]) for r in tables.read_run_manifests(spark, str(tmp_path)).collect()}
+    assert got == {"a": (False, None), "b": (True, False), "c": (None, True)}
+
+
+def test_grid_and_pixel_readers(spark, tmp_path):
+    grid, pixels = str(tmp_path / "g"), str(tmp_path / "p")
+    rows = [("t2m", datetime.date(2020, m, 1), lat, 0.0, 1.0) for m in (1, 2) for lat in (30.0, 32.0, 40.0)] + [("tp", datetime.date(2020, 1, 1), 40.0, 0.0, 2.0)]
+    spark.createDataFrame(rows, "variable string, month date, latitude double, longitude double, value double").write.partitionBy("variable").parquet(grid)
+    read = lambda **k: tables.read_grid_long(spark, grid, ["t2m"], "2020-01-01", "2020-01-01", **k).count()
+    assert (read(), read(model=False), read(model=True)) == (3, 3, 1)
+    spark.createDataFrame([(1, "a", 0.0, 0.0, 5.0, 255.0, "x")], "tile_seq int, tile string, latitude double, longitude double, value double, nodata double, other string").write.parquet(pixels)
+    assert tables.read_pixels(spark, pixels).columns == ["tile_seq", "tile", "latitude", "longitude", "value", "nodata"]
