@@ -27,18 +27,18 @@ def _classes() -> np.ndarray:
     return out
 
 
-def _bounds() -> np.ndarray:
-    """Whether a chunk ends between two classes (first * 8 + second): at white space, and where an
-    ASCII mark follows a letter, as every tokenizer here starts a word there."""
+def _bounds(marks: bool) -> np.ndarray:
+    """Whether a chunk ends between two classes (first * 8 + second): at white space and, if wanted,
+    where an ASCII mark follows a letter, as every tokenizer here starts a word there."""
     out = np.zeros(64, bool)
     for a in range(5):
         for b in range(5):
             white = {a, b} & {SPACE, BREAK}
-            out[a * 8 + b] = a != b if white else (a, b) == (LETTER, MARK)
+            out[a * 8 + b] = a != b if white else marks and (a, b) == (LETTER, MARK)
     return out
 
 
-CLASS, BOUND = _classes(), _bounds()
+CLASS, AT_MARKS, AT_WHITE = _classes(), _bounds(True), _bounds(False)
 #: Second bytes of Latin letters that follow 0xC3.
 _LATIN = np.where(np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]), LETTER, OTHER).astype(np.uint8)
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
@@ -51,12 +51,13 @@ def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, np.cumsum(lens) - lens
 
 
-def segments(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(buf: np.ndarray, bound: np.ndarray = AT_MARKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, class of the first byte) of runs of white space and of chunks without; no breaks."""
     kinds = CLASS[buf]
-    after = np.flatnonzero(buf == 0xC3) + 1
-    kinds[after] = _LATIN[buf[after]]
-    at = np.flatnonzero(BOUND[(kinds[:-1] << 3) | kinds[1:]]) + 1
+    if bound is AT_MARKS:
+        after = np.flatnonzero(buf == 0xC3) + 1
+        kinds[after] = _LATIN[buf[after]]
+    at = np.flatnonzero(bound[(kinds[:-1] << 3) | kinds[1:]]) + 1
     starts = np.concatenate([[0], at])
     ends = np.concatenate([at, [len(buf)]])
     kind = kinds[starts]
@@ -64,9 +65,9 @@ def segments(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts[kept], ends[kept], kind[kept]
 
 
-def hashed(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each piece of the buffer; turn chooses a pair of a family."""
-    keys = [k + np.uint64(2 * turn) for k in _K]
+def hashed(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, turn: int = 0, many: int = 2) -> list[np.ndarray]:
+    """One or two 64-bit hashes of each piece of the buffer; turn chooses a pair of a family."""
+    keys = [k + np.uint64(2 * turn) for k in _K[:many]]
     rows = np.lib.stride_tricks.sliding_window_view(buf, 8)
     both = [(lens.astype(np.uint64) + np.uint64(turn)) * k for k in keys]
     todo = None  # all at first, then those with bytes left
@@ -87,7 +88,7 @@ def hashed(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, turn: int = 0)
     for h, k in zip(both, keys):
         h *= k
         h ^= h >> np.uint64(32)
-    return both[0], both[1]
+    return both
 
 
 class Growing:

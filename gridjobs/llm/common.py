@@ -30,7 +30,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: a durable lineage cut."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove written tables that no later step reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Rows of an Arrow batch of texts, where the session has Spark's own number.
+BATCH, SPARKS_BATCH = 2000, "10000"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Python workers get fewer rows at once than Spark would send, as rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == SPARKS_BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
+def given_back() -> None:
+    """Return freed memory to the system at a task's end, as its Python worker lives on for later stages."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -60,6 +91,7 @@ def numbered(df: DataFrame, *order, name: str = "idx", parts: int | None = None)
 
 def ids_and_texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (0 for null), no_id, text and more columns: pandas would turn ids beside a null into floats."""
+    text_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string").alias("text"), *more)
 
 

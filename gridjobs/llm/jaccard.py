@@ -18,50 +18,56 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridjobs.llm.common import frame, id_list, ids_and_texts, written
-from gridjobs.llm.tokens import groups_of
+from gridjobs.llm.chunks import AT_WHITE, SPACE, hashed, packed, segments
+from gridjobs.llm.common import dropped, frame, given_back, id_list, ids_and_texts, written
+from gridjobs.llm.tokens import groups_of, utf8
 
 WORDS = 5
 #: Shingles to a bucket of the count sketch, least and most bits of its size (so at most 128 MB are
-#: broadcast; from then on buckets hold more), its slices, and bits of a parity bitmap.
+#: broadcast; from then on buckets hold more), its slices, how many partial slices one task adds,
+#: and bits of a parity bitmap.
 LOAD = 8
 LEAST_BITS, MOST_BITS = 18, 27
 SLICES = 64
+ADDED = 32
 BITMAP = 2048
 #: Most ids to look up by broadcast; beyond that the lookup is a shuffled join.
 FEW = 200_000
+#: Groups of one open list that one task compares with the others.
+LISTED = 1000
+#: Characters of texts that are cut at once.
+CHARS = 1 << 20
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Distinct hashes (sorted) of the runs of so many words; fewer words give their whole sequence.
+def shingle_sets(texts, words: int = WORDS) -> list[np.ndarray]:
+    """Each text's distinct hashes (sorted) of the runs of so many words; fewer give their whole sequence.
 
     A-Z are lower-cased; words are what spaces and \\t to \\r part.
     """
-    found = text.encode("utf-8", "surrogatepass").lower().split() if isinstance(text, str) else []
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
-    width = min(words, len(h))
-    s = h[: len(h) - width + 1].copy()
-    for k in range(1, width):
-        s = (s ^ (s >> np.uint64(29))) * _K + h[k : len(h) - width + 1 + k]
-    s = (s ^ (s >> np.uint64(31))) * _K + np.uint64(width if len(h) < words else 0)
-    return np.unique(s)
+    buf, at = packed([utf8(x).lower() if isinstance(x, str) else b"" for x in texts])
+    starts, ends, kind = segments(buf, AT_WHITE)
+    word = kind != SPACE
+    starts, ends = starts[word], ends[word]
+    (h,) = hashed(buf, starts, ends - starts, many=1)
+    bounds = np.append(np.searchsorted(starts, at), len(h)).tolist()
+
+    def runs(h: np.ndarray, width: int) -> np.ndarray:
+        n = len(h) - width + 1
+        s = h[:n].copy()
+        for k in range(1, width):
+            s = (s ^ (s >> np.uint64(29))) * _K + h[k : n + k]
+        return (s ^ (s >> np.uint64(31))) * _K + np.uint64(width if width < words else 0)
+
+    whole = runs(h, words) if len(h) >= words else None
+    out = []
+    for a, b in zip(bounds, bounds[1:]):
+        if b - a >= words:
+            out.append(np.unique(whole[a : b - words + 1]))
+        else:
+            out.append(runs(h[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    return out
 
 
 def prefix_length(n, percent: int):
@@ -73,7 +79,7 @@ def digest(data: bytes, size: int) -> bytes:
     return hashlib.blake2b(data, digest_size=size).digest()
 
 
-SKETCHED = "doc_id long, key long, n long, sig binary, slice int, counts binary"
+SKETCHED = "doc_id long, key long, n long, sig binary, slice int, part int, width int, counts binary"
 
 
 def sketch_bits(docs: DataFrame) -> int:
@@ -90,34 +96,57 @@ def sketched(docs: DataFrame, words: int, bits: int) -> DataFrame:
 
     def run(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
         counts = np.zeros(1 << bits, np.uint8)
         for batch in batches:
-            rows = []
-            for doc_id, key, text in zip(id_list(batch), batch["key"], batch["text"]):
-                s = shingles(text, words)
-                at, more = np.unique(s >> np.uint64(64 - bits), return_counts=True)
-                counts[at] = np.minimum(counts[at] + more.astype(np.int64), 255)
-                rows.append((doc_id, key, len(s), digest(s.tobytes(), 16) if len(s) else None, -1, None))
-            yield frame(rows, SKETCHED)
+            for a, b in groups_of(batch["text"], CHARS):
+                rows = []
+                for doc_id, key, s in zip(id_list(batch, a, b), batch["key"][a:b], shingle_sets(batch["text"][a:b], words)):
+                    rows.append((doc_id, key, len(s), digest(s.tobytes(), 16) if len(s) else None, -1, 0, 1, None))
+                    at = (s >> np.uint64(64 - bits)).astype(np.int64)
+                    if len(at):
+                        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                        more = np.diff(np.append(edge, len(at)))
+                        counts[at[edge]] = np.minimum(counts[at[edge]] + more, 255)
+                yield frame(rows, SKETCHED)
         if counts.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SLICES)]
-            yield pd.DataFrame({"doc_id": pd.array([None] * SLICES, "Int64"), "key": 0, "n": 0, "sig": None, "slice": range(SLICES), "counts": parts})
+            yield pd.DataFrame({"doc_id": pd.array([None] * SLICES, "Int64"), "key": 0, "n": 0, "sig": None, "slice": range(SLICES), "part": TaskContext.get().partitionId(), "width": 1, "counts": parts})
+        given_back()
 
     return ids_and_texts(docs, "key").mapInPandas(run, SKETCHED)
 
 
 def commonness(sketch: DataFrame, bits: int, mean: float) -> np.ndarray:
-    """For every bucket its class: 0 up to twice the mean count, then one more for each doubling."""
+    """For every bucket its class: 0 up to twice the mean count, then one more for each doubling.
+
+    Slices of tasks are added ADDED at a time, level by level, so no task holds those of all tasks.
+    """
+
+    def total(batch) -> np.ndarray:
+        out = np.zeros((1 << bits) // SLICES, np.uint32)
+        for x, width in zip(batch["counts"], batch["width"]):
+            out += np.frombuffer(zlib.decompress(x), f"<u{width}")
+        return out
 
     def add(batch):
         import pandas as pd
 
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint8).astype(np.float32) for x in batch["counts"])
-        kinds = np.floor(np.log2(np.maximum(total / max(2 * mean, 2), 1))).astype(np.uint8)
+        return pd.DataFrame({"slice": [int(batch["slice"].iloc[0])], "part": [int(batch["part"].iloc[0]) // ADDED], "width": [4], "counts": [zlib.compress(total(batch).tobytes(), 1)]})
+
+    def classed(batch):
+        import pandas as pd
+
+        kinds = np.floor(np.log2(np.maximum(total(batch) / max(2 * mean, 2), 1))).astype(np.uint8)
         return pd.DataFrame({"slice": [int(batch["slice"].iloc[0])], "counts": [zlib.compress(kinds.tobytes(), 1)]})
 
-    got = sketch.groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()  # SLICES rows
+    sketch = sketch.select("slice", "part", "width", "counts")
+    most = sketch.agg(F.max("part")).first()[0] or 0
+    while most >= ADDED:
+        sketch = sketch.groupBy("slice", F.floor(F.col("part") / ADDED).alias("_p")).applyInPandas(add, "slice int, part int, width int, counts binary")
+        most //= ADDED
+    got = sketch.groupBy("slice").applyInPandas(classed, "slice int, counts binary").collect()  # SLICES rows
     kinds = np.zeros((SLICES, (1 << bits) // SLICES), np.uint8)
     for r in got:
         kinds[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
@@ -143,10 +172,9 @@ def profiled(docs: DataFrame, classes: np.ndarray, words: int, percent: int) ->
         import pandas as pd
 
         of, seen, groups = shared.value, set(), set()
-        for texts in (batch["text"][a:b] for batch in batches for a, b in groups_of(batch["text"], 1 << 21)):
+        for texts in (batch["text"][a:b] for batch in batches for a, b in groups_of(batch["text"], CHARS)):
             rows = []
-            for text in texts:
-                s = shingles(text, words)
+            for s in shingle_sets(texts, words):
                 if not len(s) or (sig := digest(s.tobytes(), 16)) in seen:
                     continue
                 if len(seen) > 100_000:
@@ -159,6 +187,8 @@ def profiled(docs: DataFrame, classes: np.ndarray, words: int, percent: int) ->
                 rows.append((sig, g, len(s), parity(s), None if g in groups else first))
                 groups.add(g)
             yield pd.DataFrame(rows, columns=["sig", "g", "n", "bitmap", "prefix"])
+        seen, groups, rows = set(), set(), []
+        given_back()
 
     return docs.select("text").mapInPandas(run, "sig binary, g long, n long, bitmap binary, prefix array<long>")
 
@@ -174,7 +204,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         tied = large.join(least, F.col("u") == F.col("w"))
         small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = written(small, "jaccard-stars")
+        e, last = written(small, "jaccard-stars"), e
+        dropped(last)
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -191,8 +222,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def run(batches):
         import pandas as pd
 
-        for texts in (batch["text"][a:b] for batch in batches for a, b in groups_of(batch["text"], 1 << 21)):
-            sets = [shingles(x, words) for x in texts]
+        for texts in (batch["text"][a:b] for batch in batches for a, b in groups_of(batch["text"], CHARS)):
+            sets = shingle_sets(texts, words)
             yield pd.DataFrame({"sig": [digest(s.tobytes(), 16) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
     found = some.mapInPandas(run, "sig binary, s array<long>")
@@ -239,7 +270,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     left = likely.select("a", "b", "na", "nb").join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * same >= percent * (F.col("na") + F.col("nb") - same)).select("a", "b")
+    links = written(both.filter(100 * same >= percent * (F.col("na") + F.col("nb") - same)).select("a", "b"), "jaccard-links")
+    dropped(likely, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) -> DataFrame:
@@ -256,7 +289,9 @@ def keyed_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) ->
     component_id is the smallest doc_id that links reach. Two texts link when their sets' intersection
     is at least percent of their union; texts without words have an empty set and link with none. Null
     text counts as empty. A null doc_id takes part and never is the smallest; repeated rows each get
-    their row. Equal sets meet as one class, so copies cost no pairs.
+    their row; an empty table gives none. Equal sets meet as one class, so copies cost no pairs. Columns
+    of other names, whatever they are, are not read. A task holds one Arrow batch of texts and the words
+    of about a million characters, or of one longer text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("key").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     bits = sketch_bits(docs)
@@ -271,9 +306,12 @@ def keyed_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) ->
 
     # lists of at least two groups that share a prefix shingle
     tokens = profile.filter("prefix is not null").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    of_token = Window.partitionBy("token")
-    lists = tokens.withColumn("lo", F.min("g").over(of_token)).withColumn("hi", F.max("g").over(of_token)).filter("lo <> hi")
-    lists = written(lists.select("token", "g", "n", "pos"), "jaccard-lists")
+    # a token of class 0 has few rows by its bucket's count, so they may meet in a window; the others,
+    # which can be in very many groups, are taken as shared and only join by partial aggregates
+    of_token, common_one = Window.partitionBy("token"), F.shiftrightunsigned("token", 58) > 0
+    rare = tokens.filter(~common_one).withColumn("lo", F.min("g").over(of_token)).withColumn("hi", F.max("g").over(of_token)).filter("lo <> hi")
+    lists = rare.select("token", "g", "n", "pos").union(tokens.filter(common_one).select("token", "g", "n", "pos"))
+    lists = written(lists, "jaccard-lists")
 
     # each group to the most central group of its lists
     listed = F.countDistinct("token")
@@ -286,7 +324,7 @@ def keyed_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) ->
     ends = heads.select(F.col("g").alias("hub"), F.col("head").alias("a"))
     outer = spokes.join(ends, "hub").join(members.select("g", F.col("sig").alias("b")), "g").select("a", "b")
     inner = members.join(heads.filter("size > 1").select("g", F.col("head").alias("a")), "g").select("a", F.col("sig").alias("b"))
-    links = written(verified(outer.union(inner), members, docs, words, percent), "jaccard-links")
+    links = verified(outer.union(inner), members, docs, words, percent)
     roots = written(components(links), "jaccard-roots")
 
     # what is left: pairs of groups not all of whose members are in one component already
@@ -294,22 +332,26 @@ def keyed_duplicates(docs: DataFrame, words: int = WORDS, percent: int = 80) ->
     placed = written(placed, "jaccard-placed")
     state = placed.groupBy("g").agg(F.min("root").alias("c"), F.max("root").alias("c2")).select("g", "c", (F.col("c") != F.col("c2")).alias("mixed"))
     rows = lists.join(state, "g")
-    open_lists = rows.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("mixed").alias("m"), F.min("n").alias("least")).filter("c1 <> c2 or m").select("token", "least")
-    rows = written(rows.join(open_lists, "token"), "jaccard-open")
+    open_lists = rows.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max("mixed").alias("m"), F.min("n").alias("least"), F.ceil(F.count("*") / LISTED).cast("int").alias("parts")).filter("c1 <> c2 or m").select("token", "least", "parts")
+    opened = rows = written(rows.join(open_lists, "token"), "jaccard-open")
+    dropped(lists, profile)
     rows = rows.join(rows.groupBy("g").agg(F.countDistinct("token").alias("k")), "g")
     # tokens before the first shared one are not shared: what follows must suffice, with some size in the list
     rest = F.col("n") - F.col("pos")
     rows = written(rows.filter(rest >= near(F.col("n"), F.greatest("least", F.ceil(F.col("n") * percent / 100.0)), percent)).drop("least"), "jaccard-rows")
-    x, y = (rows.select("token", *(F.col(c).alias(c + k) for c in ("g", "n", "pos", "c", "mixed", "k"))) for k in "12")
+    dropped(opened)
+    # long lists are dealt to several tasks on one side and copied to each of them on the other
+    part = {"1": F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"), "2": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))}
+    x, y = (rows.select("token", part[k].alias("part"), *(F.col(c).alias(c + k) for c in ("g", "n", "pos", "c", "mixed", "k"))) for k in "12")
     apart = F.col("mixed1") | F.col("mixed2") | (F.col("c1") != F.col("c2"))
     fits = (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= near(F.col("n1"), F.col("n2"), percent))
     fits = fits & (F.least("k1", "k2") >= shared_needed(F.col("n1"), F.col("n2"), percent))
-    pairs = x.join(y, "token").filter((F.col("g1") < F.col("g2")) & apart & fits).select("g1", "g2").distinct()
+    pairs = x.join(y, ["token", "part"]).filter((F.col("g1") < F.col("g2")) & apart & fits).select("g1", "g2").distinct()
     pairs = pairs.union(state.filter("mixed").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
     p1 = placed.select(F.col("g").alias("g1"), F.col("sig").alias("a"), F.col("root").alias("r1"))
     p2 = placed.select(F.col("g").alias("g2"), F.col("sig").alias("b"), F.col("root").alias("r2"))
     left = pairs.join(p1, "g1").join(p2, "g2").filter("r1 <> r2").select("a", "b")
-    more = written(verified(left, members, docs, words, percent), "jaccard-links")
+    more = verified(left, members, docs, words, percent)
     if more.isEmpty():
         final = roots
     else:
