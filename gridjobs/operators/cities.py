@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.functions.grid import bbox_from_point
+from gridjobs.functions.tables import few
 from gridjobs.functions.text import city_key, slugify
 
 #: Local names of six cities.
@@ -14,13 +15,14 @@ ALIASES = {"milano": "milan", "roma": "rome", "napoli": "naples", "torino": "tur
 
 def city_catalog(places: DataFrame, countries: DataFrame, continent: str) -> DataFrame:
     """Places of a continent with their ids, by population, country and label."""
-    some = places.join(F.broadcast(countries.where(F.col("continent") == continent)), "country_code")
+    some = places.join(few(countries.where(F.col("continent") == continent)), "country_code")
     value = F.concat_ws("_", slugify(F.concat_ws("_", "label", "country")), F.col("geonameid").cast("string"))
     return sort_catalog(some.select(value.alias("value"), "label", "country", "country_code", "lat", "lon", "population"))
 
 
 def sort_catalog(cities: DataFrame) -> DataFrame:
-    return cities.orderBy(F.desc("population"), "country", "label")
+    """By population, country and label; the id parts what is equal in these."""
+    return cities.orderBy(F.desc("population"), "country", "label", "value")
 
 
 def search_cities(cities: DataFrame, query: str, most: int = 200) -> DataFrame:

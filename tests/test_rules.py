@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridjobs.functions import grid, months, text, values
-from gridjobs.operators import landcover, metrics, observed, quality, reshape, trends, verify
+from gridjobs.operators import cities, landcover, metrics, observed, quality, reshape, trends, verify
 from gridjobs.plans.fixtures import Fixtures
 
 
@@ -113,6 +113,20 @@ def test_sorted_metrics_put_missing_levels_where_asked(spark):
     assert order(True) == [("a", None), ("a", 2), ("b", 1)] and order(False) == [("a", 2), ("a", None), ("b", 1)]
 
 
+def test_catalogs_are_sorted_without_ties(spark):
+    rows = [("b", "B", "X", 5), ("a2", "A", "X", 5), ("a1", "A", "X", 5), ("c", "C", "W", 5), ("d", "D", "Z", 9), ("e", "E", "Z", None)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "value string, label string, country string, population long")
+        assert [r["value"] for r in cities.sort_catalog(df).collect()] == ["d", "c", "a1", "a2", "b", "e"]
+
+
+def test_maps_without_a_target_can_be_kept(spark):
+    one = spark.createDataFrame([("v", 0, 0, 1.0), ("v", 0, 1, 2.0)], "variable string, lat_index int, lon_index int, predicted double")
+    two = spark.createDataFrame([("v", 0, 0, 3.0)], "variable string, lat_index int, lon_index int, observed double")
+    pairs_of = lambda keep: sorted((r["lon_index"], r["observed"] or 0) for r in verify.pair_maps(one, two, ["variable"], size=(1, 2), keep_unmatched=keep).collect())
+    assert pairs_of(False) == [(0, 3.0)] and pairs_of(True) == [(0, 3.0), (1, 0)]
+
+
 def test_validation_summary_without_cases(spark):
     cases = Fixtures(spark, "/root/testdata/sf0.001").cases
     told = verify.validation_summary(verify.case_validation(cases.limit(0))).first()
