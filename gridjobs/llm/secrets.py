@@ -1,8 +1,10 @@
 """Secret scans over a trigram inverted index, with DataFrame operations alone.
 
-Each rule's regex gives a Boolean query of trigrams that any match must hold. Postings (trigram,
-document) of the queries' trigrams are built, intersected per alternative, and only the candidates
-are verified with the regex; rules without mandatory trigrams scan every text.
+Each rule's regex gives a Boolean query of trigrams that any match must hold. The postings of the
+queries' trigrams are bitmaps over the rows of a split: bit k of a row's words is set if the row is in
+the posting list of trigram k. Lists are intersected and united on these words, beside the texts they
+tell of, and only the candidates are verified with the regex; rules without mandatory trigrams scan
+every text. Nothing is shuffled, so no id, however often it occurs, gathers rows in one task.
 """
 
 from __future__ import annotations
@@ -97,28 +99,44 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def build_postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index (trigram, doc_id) of lower-cased texts, for these trigrams."""
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    held = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in trigrams)))
-    return docs.select("doc_id", F.explode(held).alias("trigram"))
+#: Posting lists to a word of the bitmap.
+LISTS = 60
 
 
-def candidates(postings: DataFrame, rules) -> DataFrame:
-    """(doc_id, rules): the rules whose trigram query a document's postings satisfy."""
-    spark = postings.sparkSession
-    rows, clauses = [], []
-    for rule in rules:
-        told = trigram_query(rule.pattern)
-        clauses.append((rule.kind, len(told)))
-        for c, clause in enumerate(told):
-            for a, alternative in enumerate(clause):
-                rows += [(rule.kind, c, a, len(alternative), t) for t in alternative]
-    wanted = F.broadcast(spark.createDataFrame(rows, "kind string, clause int, alternative int, need int, trigram string"))
-    met = postings.join(wanted, "trigram").groupBy("doc_id", "kind", "clause", "alternative", "need").agg(F.count("*").alias("n")).filter("n >= need")
-    needed = F.broadcast(spark.createDataFrame(clauses, "kind string, clauses int"))
-    all_met = met.groupBy("doc_id", "kind").agg(F.countDistinct("clause").alias("n")).join(needed, "kind").filter("n = clauses")
-    return all_met.groupBy("doc_id").agg(F.collect_set("kind").alias("rules"))
+def posting_words(text: Column, trigrams: list[str]) -> Column:
+    """array<long>: for every trigram in turn a bit that tells whether the lower-cased text holds it."""
+    low = F.lower(text)
+    bit = lambda k, t: F.when(F.contains(low, F.lit(t)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    words = []
+    for at in range(0, len(trigrams), LISTS):
+        word = F.lit(0).cast("long")
+        for k, t in enumerate(trigrams[at : at + LISTS]):
+            word = word.bitwiseOR(bit(k, t))
+        words.append(word)
+    return F.array(*words)
+
+
+def is_candidate(words: Column, trigrams: list[str], query: list[list[frozenset[str]]]) -> Column:
+    """Whether a row is in the posting lists that a trigram query asks for."""
+    place = {t: divmod(k, LISTS) for k, t in enumerate(trigrams)}
+
+    def all_of(alternative) -> Column:
+        masks: dict[int, int] = {}
+        for t in alternative:
+            word, k = place[t]
+            masks[word] = masks.get(word, 0) | 1 << k
+        out = F.lit(True)
+        for word, mask in sorted(masks.items()):
+            out = out & (F.element_at(words, word + 1).bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
+        return out
+
+    found = F.lit(True)
+    for clause in query:
+        any_of = F.lit(False)
+        for alternative in clause:
+            any_of = any_of | all_of(alternative)
+        found = found & any_of
+    return found
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -146,26 +164,23 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
     """All columns of docs and `found`: array<struct<start, kind, end>>, by start, then rule, then end.
 
-    Null text counts as empty. Candidates go back to the texts by doc_id (null-safe), once per id, so
-    repeated ids are each verified on their own text. A text without secrets has an empty array.
-    A column of docs named found is replaced, one named rules dropped.
+    One pass without a shuffle: rows are independent, so null and repeated ids are rows like others.
+    Null text counts as empty; a text without secrets has an empty array. A task holds one text and its
+    spans at a time. Columns of docs named found or _postings are replaced or dropped; others, whatever
+    their names, are kept.
     """
-    docs = docs.drop("found", "rules")
+    docs = docs.drop("found", "_postings")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted({t for clauses in queries.values() for c in clauses for a in c for t in a})
-    indexed = [r for r in rules if queries[r.kind]]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     if trigrams:
-        found = candidates(build_postings(docs, trigrams), indexed).withColumnRenamed("doc_id", "_candidate")
-        docs = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_candidate")), "left").drop("_candidate")
-    else:
-        docs = docs.withColumn("rules", F.lit(None).cast("array<string>"))
+        docs = docs.withColumn("_postings", posting_words(text, trigrams))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []
     for k, rule in enumerate(rules):
         own = spans_of(text, rule, k)
-        each.append(F.when(F.array_contains("rules", rule.kind), own).otherwise(none) if queries[rule.kind] else own)
-    return docs.withColumn("found", F.array_sort(F.concat(*each))).drop("rules")
+        each.append(F.when(is_candidate(F.col("_postings"), trigrams, queries[rule.kind]), own).otherwise(none) if queries[rule.kind] else own)
+    return docs.withColumn("found", F.array_sort(F.concat(*each))).drop("_postings")
 
 
 def told(found: Column, rules=RULES) -> Column:
@@ -175,9 +190,9 @@ def told(found: Column, rules=RULES) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", rules=RULES) -> DataFrame:
-    """docs, without columns named found or rules, and every found span of the text replaced by the
+    """docs, without columns named found or _postings, and every found span of the text replaced by the
     mask; overlapping spans get one."""
-    cols, text = [c for c in docs.columns if c not in ("found", "rules")], F.col("text")
+    cols, text = [c for c in docs.columns if c not in ("found", "_postings")], F.col("text")
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
