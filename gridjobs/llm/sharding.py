@@ -1,19 +1,21 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Equal texts form a group that stays together. Items, largest first, enter the bin with the least
+Equal texts form a group that is never divided. Groups, largest first, enter the bin with the least
 remaining capacity that still holds them, found in a balanced tree ordered by remaining capacity;
-the capacity is the smallest with which the wanted number of bins suffices.
+the capacity is the smallest with which the wanted number of bins suffices. Groups of one size are
+placed together: the tightest bin takes as many as it holds, as it stays the tightest while it can.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridjobs.llm.common import written
+from gridjobs.llm.common import numbered, written
 
-CELLS = 4096
-GRAINS = 512
+#: Groups with at least this share of all rows, so at most as many groups, are looked up by broadcast.
+HOT = 10_000
 
 
 class Tree:
@@ -60,70 +62,112 @@ class Tree:
         return key
 
 
-def best_fit(sizes: list[int], capacity: int, most_bins: int | None = None) -> list[int] | None:
-    """A bin for each item; sizes must be descending. None if more than most_bins bins are needed."""
+Run = tuple[int, int]  # bin, groups
+
+
+def best_fit(classes: list[tuple[int, int]], capacity: int, most_bins: int | None = None) -> list[list[Run]] | None:
+    """For each (size, groups) the bins that take them in turn; sizes must be descending.
+
+    None if more than most_bins bins are needed.
+    """
     tree, bins, out = Tree(), 0, []
-    for size in sizes:
-        found = tree.take_least(size)
-        if found is None:
-            if bins == most_bins or size > capacity:
-                return None
-            found, bins = (capacity, bins), bins + 1
-        out.append(found[1])
-        tree.add((found[0] - size, found[1]))
+    for size, many in classes:
+        own = []
+        while many:
+            found = tree.take_least(size)
+            if found is None:
+                if bins == most_bins or size > capacity:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            took = min(many, found[0] // size)
+            own.append((found[1], took))
+            tree.add((found[0] - took * size, found[1]))
+            many -= took
+        out.append(own)
     return out
 
 
-def into_bins(sizes: list[int], bins: int) -> list[int]:
-    """Best fit with the smallest capacity (to a part in 100,000) that fills no more than so many bins."""
-    low = max([-(-sum(sizes) // bins), *sizes[:1]])
-    high = low + max(sizes[:1], default=1)
-    while (best := best_fit(sizes, high, bins)) is None:
+def into_bins(classes: list[tuple[int, int]], bins: int) -> list[list[Run]]:
+    """Best fit with the smallest capacity (to a part in 100,000) that fills no more than so many bins.
+
+    A group beyond the mean of the bins still open gets a bin of its own, so that the others stay equal.
+    """
+    total, alone = sum(s * m for s, m in classes), []
+    while classes and len(alone) < bins - 1 and classes[0][0] * (bins - len(alone)) > total:
+        size, many = classes[0]
+        alone.append(size)
+        total -= size
+        classes = [(size, many - 1), *classes[1:]] if many > 1 else classes[1:]
+    left = bins - len(alone)
+    low = max([-(-total // left), *(s for s, _ in classes[:1])])
+    high = low + max((s for s, _ in classes[:1]), default=1)
+    while (best := best_fit(classes, high, left)) is None:
         low, high = high + 1, high * 2
     while high - low > low // 100_000:
         mid = (low + high) // 2
-        got = best_fit(sizes, mid, bins)
+        got = best_fit(classes, mid, left)
         if got is None:
             low = mid + 1
         else:
             best, high = got, mid
-    return best
+    out = [[(b + len(alone), n) for b, n in own] for own in best]
+    for k in range(len(alone) - 1, -1, -1):  # the groups put aside, back before those of their size
+        if classes and classes[0][0] == alone[k]:
+            out[0] = [(k, 1), *out[0]]
+            continue
+        classes, out = [(alone[k], 1), *classes], [[(k, 1)], *out]
+    return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, cells: int = CELLS, grains: int = GRAINS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Put every row into a shard so that the shards' bytes are nearly equal, with a gapless slot.
 
-    A group (equal texts) of at least a grain (a shard's mean bytes / grains) is an item of its own:
-    there are at most shards * grains of those. All smaller groups are hashed into a fixed number of
-    cells, each an item, so what one task packs has a fixed bound at any input size and groups still
-    stay whole. Only a group beyond a shard's mean, which no shard could hold, is split: by a hash of
-    doc_id, into pieces of about a 64th of the mean. Null text has no
-    bytes and counts as equal to the empty text; a null doc_id is kept; repeated rows are placed each.
+    Groups of equal texts are never divided. The driver packs (size, groups) pairs, one for each
+    distinct size of a group: their number grows with the variety of sizes (at most the square root
+    of twice all bytes), not with the documents. Groups are numbered by size, and a group's number
+    tells its shard. A group of more bytes than the mean shard has a shard of its own; then that shard
+    is larger than the others, which is the one case in which their bytes are not nearly equal.
+
+    Null text has no bytes and counts as equal to the empty text; a null doc_id is kept; repeated rows
+    are placed each, in the shard of their text; an empty table gives none. Other columns, whatever
+    their names, are not read. Rows of at most 48 bytes are shuffled, never texts.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group")), "shard-sizes")
-    told = slim.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
-    mean = max(1, (told["bytes"] or 0) // shards)
-    parts = shards * max(64, told["rows"] // (shards * 500_000))  # so a task numbers a bounded share of a shard
-    groups = slim.groupBy("group").agg(F.sum("size").alias("bytes"))
-    # at most shards * grains rows by the size test
-    large = groups.filter(F.col("bytes") >= max(1, mean // grains)).withColumn("pieces", F.when(F.col("bytes") > mean, F.ceil(F.col("bytes") / F.lit(max(1, mean // 64)))).otherwise(1))
-    large = written(large, "shard-groups")
-    piece = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(0)
-    cell = F.concat(F.lit("c"), F.pmod(F.xxhash64("group"), F.lit(cells)).cast("string"))
-    unit = F.when(F.col("pieces").isNull(), cell).otherwise(F.concat_ws("-", F.hex("group"), piece.cast("string")))
-    placed = slim.join(F.broadcast(large.select("group", "pieces")), "group", "left").withColumn("unit", unit)
-    items = placed.groupBy("unit").agg(F.sum("size").alias("bytes"))
-    rows = sorted(((r["bytes"], r["unit"]) for r in items.collect()), key=lambda x: (-x[0], x[1]))
-    bins = into_bins([n for n, _ in rows], shards) if rows else []
-    to = spark.createDataFrame([(u, b) for (_, u), b in zip(rows, bins)], "unit string, shard int")
-    at = placed.join(F.broadcast(to), "unit").select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "group"), F.lit(parts)).cast("int").alias("part"))
-    at = written(at, "shard-rows")
-    counts = at.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n"))
-    own = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32"))
-    return at.withColumn("own", own).join(before, ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("own") - 1).cast("long"))
+    groups = written(slim.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("many"), F.sum("n").alias("n")).toPandas().sort_values("bytes")
+    rows = int(sizes["n"].sum())
+    classes = list(zip(sizes["bytes"].tolist(), sizes["many"].tolist()))
+    runs = into_bins(classes[::-1], shards)[::-1] if classes else []
+    # groups in order of size, numbered; the places from which on a shard takes them
+    starts = np.cumsum([0, *(n for own in runs for _, n in own)])[:-1]
+    shared = spark.sparkContext.broadcast((starts, np.array([b for own in runs for b, _ in own], np.int32)))
+
+    @F.pandas_udf("int")
+    def shard_of(idx):
+        import pandas as pd
+
+        at, to = shared.value
+        return pd.Series(to[np.searchsorted(at, idx.to_numpy(), side="right") - 1] if len(idx) else np.zeros(0, np.int32))
+
+    placed = written(numbered(groups, "bytes", "group").select("group", "n", shard_of("idx").alias("shard")), "shard-places")
+    # a group of many rows is looked up by broadcast, so its rows need not meet
+    hot = F.broadcast(placed.filter(F.col("n") >= max(2, rows // HOT)).select("group", "shard"))
+    cold = placed.filter(F.col("n") < max(2, rows // HOT)).select("group", F.col("shard").alias("_s"))
+    first = slim.join(hot, "group", "left")
+    known = first.filter("shard is not null")
+    rest = first.filter("shard is null").drop("shard").join(cold, "group").withColumnRenamed("_s", "shard")
+    at = written(known.unionByName(rest).drop("group"), "shard-rows")
+    before, total = {}, 0
+    for r in sorted(at.groupBy("shard").agg(F.count("*").alias("n")).collect()):
+        before[r["shard"]], total = total, total + r["n"]
+    if not before:
+        return at.withColumn("slot", F.lit(0).cast("long"))
+    # equal rows are told apart by where they are stored, so they spread over tasks too
+    told = numbered(at.withColumn("_at", F.monotonically_increasing_id()), "shard", "doc_id", "text_crc32", "_at")
+    offset = F.element_at(F.array(*(F.lit(before.get(k, 0)).cast("long") for k in range(shards))), F.col("shard") + 1)
+    return told.withColumn("slot", F.col("idx") - offset).drop("idx", "_at")
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
