@@ -3,7 +3,8 @@
 Vectors are grouped by length into buckets of bounded size. A query's k-th best score in the
 longest bucket is a lower bound of its final k-th; over the query's and a bucket's length it is a
 local cosine threshold, by which a bucket is skipped, pruned by focus coordinates, or pruned by
-length, before products are verified.
+length, before products are verified. From which threshold on coordinates pay is measured in every
+bucket on a few of its queries.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 
 from gridjobs.llm.common import written
 
-BUCKET = 4096
-QUERIES = 1024
-#: Local cosine thresholds from this on use coordinates, lower ones length.
-COORDINATES_FROM = 0.8
+#: Vectors of a bucket and of a block of queries: a vector is sent once to each block, so blocks are
+#: as large as a task can hold.
+BUCKET = 32_768
+QUERIES = 32_768
+#: Coordinates that prune, queries on which their use is measured, and what a number costs in gathered
+#: rows beside one in a block of neighbouring rows.
 FOCUS = 3
+MEASURED = 16
+GATHERED = 10.0
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -38,50 +43,88 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int, least: float, own: int)
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def search_bucket(q_ids, q, least, c_ids, c, k: int = 5):
-    """(query id, vector id, score) of each query's best k in a bucket that reach its bound."""
+class Coordinates:
+    """Ranges of a bucket's unit vectors by their coordinates."""
+
+    def __init__(self, c: np.ndarray, c_len: np.ndarray):
+        self.unit = c / np.maximum(c_len, 1e-300)[:, None]
+        self.ranked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def focus(self, u: np.ndarray, t: float) -> list[tuple[int, int, int, float, float]]:
+        """(size, coordinate, start, low, high) of the query's largest coordinates, the smallest range first."""
+        out = []
+        for f in np.argsort(-np.abs(u))[:FOCUS].tolist():
+            if f not in self.ranked:
+                by = np.argsort(self.unit[:, f], kind="stable")
+                self.ranked[f] = by, self.unit[by, f]
+            # the angle to the axis differs from the query's by at most the angle of the threshold
+            own, most = np.arccos(np.clip(u[f], -1, 1)), np.arccos(t)
+            low, high = np.cos(min(own + most, np.pi)) - 1e-9, np.cos(max(own - most, 0.0)) + 1e-9
+            a, b = np.searchsorted(self.ranked[f][1], low, side="left"), np.searchsorted(self.ranked[f][1], high, side="right")
+            out.append((int(b - a), f, int(a), low, high))
+        return sorted(out)
+
+    def kept(self, u: np.ndarray, t: float) -> np.ndarray:
+        """Vectors of the bucket whose focus coordinates allow the threshold."""
+        told = self.focus(u, t)
+        n, f, a, _, _ = told[0]
+        at = self.ranked[f][0][a : a + n]
+        for _, f, _, low, high in told[1:]:
+            at = at[(self.unit[at, f] >= low) & (self.unit[at, f] <= high)]
+        return at
+
+
+def switch_point(q: np.ndarray, q_len: np.ndarray, local: np.ndarray, by_length: np.ndarray, coordinates: Coordinates) -> float:
+    """The local threshold from which on coordinates are used: the one that costs some of the queries least.
+
+    by_length: how many vectors length leaves each query. Infinite if length alone is cheapest.
+    """
+    asked = np.flatnonzero((local > 0) & (local <= 1 + 1e-9))
+    asked = asked[np.argsort(local[asked], kind="stable")]
+    asked = asked[np.unique(np.linspace(0, len(asked) - 1, MEASURED).astype(int))] if len(asked) else asked
+    saved, best, most = 0.0, float("inf"), 0.0
+    for i in asked[::-1]:
+        u, t = q[i] / q_len[i], min(local[i], 1.0)
+        looked_at, multiplied = coordinates.focus(u, t)[0][0], len(coordinates.kept(u, t))
+        saved += by_length[i] * q.shape[1] - GATHERED * (looked_at * (FOCUS - 1) + multiplied * q.shape[1])
+        if saved > most:
+            best, most = float(local[i]), saved
+    return best
+
+
+def search_bucket(q_ids, q, least, c_ids, c, k: int = 5, measured: dict | None = None):
+    """(query id, vector id, score) of each query's best k in a bucket that reach its bound.
+
+    measured, if given, takes the switch point and how many queries went which way.
+    """
     c_len, q_len = np.sqrt((c.astype(float) ** 2).sum(1)), np.sqrt((q.astype(float) ** 2).sum(1))
     order = np.argsort(-c_len, kind="stable")
     c_ids, c, c_len = c_ids[order], c[order], c_len[order]
-    longest = c_len[0]
-    reach = q_len * longest
+    reach = q_len * c_len[0]
     with np.errstate(divide="ignore", invalid="ignore"):
         local = np.where(reach > 0, least / reach, np.where(least > 0, 2.0, -1.0))
+        short = np.where((q_len > 0) & np.isfinite(least), least / np.maximum(q_len, 1e-300), -1.0) * (1 - 1e-9)
+    by_length = np.where(short > 0, np.searchsorted(-c_len, -short, side="right"), len(c))
+    coordinates = Coordinates(c, c_len)
+    switch = switch_point(q, q_len, local, by_length, coordinates)
     out = []
-    by_length = np.flatnonzero(local < COORDINATES_FROM)
-    for some in np.array_split(by_length, max(1, len(by_length) // 256)):
-        if not len(some):
-            continue
-        with np.errstate(divide="ignore", invalid="ignore"):
-            short = np.where(q_len[some] > 0, least[some] / q_len[some], -1.0).min() * (1 - 1e-9)
-        m = int(np.searchsorted(-c_len, -short, side="right")) if short > 0 else len(c)
-        scores = products(q[some], c[:m])
-        for row, i in zip(scores, some):
+    some = np.flatnonzero((local < switch) & (local <= 1 + 1e-9))
+    some = some[np.argsort(by_length[some], kind="stable")]  # queries with like prefixes together
+    step = max(1, (1 << 22) // max(len(c), 1))
+    for at in range(0, len(some), step):
+        few = some[at : at + step]
+        m = int(by_length[few].max())
+        scores = products(q[few], c[:m])
+        for row, i in zip(scores, few):
             out += [(q_ids[i], c_ids[j], row[j]) for j in best_of(row, c_ids[:m], k, least[i], q_ids[i])]
-    by_coordinate = np.flatnonzero((local >= COORDINATES_FROM) & (local <= 1 + 1e-9))
-    if len(by_coordinate):
-        unit = c / np.maximum(c_len, 1e-300)[:, None]
-        ranked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for i in by_coordinate:
-            t, u = min(local[i], 1.0), q[i] / q_len[i]
-            best, rest = None, []
-            for f in np.argsort(-np.abs(u))[:FOCUS]:
-                if f not in ranked:
-                    by = np.argsort(unit[:, f], kind="stable")
-                    ranked[f] = by, unit[by, f]
-                # the angle to the axis differs from the query's by at most the angle of the threshold
-                own, most = np.arccos(np.clip(u[f], -1, 1)), np.arccos(t)
-                low, high = np.cos(min(own + most, np.pi)) - 1e-9, np.cos(max(own - most, 0.0)) + 1e-9
-                a, b = np.searchsorted(ranked[f][1], low, side="left"), np.searchsorted(ranked[f][1], high, side="right")
-                rest.append((f, low, high))
-                if best is None or b - a < best[2] - best[1]:
-                    best = f, a, b
-            at = ranked[best[0]][0][best[1] : best[2]]
-            for f, low, high in rest:
-                at = at[(unit[at, f] >= low) & (unit[at, f] <= high)]
-            if len(at):
-                row = products(q[i : i + 1], c[at])[0]
-                out += [(q_ids[i], c_ids[at[j]], row[j]) for j in best_of(row, c_ids[at], k, least[i], q_ids[i])]
+    chosen = np.flatnonzero((local >= switch) & (local <= 1 + 1e-9))
+    for i in chosen:
+        at = coordinates.kept(q[i] / q_len[i], min(local[i], 1.0))
+        if len(at):
+            row = products(q[i : i + 1], c[at])[0]
+            out += [(q_ids[i], c_ids[at[j]], row[j]) for j in best_of(row, c_ids[at], k, least[i], q_ids[i])]
+    if measured is not None:
+        measured.update(switch=switch, by_length=len(some), by_coordinates=len(chosen))
     return out
 
 
@@ -91,22 +134,26 @@ FOUND = "query_id long, vec_id long, score long"
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bucket: int = BUCKET, block: int = QUERIES) -> DataFrame:
     """The k vectors of highest integer product for every query, ties to smaller vec_id, with rank.
 
-    vectors, queries: vec_id, v (array<long>). Only vectors of a query's dimension are compared; a
-    query's own vec_id is left out; repeated (vec_id, v) rows count once; a query with fewer vectors
-    gets all; none gives no rows. Length classes (fixed ratio of squared lengths) are split by a hash
-    into buckets of about `bucket` rows and queries into blocks of about `block`, so a task holds one
-    of each; pairs of bucket and block that the bounds rule out are not formed.
+    vectors, queries: vec_id, v (array<long>); other columns are not read. Only vectors of a query's
+    dimension are compared; rows with a query's own vec_id are left out; repeated rows count each; a
+    query id of several rows asks with each and ranks what they find together; a query with fewer
+    vectors gets all; none gives no rows. Length classes (fixed ratio of squared lengths) are split by
+    a hash of vector and place into buckets of about `bucket` rows, so copies of one vector spread, and
+    queries into blocks of about `block`. A task holds one of each; pairs of bucket and block that the
+    bounds rule out are not formed.
     """
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     base = vectors.select("vec_id", "v", F.size("v").alias("dim"), F.sqrt(squared).alias("len"))
     base = base.withColumn("class", F.when(F.col("len") > 0, F.floor(F.log2("len") * 8)).otherwise(-1 << 20).cast("int"))
+    base = written(base.withColumn("place", F.monotonically_increasing_id()), "topk-rows")
     sizes = base.groupBy("dim", "class").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("vec_id", "v"), F.ceil(F.col("n") / bucket)).cast("int")
-    base = written(base.join(sizes, ["dim", "class"]).withColumn("part", part).drop("n"), "topk-vectors")
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    part = F.pmod(F.xxhash64("vec_id", "place"), F.ceil(F.col("n") / bucket)).cast("int")
+    # classes of lengths are few: eight to a doubling
+    base = written(base.join(sizes, ["dim", "class"]).withColumn("part", part).drop("n", "place"), "topk-vectors")
+    asked = written(queries.select("vec_id", "v", F.size("v").alias("dim"), F.sqrt(squared).alias("len"), F.monotonically_increasing_id().alias("place")), "topk-asked")
     blocks = asked.groupBy("dim").agg(F.count("*").alias("n"))
-    asked = asked.join(blocks, "dim").select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("n") / block)).cast("int").alias("block"))
-    asked = written(asked.withColumn("len", F.sqrt(squared)), "topk-queries")
+    asked = asked.join(blocks, "dim").select("vec_id", "v", "dim", "len", F.pmod(F.xxhash64("vec_id", "place"), F.ceil(F.col("n") / block)).cast("int").alias("block"))
+    asked = written(asked, "topk-queries")
     buckets = base.groupBy("dim", "class", "part").agg(F.max("len").alias("longest"), F.count("*").alias("n"))
     key = ["dim", "class", "part", "block"]
 
@@ -118,9 +165,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bucket: int = BUCK
         dim = int(q["dim"].iloc[0])
         matrix = lambda x: np.array(x["v"].tolist(), np.int64).reshape(len(x), dim)
         ids, rows = c["vec_id"].to_numpy(np.int64), matrix(c)
-        if len(np.unique(ids)) < len(ids):
-            _, once = np.unique(np.column_stack([ids, rows]), axis=0, return_index=True)
-            ids, rows = ids[once], rows[once]
         found = search_bucket(q["vec_id"].to_numpy(np.int64), matrix(q), q["least"].to_numpy(float), ids, rows, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
