@@ -45,17 +45,19 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     return ranked.withColumn("target", F.least("limit", F.col("weight") * F.lit(level)))
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Add size, source_size, target and copies to every row's (doc_id, source).
+def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: float = SHARE, most: float = MOST, more: tuple[str, ...] = ()) -> DataFrame:
+    """Add size, source_size, target and copies to every row's (doc_id, source) and more columns.
 
     Order within a source: words, then a hash of doc_id, then doc_id. Rows are range-partitioned by
     it, so a hot source spreads over tasks; a prefix sum is a position times a constant. Null text has
     no words; a null source is a source of its own, the last; sources without words have target 0;
-    repeated rows count each; an empty table gives none.
+    repeated rows count each; an empty table gives none. Other columns, whatever their names, are not
+    read; after the first pass no task holds a text.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), *more)
     slim = slim.withColumn("h", hashed(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    slim = written(slim, "mix-sizes")  # so that words are counted once, not once more for the range bounds
     order = F.col("source").asc_nulls_last(), F.col("size"), F.col("h"), F.col("doc_id").asc_nulls_first()
     at = written(numbered(slim, *order), "mix-order")
     sources = at.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("idx").alias("first"))
@@ -65,7 +67,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, share: floa
     joined = at.join(targets, F.col("source").eqNullSafe(F.col("s"))).withColumn("each", each).withColumn("start", start)
     place = F.col("idx") - F.col("first")
     crossed = lambda k: F.floor(F.col("each") * k + F.col("start"))
-    return joined.withColumn("copies", crossed(place + 1) - crossed(place)).select("doc_id", "source", "size", "source_size", "target", "copies")
+    return joined.withColumn("copies", crossed(place + 1) - crossed(place)).select("doc_id", "source", "size", "source_size", "target", "copies", *more)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,10 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridjobs.llm.chunks import Growing
+from gridjobs.llm.common import given_back, text_batches
+
 BITS = 18
 #: Most labelled rows that a fit reads, and the models it averages.
 SAMPLE = 30_000
-SHARDS = 4
+SHARDS = 8
 #: Examples that a model sees at least, in 3 to 40 passes over its own.
 SEEN = 20_000
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 0.001, 0.001
@@ -24,7 +27,7 @@ class Hashed(dict):
     """Hashes of words met by this worker."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
         return h
@@ -83,42 +86,57 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def train(texts, labels, bits: int = BITS) -> np.ndarray:
+    """Weights of one leader that goes through the examples a few times, in their order."""
+    slots, values = Growing(np.int32), Growing(np.float32)
+    for text in texts:
+        at, x = features(text, bits)
+        slots.extend([at])
+        values.extend([x])
+    leader, ends = Leader(bits), slots.ends.tolist()
+    for _ in range(min(40, max(3, SEEN // max(slots.n, 1)))):
+        for a, b, label in zip(ends, ends[1:], labels):
+            leader.learn(slots.flat[a:b], values.flat[a:b].astype(np.float64), label)
+    return leader.weights_at(np.arange(1 << bits))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, bits: int = BITS) -> np.ndarray:
-    """Weights from about `sample` labelled rows, chosen and ordered by a hash of doc_id.
+    """Weights from about `sample` labelled ids, chosen and ordered by a hash of doc_id.
 
-    The rows are dealt to a fixed number of shards; each goes through its own leader a few times, in
-    the order of the hash, and the models are averaged. The driver gets `shards` arrays of 2**bits
-    floats. Held-out rows, null labels and null ids take no part; no rows give zero weights.
+    They are dealt to a fixed number of shards; each goes through its own leader a few times, in the
+    order of the hash, and the models are averaged. The driver gets `shards` arrays of 2**bits floats.
+    Held-out ids, null labels, null ids and ids with both labels take no part; of several rows of an
+    id the least text does. No rows give zero weights.
     """
-    usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    spark = docs.sparkSession
+    text_batches(spark)
+    usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    usable = usable.agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other")).filter("quality = other").drop("other")
     count = usable.count()
     order = F.xxhash64("doc_id", F.lit(7))
     chance = F.pmod(order, F.lit(1 << 40)) / float(1 << 40)
-    chosen = usable.filter(chance < sample / max(count, 1)).dropDuplicates(["doc_id"])
+    chosen = usable.filter(chance < sample / max(count, 1))
     # about `sample` rows of two numbers, whatever the input
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = rows.select("text", "quality", order.alias("h"), F.pmod(order, F.lit(shards)).cast("int").alias("shard"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    # shard names that fall into different partitions
+    names = spark.range(100 * shards).select("id", F.pmod(F.hash("id"), F.lit(shards)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    named = F.element_at(F.array(*(F.lit(r["id"]) for r in names)), F.pmod(order, F.lit(len(names))).cast("int") + 1)
+    rows = rows.select("text", "quality", order.alias("h"), named.alias("shard"))
 
-    def train(batches):
+    def run(batches):
         import pandas as pd
 
-        held: dict[int, list] = {}
-        for batch in batches:
-            for text, label, shard in zip(batch["text"], batch["quality"], batch["shard"]):
-                held.setdefault(shard, []).append((*features(text, bits), label))
-        out = []
-        for shard, examples in held.items():
-            leader = Leader(bits)
-            for _ in range(min(40, max(3, SEEN // len(examples)))):
-                for slots, x, label in examples:
-                    leader.learn(slots, x, label)
-            out.append((shard, len(examples), leader.weights_at(np.arange(1 << bits)).astype("<f4").tobytes()))
+        held = list(batches)
+        out = [(shard, len(own), train(own["text"], own["quality"].tolist(), bits).astype("<f4").tobytes()) for shard, own in (pd.concat(held).groupby("shard", sort=True) if held else ())]
         yield pd.DataFrame(out, columns=["shard", "n", "weights"])
+        del held
+        given_back()
 
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "text")
-    models = dealt.mapInPandas(train, "shard int, n long, weights binary").collect()
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h")
+    models = dealt.mapInPandas(run, "shard long, n long, weights binary").collect()
     total = sum(r["n"] for r in models)
-    return sum((np.frombuffer(r["weights"], "<f4") * (r["n"] / total) for r in models), np.zeros(1 << bits))
+    return sum((np.frombuffer(r["weights"], "<f4") * (r["n"] / total) for r in sorted(models, key=lambda r: r["shard"])), np.zeros(1 << bits))
 
 
 def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
@@ -126,6 +144,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5
 
     Null and empty texts score by the bias alone. Columns of docs named score or predicted are replaced.
     """
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     @F.pandas_udf("double")

@@ -29,7 +29,7 @@ _byte_chunks = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").
 _LOW = bytes(range(0xC6))
 #: Kinds of tokenizer: one keeps white space, the other lower-cases and drops it.
 BYTES, WORDS = "bytes", "words"
-KEEP = 800_000
+KEEP = 400_000
 
 
 def path_of(name: str) -> str:
