@@ -7,12 +7,12 @@ repeated rows, extra columns and empty tables pass through each stage as its doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridjobs.llm.common import written
+from gridjobs.llm.common import dropped, written
 from gridjobs.llm.jaccard import FEW, keyed_duplicates
-from gridjobs.llm.mixing import WORD, mix_sources
+from gridjobs.llm.mixing import mix_sources
 from gridjobs.llm.packing import pack_documents
 from gridjobs.llm.quality import fit, score_documents
 from gridjobs.llm.secrets import redact
@@ -70,21 +70,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix of sources takes it.
+    """Every row as many times as the mix of sources takes it.
 
-    Rows of one doc_id are told apart by source and size, in which they may only be swapped for rows
-    with the same. Documents of no words have copies like others of their source.
+    Rows are told apart by a number stored beside them, so null and repeated ids, and equal rows, meet
+    in no one task. Documents of no words have copies like others of their source.
     """
-    mixed = written(mix_sources(docs.select("doc_id", "text", "source")), "pipeline-mix")
-    taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows, same = documents(docs), F.col("doc_id").eqNullSafe(F.col("_id"))
-    if not mixed.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        order = Window.partitionBy("doc_id").orderBy("source", "size")
-        taken = mixed.withColumn("_n", F.row_number().over(order)).filter("copies > 0").select(F.col("doc_id").alias("_id"), "_n", "copies")
-        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-        rows = rows.withColumn("size", size).withColumn("k", F.row_number().over(order))
-        same = same & (F.col("k") == F.col("_n"))
-    return documents(rows.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
+    rows = written(documents(docs).withColumn("_at", F.monotonically_increasing_id()), "pipeline-numbered")
+    taken = mix_sources(rows.select("doc_id", "text", "source", "_at"), more=("_at",)).filter("copies > 0").select("_at", "copies")
+    return documents(rows.join(taken, "_at").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,7 +92,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
