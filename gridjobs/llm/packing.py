@@ -86,8 +86,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tiers: tuple[int
 
     Each input partition packs pools of about POOL_TOKENS tokens as it reads, so nothing is
     shuffled and memory is bounded by a pool and one document. Sequences are full tiers, or powers
-    of two at a pool's end, so none needs padding. Null text counts as empty and gives the end id
-    alone; a null doc_id stays null; repeated rows are packed each; an empty table gives no rows.
+    of two at a pool's end (tier 0 if shorter than all tiers), so none needs padding. Null text
+    counts as empty and gives the end id alone; a null doc_id stays null; repeated rows are packed
+    each; an empty table gives no rows.
+    Columns of other names, whatever they are, are not read.
     """
 
     def run(batches):
@@ -102,7 +104,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, tiers: tuple[int
             rows = []
             for own, group in zip(sequences, step_groups(sequences)):
                 size, at = sum(p[2] for p in own), 0
-                tier = next((t for t in reversed(tiers) if size <= t), tiers[0])
+                tier = size if size in tiers else 0
                 for d, s, n in own:
                     rows.append((keys[d], s, n, zlib.crc32(ids_of[d][s : s + n]), len(ids_of[d]), made, at, size, tier, groups + group))
                     at += n

@@ -189,7 +189,9 @@ class PrefixCounter:
         self.vocab = {raw(s): i for s, i in told["model"]["vocab"].items() if s not in added}
         merges = [(raw(a), raw(b)) for a, b in (m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"])]
         self.rank = {pair: i for i, pair in reversed(list(enumerate(merges)))}
-        self.longest = max(map(len, self.vocab))
+        self.tails: dict[bytes, int] = {}  # the longest entry that ends with these three bytes
+        for token in self.vocab:
+            self.tails[token[-3:]] = max(len(token), self.tails.get(token[-3:], 2))
         self.words = regex.compile(WORDS).findall
         self.chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.lead = re.compile(f"[{WHITE}]*").match
@@ -202,11 +204,16 @@ class PrefixCounter:
 
     def long_word(self, data: bytes) -> list[int]:
         """Counts after each byte of a long word, position by position."""
-        last, count = [0], [0]
+        last, count, known = [0], [0], {}
         for i in range(1, len(data) + 1):
-            for at in range(max(0, i - self.longest), i):
+            for at in range(max(0, i - self.tails.get(data[max(0, i - 3) : i], 2)) if i > 2 else 0, i):
                 token = self.vocab.get(data[at:i])
-                if token is not None and (not at or self.table.stay_apart(np.array([last[at]]), np.array([token]))[0]):
+                if token is None:
+                    continue
+                pair = (last[at], token)
+                if at and pair not in known:
+                    known[pair] = bool(self.table.walk(np.array([last[at]]), np.array([token]))[0])
+                if not at or known[pair]:
                     break
             last.append(token)
             count.append(count[at] + 1)
@@ -359,7 +366,8 @@ def prefix_counts(docs: DataFrame, path: str, budget: int = 1024) -> DataFrame:
 
     step_width and steps hold the counts (unpack_counts). No shuffle; a worker keeps at most KEEP
     chunks and four million characters of texts. Null or empty text: no bytes, no tokens, empty steps. A null doc_id stays null; rows are
-    treated one by one, so repeated rows give repeated results and an empty table gives none.
+    treated one by one, so repeated rows give repeated results and an empty table gives none. Columns
+    of other names, whatever they are, are not read.
     """
 
     def run(batches):
