@@ -11,6 +11,7 @@ from gridjobs.llm.quality import op7_quality
 from gridjobs.llm.repair import op4_repair
 from gridjobs.llm.secrets import OP8_SQL, op8_secrets
 from gridjobs.llm.sharding import op2_sharding
+from gridjobs.llm.simhash import op11_simhash
 from gridjobs.llm.topk import OP1_SQL, op1_topk
 
 
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_secrets": op8_secrets,
         "op9_jaccard": op9_jaccard,
         "op10_prefix_counts": op10_prefix_counts,
+        "op11_simhash": op11_simhash,
     }
 
 
