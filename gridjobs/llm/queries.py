@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridjobs.llm.audit import OP12_SQL, op12_filter_audit
 from gridjobs.llm.jaccard import op9_jaccard
 from gridjobs.llm.merkle import op5_merkle
 from gridjobs.llm.mixing import OP3_SQL, op3_mixing
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_jaccard": op9_jaccard,
         "op10_prefix_counts": op10_prefix_counts,
         "op11_simhash": op11_simhash,
+        "op12_filter_audit": op12_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op3_mixing": OP3_SQL, "op8_secrets": OP8_SQL}
+    return {"op1_topk": OP1_SQL, "op3_mixing": OP3_SQL, "op8_secrets": OP8_SQL, "op12_filter_audit": OP12_SQL}
