@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridjobs.llm.alignment import op13_alignment
 from gridjobs.llm.audit import OP12_SQL, op12_filter_audit
 from gridjobs.llm.jaccard import op9_jaccard
 from gridjobs.llm.merkle import op5_merkle
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op10_prefix_counts": op10_prefix_counts,
         "op11_simhash": op11_simhash,
         "op12_filter_audit": op12_filter_audit,
+        "op13_alignment": op13_alignment,
     }
 
 
