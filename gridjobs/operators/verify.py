@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridjobs.functions.grid import areas_range_join, flip, flip_by
+from gridjobs.functions.grid import flip, flip_by
 from gridjobs.functions.tables import few
 from gridjobs.functions.values import col, pct_error, pct_error_kelvin
-from gridjobs.operators.metrics import continuous_metrics
+from gridjobs.operators.summed import area_metrics
 
 #: States that count as ready, and the features of reports.
 READY_STATES = ("ready_high", "usable_medium", "diagnostic_medium", "diagnostic_promising", "context_spatially_consistent", "diagnostic_spatially_consistent")
@@ -193,12 +193,7 @@ def curated_by_year(by_month: DataFrame) -> DataFrame:
 
 def area_summary(pairs: DataFrame, areas: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics of every area and of the full grid; an area without cells has counts of 0."""
-    some = areas_range_join(pairs, areas)
-    own = continuous_metrics(some, [*keys, "area_label"])
-    frame = areas.select("area_label").distinct().crossJoin(few(pairs.select(*keys).distinct()))
-    own = frame.join(own, [*keys, "area_label"], "left").fillna(0, ["cell_count", "valid_cell_count"])
-    full = continuous_metrics(pairs, keys).withColumn("area_label", F.lit("full_grid"))
-    return own.unionByName(full).withColumn("within_3pct", F.coalesce(F.col("rmae_pct") <= 3.0, F.lit(False)))
+    return area_metrics(pairs, areas, keys).withColumn("within_3pct", F.coalesce(F.col("rmae_pct") <= 3.0, F.lit(False)))
 
 
 def case_validation(cases: DataFrame, limit: float = 3.0) -> DataFrame:

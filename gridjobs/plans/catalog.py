@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.functions import grid, months, text, values
-from gridjobs.operators import cities, landcover, metrics, observed, quality, reshape, trends, verify
+from gridjobs.operators import cities, landcover, metrics, observed, quality, reshape, summed, trends, verify
 from gridjobs.plans.fixtures import Fixtures, duckdb
 
 _queries: dict[str, Callable] = {}
@@ -380,6 +380,21 @@ def batch_species_summary(f):
     return observed.batch_species_summary(f.species_pairs, ["forecast_month"])
 
 
+@query(f"""WITH g AS (SELECT *, cos(radians(latitude)) AS w FROM {{grid_obs}}), a AS (SELECT * FROM {{areas}}),
+  own AS (SELECT month, area_label, CASE WHEN sum(w) <> 0 THEN sum(t2m * w) / sum(w) END - 273.15 AS temperature_mean_area_c, CASE WHEN sum(w) <> 0 THEN sum(tp * w) / sum(w) END * 1000 AS precipitation_mean_area_mm, count(*) AS cell_count FROM g JOIN a ON {IN_AREA} GROUP BY ALL)
+  SELECT month, area_label, temperature_mean_area_c, precipitation_mean_area_mm, coalesce(cell_count, 0) AS cell_count FROM (SELECT DISTINCT month FROM g) CROSS JOIN (SELECT DISTINCT area_label FROM a) LEFT JOIN own USING (month, area_label)""".replace("WITH g", "SELECT * FROM (WITH g") + ")", "temperature_mean_area_c precipitation_mean_area_mm")
+def batch_areas(f):
+    return summed.batch_areas(f.grid_obs, f.areas, ["month"])
+
+
+@query(f"""WITH p AS (SELECT *, 40 + lat_index * CAST(0.25 AS DOUBLE) AS latitude, lon_index * CAST(0.25 AS DOUBLE) AS longitude FROM {{species_pairs}}), a AS (SELECT * FROM {{areas}}),
+  own AS (SELECT forecast_month, area_label, species, max(predicted) AS signal FROM p JOIN a ON {IN_AREA} GROUP BY ALL)
+  SELECT forecast_month, area_label, count(*) FILTER (signal >= 0.5) AS species_count_area_proxy, max(signal) AS max_signal FROM (SELECT DISTINCT forecast_month FROM p) CROSS JOIN (SELECT DISTINCT area_label FROM a) LEFT JOIN own USING (forecast_month, area_label) GROUP BY 1, 2""".replace("WITH p", "SELECT * FROM (WITH p") + ")", "max_signal")
+def batch_species_areas(f):
+    at = f.species_pairs.withColumns({"lat_i": F.col("lat_index") + 160, "lon_i": F.col("lon_index")})
+    return summed.batch_species_areas(at, f.areas, ["forecast_month"])
+
+
 @query("SELECT forecast_month, abs(avg(predicted) - avg(observed)) AS signal_delta, abs(max(predicted) - max(observed)) AS peak_delta FROM {species_pairs} GROUP BY 1", "signal_delta peak_delta")
 def area_deltas(f):
     side = lambda c: f.species_pairs.groupBy("forecast_month").agg(F.avg(c).alias("signal"), F.max(c).alias("peak"))
