@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridjobs.functions.values import display_unit, display_value, finite
 from gridjobs.functions.grid import inside
 from gridjobs.functions.tables import few
+from gridjobs.operators.quantiles import column_quantiles, median_exceeds
 
 
 def variable_inventory(grid: DataFrame, value: str = "value") -> DataFrame:
@@ -48,15 +49,24 @@ def precip_audit(grid: DataFrame, bounds, value: str = "tp") -> DataFrame:
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: missing count and share, and for numbers their describing statistics; one pass."""
-    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte")}
+    """Per column: missing count and share, and for numbers their describing statistics.
+
+    One pass for all but the quartiles, which come by column_quantiles. Of an empty table counts are 0 and
+    the rest is null.
+    """
+    kinds = dict(df.dtypes)
+    numeric = [f.name for f in df.schema.fields if f.name in columns and f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte")]
     rows = []
     for c in columns:
         v = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
         rows.append(F.struct(
-            F.lit(c).alias("column_name"), F.lit(dict(df.dtypes)[c]).alias("type"), F.count_if(F.col(c).isNull()).alias("missing"), (F.count_if(F.col(c).isNull()) / F.count(F.lit(1)) * 100.0).alias("missing_pct"),
-            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.lit(0.25)).alias("q25"), F.percentile(v, F.lit(0.5)).alias("q50"), F.percentile(v, F.lit(0.75)).alias("q75"), F.max(v).alias("max")))
-    return df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+            F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("type"), F.count_if(F.col(c).isNull()).alias("missing"), (F.try_divide(F.count_if(F.col(c).isNull()), F.count(F.lit(1))) * 100.0).alias("missing_pct"),
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max")))
+    told = df.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    if not numeric:
+        return told.select("*", *(F.lit(None).cast("double").alias(q) for q in ("q25", "q50", "q75")))
+    quartiles = column_quantiles(df, numeric).select("column_name", *(F.element_at("q", k + 1).alias(q) for k, q in enumerate(("q25", "q50", "q75"))))
+    return told.join(F.broadcast(quartiles), "column_name", "left")
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -119,12 +129,15 @@ def scale(df: DataFrame, stats: DataFrame, mode: str = "minmax", inverse: bool =
 
 
 def kelvin_guard(layers: DataFrame) -> DataFrame:
-    """Convert temperature layers that look like Kelvin: by name, or by the median of a month's map."""
+    """Convert temperature layers that look like Kelvin: by name, or by the median of a month's map.
+
+    Whether a median is over the limit is told by counts around it, a few numbers for each map.
+    """
     temps = F.col("variable").isin("temperature", "stl1", "stl2")
-    middle = layers.groupBy("month", "variable").agg(F.percentile(F.abs("value"), F.lit(0.5)).alias("_mid"))
-    rows = layers.join(middle, ["month", "variable"])
-    kelvin = temps & (F.endswith("column_name", F.lit("_native")) | (F.col("_mid") > 150))
-    return rows.withColumn("value", F.when(kelvin, F.col("value") - 273.15).otherwise(F.col("value"))).drop("_mid")
+    maps = layers.groupBy("month", "variable").agg(median_exceeds(F.abs("value"), 150).alias("_hot"))
+    rows = layers.join(maps, ["month", "variable"])
+    kelvin = temps & (F.endswith("column_name", F.lit("_native")) | F.col("_hot"))
+    return rows.withColumn("value", F.when(kelvin, F.col("value") - 273.15).otherwise(F.col("value"))).drop("_hot")
 
 
 def dense_batch(groups: DataFrame, cells: DataFrame, variables: DataFrame, mode: str = "all") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridjobs.functions.grid import flip, flip_by
 from gridjobs.functions.tables import few
 from gridjobs.functions.values import col, pct_error, pct_error_kelvin
+from gridjobs.operators.quantiles import median_of_group
 from gridjobs.operators.summed import area_metrics
 
 #: States that count as ready, and the features of reports.
@@ -158,9 +159,11 @@ def dashboard(metrics: DataFrame) -> DataFrame:
     """Per feature, missing keys kept: means over runs, distinct and ready months, and their ratio."""
     ready = F.col("readiness").isin(*READY_STATES)
     means = ("predicted_mean", "observed_mean", "mae", "rmse", "bias", "wape_pct", "smape_pct", "rmae_pct", "cvrmse_pct")
-    rows = metrics.groupBy("grp", "variable", "unit", "domain", "use").agg(
+    keys = ["grp", "variable", "unit", "domain", "use"]
+    metrics, median = median_of_group(metrics, keys, "correlation", "_middle")
+    rows = metrics.groupBy(*keys).agg(
         F.countDistinct("forecast_month").alias("n_months"), *(F.avg(c).alias(c if c.endswith("_mean") else f"mean_{c}") for c in means),
-        F.avg(F.abs("bias")).alias("mean_abs_bias"), F.avg("correlation").alias("mean_corr"), F.percentile("correlation", F.lit(0.5)).alias("median_corr"),
+        F.avg(F.abs("bias")).alias("mean_abs_bias"), F.avg("correlation").alias("mean_corr"), median.alias("median_corr"),
         F.avg(F.col("correlation") * F.col("correlation")).alias("mean_r2_corr_squared"), F.countDistinct(F.when(ready, F.col("forecast_month"))).alias("ready_or_usable_months"))
     return rows.withColumn("readiness_ratio", F.try_divide("ready_or_usable_months", "n_months")).orderBy(F.desc_nulls_last("readiness_ratio"), F.desc_nulls_last("mean_corr"))
 
