@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridjobs.functions import grid, months, text, values
-from gridjobs.operators import cities, landcover, metrics, observed, quality, reshape, summed, trends, verify
+from gridjobs.operators import cities, landcover, metrics, observed, quality, reshape, species, summed, trends, verify
 from gridjobs.plans.fixtures import Fixtures, duckdb
 
 _queries: dict[str, Callable] = {}
@@ -246,6 +246,17 @@ def species_area_month(f):
     return observed.species_area_month(f.occ, BOX)
 
 
+@query("SELECT area_label, CAST(date_trunc('month', ts) AS DATE) AS month, count(DISTINCT species) AS species_count_observed_area FROM {occ} JOIN (SELECT area_label, min_lat, max_lat, min_lon - 3 AS min_lon, max_lon - 3 AS max_lon FROM {areas}) a ON latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon GROUP BY 1, 2")
+def species_areas(f):
+    return species.species_areas(f.occ, f.areas.withColumns({c: F.col(c) - 3 for c in ("min_lon", "max_lon")}))
+
+
+@query()
+def sketched_species_areas(f):
+    areas = f.areas.withColumns({c: F.col(c) - 3 for c in ("min_lon", "max_lon")})
+    return species.sketched_areas(species.species_sketches(f.occ), areas, 12).drop("sketch")
+
+
 @query()
 def approx_species(f):
     return observed.species_cell_month(f.occ, BOX, approximate=True)

@@ -116,6 +116,17 @@ def write_cells(df: DataFrame, path: str) -> None:
     df.write.partitionBy("month").mode("overwrite").parquet(path)
 
 
+def write_sketches(sketches: DataFrame, path: str) -> None:
+    """Store sketches by month; a rerun replaces the months that it has and leaves the others."""
+    sketches.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_sketches(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Stored sketches, of a range of months if one is given; other months' files are not opened."""
+    rows = spark.read.parquet(path).withColumn("month", F.col("month").cast("date"))
+    return rows.where(F.col("month").between(F.lit(start).cast("date"), F.lit(end).cast("date"))) if start else rows
+
+
 def write_csv(df: DataFrame, path: str, excel: bool = False, comma: bool = False) -> None:
     """CSV; excel parts fields by semicolons, comma also writes decimal commas."""
     if comma:
