@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from gridjobs.llm.tokens import WIDE_SPACE, byte_alphabet, groups_of, path_of, u
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Links of a block, units that a worker remembers, characters that are cut at once.
 LINKS = 1 << 21
-KEEP = 200_000
+KEEP = 400_000
 CHARS = 1 << 19
 #: White space beyond ASCII before a blank: such a text is one unit.
 _wide_before_blank = re.compile(f"[{WIDE_SPACE}] ").search
@@ -56,6 +57,33 @@ def jumped(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
         to = after
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The pieces of flat that start there and are so long, end to end."""
+    return flat[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())]
+
+
+def lengths(parts: list) -> np.ndarray:
+    return np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+#: Units that a library gets as one text.
+JOINED = 200
+#: Decimal digits of ids below 100,000, and how many there are.
+DIGITS = np.frombuffer(b"".join(b"%-6d" % i for i in range(100_000)), np.uint8).reshape(-1, 6)
+DIGIT_COUNT = lengths([b"%d" % i for i in range(100_000)])
+
+
+class Vocabulary:
+    """Bytes of each id's token."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.lens, self.flat = lengths(tokens), np.frombuffer(b"".join(tokens), np.uint8)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return gathered(self.flat, self.starts[ids], self.lens[ids])
+
+
 class Aligner:
     """Aligned units of this worker, and their numbers of tokens, groups, links, and pairs of ids."""
 
@@ -70,14 +98,13 @@ class Aligner:
         self.bytes_library.encode_special_tokens = True
         self.pieces_library = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         stand_ins = byte_alphabet()
-        self.a_lengths = np.zeros(self.bytes_library.get_vocab_size(), np.int64)
-        self.a_bytes: list[bytes] = [b""] * len(self.a_lengths)
-        for token, i in self.bytes_library.get_vocab().items():
-            self.a_bytes[i] = bytes(stand_ins[c] for c in token) if all(c in stand_ins for c in token) else utf8(token)
-            self.a_lengths[i] = len(self.a_bytes[i])
+        known = self.bytes_library.get_vocab()
+        tokens = [b""] * (max(known.values()) + 1)
+        for token, i in known.items():
+            tokens[i] = bytes(stand_ins[c] for c in token) if all(c in stand_ins for c in token) else utf8(token)
         names = [self.pieces_library.id_to_piece(i) for i in range(self.pieces_library.vocab_size())]
-        self.b_bytes = [bytes((int(p[3:5], 16),)) if re.fullmatch("<0x[0-9A-F]{2}>", p) else utf8(p.replace("▁", " ")) for p in names]
-        self.b_lengths = np.array([len(b) for b in self.b_bytes])
+        self.a = Vocabulary(tokens)
+        self.b = Vocabulary([bytes((int(p[3:5], 16),)) if re.fullmatch("<0x[0-9A-F]{2}>", p) else utf8(p.replace("▁", " ")) for p in names])
         self.blank = self.pieces_library.piece_to_id("▁")
         #: whether no piece goes over the start of a unit
         self.parts = not any(re.search("[^▁]▁", p) for p in names) and names[self.blank] == "▁"
@@ -85,61 +112,77 @@ class Aligner:
 
     def forget(self, turn: int = 0) -> None:
         self.seen = Numbers(turn)
-        #: per unit: tokens of both kinds, groups, links; groups in digits; pairs of all links by number
-        self.sizes: list[np.ndarray] = []
-        self.table = np.zeros((0, 4), np.int64)
-        self.texts: list[bytes | None] = []
-        self.links = Growing(np.int32)
+        #: per unit: tokens of both kinds, groups, links, whether its tokens give it back; its groups in
+        #: digits, each followed by a semicolon; pairs of all links by number
+        self.table, self.new_rows = np.zeros((0, 5), np.int64), []
+        self.texts, self.links = Growing(np.uint8), Growing(np.int32)
         self.pair_numbers: dict[int, int] = {}
 
-    def pieces(self, unit: str) -> list[int]:
-        """Ids of a unit, which starts with the blank that the library adds."""
-        return self.pieces_library.encode(unit[1:]) if len(unit) > 1 else [self.blank]
+    def byte_ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.bytes_library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that start with the blank that the library adds."""
+        return [self.pieces_library.encode(t[1:]) if len(t) > 1 else [self.blank] for t in texts]
+
+    def encoded(self, units: list[str], sizes: np.ndarray, library, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units end to end, and how many each has. Units that end in no white space are given
+        to the library together, and their ids parted by the bytes of the tokens."""
+        alone = np.array([t[-1].isspace() or not (t.isascii() or "▁" not in t) for t in units], bool) if self.parts else np.ones(len(units), bool)
+        some, rest = np.flatnonzero(~alone), np.flatnonzero(alone)
+        found = library(["".join([units[k] for k in some[i : i + JOINED]]) for i in range(0, len(some), JOINED)])
+        flat = np.fromiter(chain.from_iterable(found), np.int64)
+        upto, ends = np.cumsum(vocabulary.lens[flat]), np.cumsum(sizes[some])
+        last = np.searchsorted(upto, ends)
+        if len(some) and (last[-1] >= len(upto) or (upto[last] != ends).any() or last[-1] + 1 != len(upto)):
+            rest, some, flat, last = np.arange(len(units)), some[:0], flat[:0], last[:0]
+        single = library([units[k] for k in rest])
+        counts, starts = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        counts[some] = np.diff(np.append(-1, last))
+        counts[rest] = lengths(single)
+        order = np.concatenate([some, rest])
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return gathered(np.concatenate([flat, np.fromiter(chain.from_iterable(single), np.int64)]), starts, counts), counts
 
     def learn(self, units: list[bytes]) -> None:
         """Align new units, laid end to end."""
-        texts = [u.decode("utf-8", "surrogatepass") for u in units]
-        ids_a = [e.ids for e in self.bytes_library.encode_batch_fast(texts, add_special_tokens=False)]
-        ids_b = [self.pieces(t) for t in texts]
-        whole = np.array([b"".join([self.a_bytes[i] for i in x]) == u and b"".join([self.b_bytes[i] for i in y]) == u for x, y, u in zip(ids_a, ids_b, units)], bool)
-        kept = np.flatnonzero(whole)
-        table = np.zeros((len(units), 4), np.int64)
-        strings: list[bytes | None] = [None] * len(units)
-        pairs_of: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
-        if len(kept):
-            flat_a = np.concatenate([np.asarray(ids_a[k], np.int64) for k in kept])
-            flat_b = np.concatenate([np.asarray(ids_b[k], np.int64) for k in kept])
-            unit_a = np.repeat(kept, [len(ids_a[k]) for k in kept])
-            unit_b = np.repeat(kept, [len(ids_b[k]) for k in kept])
-            in_a, in_b = jumped(np.cumsum(self.a_lengths[flat_a]), np.cumsum(self.b_lengths[flat_b]))
-            # groups in turn: both sides have the same ones
-            new_a, new_b = (np.append(True, x[1:] != x[:-1]) for x in (in_a, in_b))
-            first_a, first_b = np.flatnonzero(new_a), np.flatnonzero(new_b)
-            unit_g = unit_a[first_a]
-            size_a, size_b = np.diff(np.append(first_a, len(in_a))), np.diff(np.append(first_b, len(in_b)))
-            table[:, 0], table[:, 1] = np.bincount(unit_a, minlength=len(units)), np.bincount(unit_b, minlength=len(units))
-            table[:, 2] = np.bincount(unit_g, minlength=len(units))
-            product = size_a * size_b
-            table[:, 3] = np.bincount(unit_g, product, minlength=len(units)).astype(np.int64)
-            # link k of a group: its a token k // size_b, its b token k % size_b
-            g = np.repeat(np.arange(len(product)), product)
-            k = np.arange(len(g)) - np.repeat(np.cumsum(product) - product, product)
-            pairs = (flat_a[first_a[g] + k // size_b[g]] << 32) | flat_b[first_b[g] + k % size_b[g]]
-            for u, some in zip(kept, np.split(pairs, np.cumsum(table[kept, 3])[:-1])):
-                pairs_of[u] = some
-            bounds = np.searchsorted(unit_g, np.append(kept, len(units)))
-            for u, x, y in zip(kept, bounds, bounds[1:]):
-                strings[u] = b";".join(
-                    b"%s|%s" % (b",".join([b"%d" % i for i in flat_a[p : p + m].tolist()]), b",".join([b"%d" % i for i in flat_b[q : q + n].tolist()]))
-                    for p, m, q, n in zip(first_a[x:y], size_a[x:y], first_b[x:y], size_b[x:y])
-                )
-        every = np.concatenate(pairs_of) if pairs_of else np.zeros(0, np.int64)
-        distinct, back = np.unique(every, return_inverse=True)
+        texts, sizes, n = [u.decode("utf-8", "surrogatepass") for u in units], lengths(units), len(units)
+        flat_a, count_a = self.encoded(texts, sizes, self.byte_ids, self.a)
+        flat_b, count_b = self.encoded(texts, sizes, self.piece_ids, self.b)
+        unit_a, unit_b = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
+        # units that both kinds of tokens give back
+        whole = np.bincount(unit_a, self.a.lens[flat_a], n) == sizes
+        whole &= np.bincount(unit_b, self.b.lens[flat_b], n) == sizes
+        raw = np.frombuffer(b"".join(units), np.uint8)[np.repeat(whole, sizes)]
+        of_byte = np.repeat(np.flatnonzero(whole), sizes[whole])
+        told = [v.bytes_of(f[whole[u]]) for v, f, u in ((self.a, flat_a, unit_a), (self.b, flat_b, unit_b))]
+        for x in told:
+            whole[of_byte[x != raw]] = False
+        flat_a, unit_a, flat_b, unit_b = flat_a[whole[unit_a]], unit_a[whole[unit_a]], flat_b[whole[unit_b]], unit_b[whole[unit_b]]
+        in_a, in_b = jumped(np.cumsum(self.a.lens[flat_a]), np.cumsum(self.b.lens[flat_b]))
+        # groups in turn: both sides have the same ones
+        first_a, first_b = (np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)]) for x in (in_a, in_b))
+        size_a, size_b = np.diff(np.append(first_a, len(in_a))), np.diff(np.append(first_b, len(in_b)))
+        unit_g, product = unit_a[first_a], size_a * size_b
+        table = np.stack([np.bincount(unit_a, minlength=n), np.bincount(unit_b, minlength=n), np.bincount(unit_g, minlength=n), np.bincount(unit_g, product, n).astype(np.int64), whole.astype(np.int64)], 1)
+        # link k of a group: its a token k // size_b, its b token k % size_b
+        g = np.repeat(np.arange(len(product)), product)
+        k = np.arange(len(g)) - np.repeat(np.cumsum(product) - product, product)
+        pairs = (flat_a[first_a[g] + k // size_b[g]] << 32) | flat_b[first_b[g] + k % size_b[g]]
+        distinct, back = np.unique(pairs, return_inverse=True)
         own = self.pair_numbers
         numbers = np.array([own.setdefault(p, len(own)) for p in distinct.tolist()], np.int32)
-        self.links.append(numbers[back] if len(every) else np.zeros(0, np.int32), table[:, 3])
-        self.texts += strings
-        self.sizes.append(table)
+        self.links.append(numbers[back], table[:, 3])
+        # digits: a group's a tokens and then its b tokens, each with what follows it
+        groups_a, groups_b = np.repeat(np.arange(len(product)), size_a), np.repeat(np.arange(len(product)), size_b)
+        at_a, at_b = np.arange(len(flat_a)) + first_b[groups_a], np.arange(len(flat_b)) + np.append(first_a[1:], len(flat_a))[groups_b]
+        ids, after, unit = (np.zeros(len(flat_a) + len(flat_b), np.int64) for _ in range(3))
+        ids[at_a], ids[at_b], unit[at_a], unit[at_b], after[:] = flat_a, flat_b, unit_a, unit_b, ord(",")
+        after[at_a[first_a + size_a - 1]], after[at_b[first_b + size_b - 1]] = ord("|"), ord(";")
+        chars, width = DIGITS[ids], DIGIT_COUNT[ids]
+        chars[np.arange(len(ids)), width] = after
+        self.texts.append(chars[np.arange(6) <= width[:, None]], np.bincount(unit, width + 1, n).astype(np.int64))
+        self.new_rows.append(table)
 
     def aligned(self, texts: list[str]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, pair numbers of all links) of each text; None for
@@ -154,20 +197,20 @@ class Aligner:
         starts = np.union1d(starts, at)
         ends = np.append(starts[1:], len(buf) - 8)
         lasts = np.searchsorted(starts, at)
-        ends[np.append(lasts[1:] - 1, len(starts) - 1)] = at + [len(r) for r in raw]
+        ends[np.append(lasts[1:] - 1, len(starts) - 1)] = at + lengths(raw)
         idx, new = self.seen.numbers(buf, starts, ends - starts)
         if len(new):
             self.learn([buf[a:b].tobytes() for a, b in zip(starts[new], ends[new])])
-        if self.sizes:
-            self.table, self.sizes = np.concatenate([self.table, *self.sizes]), []
+        if self.new_rows:
+            self.table, self.new_rows = np.concatenate([self.table, *self.new_rows]), []
         out: list[tuple | None] = []
         for text, a, b in zip(texts, lasts, np.append(lasts[1:], len(starts))):
             own = idx[a:b]
-            strings = [self.texts[u] for u in own.tolist()]
-            if not text or None in strings:
+            rows = self.table[own]
+            if not text or not rows[:, 4].all():
                 out.append(None)
             else:
-                out.append((*self.table[own].sum(0).tolist(), hashlib.sha256(b";".join(strings)).hexdigest(), self.links.gather(own)))
+                out.append((*rows[:, :4].sum(0).tolist(), hashlib.sha256(self.texts.gather(own)[:-1]).hexdigest(), self.links.gather(own)))
         return out
 
 
