@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridjobs.functions.tables import few
@@ -131,25 +131,47 @@ def flip_by(df: DataFrame, lat: str, lon: str, height: int = MODEL_HEIGHT, width
     return df.withColumns({"lat_index": turned("lat_index", height, lat), "lon_index": turned("lon_index", width, lon)})
 
 
-def nearest_to_grid(df: DataFrame, grid: DataFrame, key: str) -> DataFrame:
-    """For every grid coordinate the row of the nearest source coordinate of one axis, ties to the larger.
+#: Ranges that an axis is cut into.
+RANGES = 64
 
-    Only distinct values of the axis are compared; those of the source are sent to all tasks if few.
-    """
-    source = df.select(F.col(key).alias("source")).distinct()
-    target = grid.select(F.col(key).alias("target")).distinct()
-    best = target.crossJoin(few(source)).groupBy("target").agg(F.min_by("source", F.struct(F.abs(F.col("source") - F.col("target")), -F.col("source"))).alias("source"))
-    return best
 
+def nearest_to_grid(df: DataFrame, grid: DataFrame, key: str, ranges: int = RANGES) -> DataFrame:
+    """(target, source): for every grid coordinate the nearest source coordinate of one axis, ties to the
+    larger; none without a source.
 
-def model_grid_counts(table: DataFrame, grid: DataFrame, value: str) -> DataFrame:
-    """How many cells of the table with a value the grid has (matched) and has not (skipped)."""
-    cells = table.where(F.col(value).isNotNull()).select("lat_i", "lon_i").distinct()
+    Both axes are sorted together in ranges, and every coordinate sees the source before and the source
+    after it; what a range's neighbours know is carried over its borders, a row for each range. So no
+    pair of coordinates is formed, however long an axis is.
+    """
+    source = df.select(F.col(key).cast("double").alias("x"), F.lit(True).alias("s"), F.lit(False).alias("t"))
+    target = grid.select(F.col(key).cast("double").alias("x"), F.lit(False).alias("s"), F.lit(True).alias("t"))
+    axis = source.unionByName(target).where(F.col("x").isNotNull()).groupBy("x").agg(F.max("s").alias("s"), F.max("t").alias("t"))
+    cuts = sorted(set(axis.approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.5 / ranges))) if ranges > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("x"))) if cuts else F.lit(0)
+    axis = axis.withColumns({"range": place, "own": F.when(F.col("s"), F.col("x"))})
+    within, forth = Window.partitionBy("range").orderBy("x"), (Window.unboundedPreceding, Window.currentRow)
+    before = F.last("own", ignorenulls=True).over(within.rowsBetween(*forth))
+    after = F.first("own", ignorenulls=True).over(within.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    near = axis.withColumns({"before": before, "after": after})
+    # of every range the sources beyond its borders: at most `ranges` rows in one window
+    borders = axis.groupBy("range").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+    over = Window.orderBy("range")
+    borders = borders.select("range", F.max("high").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    told = near.join(F.broadcast(borders), "range").withColumns({"before": F.coalesce("before", "_before"), "after": F.coalesce("after", "_after")})
+    larger = F.col("before").isNull() | (F.col("after") - F.col("x") <= F.col("x") - F.col("before"))
+    nearest = F.when(F.col("after").isNotNull() & larger, F.col("after")).otherwise(F.col("before"))
+    return told.where("t").select(F.col("x").alias("target"), nearest.alias("source")).where(F.col("source").isNotNull())
+
+
+def model_grid_counts(table: DataFrame, grid: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """How many cells of each table (keys) with a value the grid has (matched) and has not (skipped)."""
+    cells = table.where(F.col(value).isNotNull()).select(*keys, "lat_i", "lon_i").distinct()
     known = cells.join(grid.select("lat_i", "lon_i").distinct().withColumn("_in", F.lit(True)), ["lat_i", "lon_i"], "left")
-    return known.agg(F.count("_in").alias("matched"), F.count_if(F.col("_in").isNull()).alias("skipped"))
+    return known.groupBy(*keys).agg(F.count("_in").alias("matched"), F.count_if(F.col("_in").isNull()).alias("skipped"))
 
 
-def to_model_grid(table: DataFrame, grid: DataFrame, value: str, fill: float = 0.0) -> DataFrame:
-    """Mean of duplicates per grid cell, `fill` where there is none."""
-    mean = table.where(F.col(value).isNotNull()).groupBy("lat_i", "lon_i").agg(F.avg(value).alias(value))
-    return grid.join(mean, ["lat_i", "lon_i"], "left").withColumn(value, F.coalesce(value, F.lit(float(fill))))
+def to_model_grid(table: DataFrame, grid: DataFrame, value: str, fill: float = 0.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of duplicates per grid cell of every table (keys), `fill` where there is none."""
+    mean = table.where(F.col(value).isNotNull()).groupBy(*keys, "lat_i", "lon_i").agg(F.avg(value).alias(value))
+    frame = grid.crossJoin(few(table.select(*keys).distinct())) if keys else grid
+    return frame.join(mean, [*keys, "lat_i", "lon_i"], "left").withColumn(value, F.coalesce(value, F.lit(float(fill))))

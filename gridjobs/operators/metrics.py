@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridjobs.functions.grid import flag_inside, flip, inside
+from gridjobs.functions.grid import flag_inside, inside
 from gridjobs.functions.text import unit_name
 from gridjobs.functions.values import EPS, col, finite, pct_error, ratio
 
@@ -185,12 +185,25 @@ SCENARIOS = {"original": (False, False), "flip_lat": (True, False), "flip_lon":
 
 
 def alignment_scenarios(pairs: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """Metrics with the prediction in each of four orientations; the map is small per key, and rows are
-    multiplied by four before one equi-join."""
-    predicted = pairs.select(*keys, "grp", "variable", "lat_index", "lon_index", "predicted")
-    observed = pairs.select(*keys, "grp", "variable", "lat_index", "lon_index", "observed")
-    turned = None
-    for name, (lat, lon) in SCENARIOS.items():
-        one = flip(predicted, lat, lon, height, width).withColumn("scenario", F.lit(name))
-        turned = one if turned is None else turned.unionByName(one)
-    return continuous_metrics(turned.join(observed, [*keys, "grp", "variable", "lat_index", "lon_index"]), [*keys, "grp", "variable", "scenario"])
+    """Metrics with the prediction in each of four orientations.
+
+    The cells that a map's turns exchange form an orbit, at most four places. One shuffle brings an orbit
+    together, and each orbit yields its pairs of all four orientations; rows meet in no join.
+    """
+    one = [*keys, "grp", "variable"]
+    i, j = F.col("lat_index"), F.col("lon_index")
+    orbit = {"_i": F.least(i, height - 1 - i), "_j": F.least(j, width - 1 - j)}
+    cells = pairs.select(*one, *(c.alias(n) for n, c in orbit.items()), F.struct(i.alias("i"), j.alias("j"), F.col("predicted").alias("p"), F.col("observed").alias("o")).alias("c"))
+    cells = cells.groupBy(*one, "_i", "_j").agg(F.collect_list("c").alias("cs"))  # four rows, if a map has one for each cell
+    turned = lambda x, lat, lon: ((height - 1 - x["i"]) if lat else x["i"], (width - 1 - x["j"]) if lon else x["j"])
+
+    def paired(name: str, lat: bool, lon: bool) -> Column:
+        def of(x):
+            at_i, at_j = turned(x, lat, lon)
+            there = F.filter("cs", lambda y: (y["i"] == at_i) & (y["j"] == at_j))
+            return F.transform(there, lambda y: F.struct(F.lit(name).alias("scenario"), x["p"].alias("predicted"), y["o"].alias("observed")))
+
+        return F.flatten(F.transform("cs", of))
+
+    rows = cells.select(*one, F.explode(F.concat(*(paired(n, *t) for n, t in SCENARIOS.items()))).alias("r")).select(*one, "r.*")
+    return continuous_metrics(rows, [*one, "scenario"])

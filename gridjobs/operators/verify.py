@@ -75,6 +75,29 @@ def pair_runs(predicted: DataFrame, observed: DataFrame, runs: DataFrame, keys:
     return turned.select(*cell, "predicted").join(observed.select(*cell, "observed"), cell, "left" if keep_unmatched else "inner")
 
 
+def store_pairing(spark: SparkSession, predicted: DataFrame, observed: DataFrame, runs: DataFrame, names: tuple[str, str], keys: list[str], buckets: int, paths: tuple[str, str] | None = None, export: bool = False, size=(160, 280)) -> None:
+    """Store predictions, turned as their manifests say, and observations as bucketed tables of one layout.
+
+    Both are dealt by run, keys and cell to the same buckets, one sorted file each, so pair_stored joins
+    them without moving a row, as often as it is asked. names: the two tables; paths: where they lie, if
+    not in the warehouse.
+    """
+    flags = few(runs.select("run_id", *(F.coalesce(c, F.lit(d)).alias(f"_{c}") for c, d in (("latitude_flip", export), ("longitude_flip", False)))))
+    told = predicted.join(flags, "run_id", "left").withColumns({"_latitude_flip": F.coalesce("_latitude_flip", F.lit(export)), "_longitude_flip": F.coalesce("_longitude_flip", F.lit(False))})
+    cell = ["run_id", *keys, "lat_index", "lon_index"]
+    turned = flip_by(told, "_latitude_flip", "_longitude_flip", *size).select(*cell, "predicted")
+    for k, (rows, name) in enumerate(zip((turned, observed.select(*cell, "observed")), names)):
+        writer = rows.repartition(buckets, *cell).write.mode("overwrite").format("parquet").bucketBy(buckets, *cell).sortBy(*cell)
+        (writer.option("path", paths[k]) if paths else writer).saveAsTable(name)
+
+
+def pair_stored(spark: SparkSession, names: tuple[str, str], keys: list[str], keep_unmatched: bool = False) -> DataFrame:
+    """pair_runs from tables that store_pairing wrote; the join has no exchange below it."""
+    cell = ["run_id", *keys, "lat_index", "lon_index"]
+    # merge, as a broadcast of either side would move it
+    return spark.table(names[0]).hint("merge").join(spark.table(names[1]), cell, "left" if keep_unmatched else "inner")
+
+
 def reliability(group="grp", variable="variable", mae="mae", corr="correlation", rel="rmae_pct") -> Column:
     """Grades in the words of the reports; comparisons with a missing metric fail."""
     g, v, m, r, e = map(col, (group, variable, mae, corr, rel))
@@ -146,7 +169,7 @@ def shared_variables(one: DataFrame, two: DataFrame) -> DataFrame:
 def missing_features(rows: DataFrame, features) -> DataFrame:
     """Listed features without a row in a run."""
     listed = rows.sparkSession.createDataFrame(list(features), "grp string, variable string")
-    frame = rows.select("run_id").distinct().join(F.broadcast(listed))
+    frame = rows.select("run_id").distinct().crossJoin(few(listed))
     return frame.join(rows.select("run_id", "grp", "variable").distinct(), ["run_id", "grp", "variable"], "left_anti")
 
 
@@ -226,9 +249,11 @@ def validation_summary(cases: DataFrame) -> DataFrame:
 
 
 def history_upsert(previous: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Append and keep the last batch's row per key; batches are numbered by seq, never by row order."""
+    """Append and keep the last batch's row per key; batches are numbered by seq, never by row order. Of
+    rows of one key and batch the greatest in the other columns stays, in order of their names."""
     rows = previous.unionByName(new, allowMissingColumns=True)
-    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq")))
+    rest = sorted(c for c in rows.columns if c not in (*keys, "seq"))
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("seq"), *(F.desc_nulls_last(c) for c in rest)))
     return rows.withColumn("_n", last).where("_n = 1").drop("_n")
 
 
