@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridjobs.functions.grid import snap_to_grid
+from gridjobs.functions.tables import few
 from gridjobs.functions.values import col
 
 #: Class codes counted as arable and as cropland, and the last official year.
@@ -50,7 +51,7 @@ def carry_forward(land: DataFrame, years: DataFrame, cutoff: int = CUTOFF_YEAR,
     keys = ["latitude", "longitude", "variable"]
     latest = land.where(F.col("year") <= cutoff).groupBy("variable").agg(F.max("year").alias("source_year"))
     source = land.join(latest, "variable").where(F.col("year") == F.col("source_year")).select(*keys, "source_year", F.col("value").alias("_from"))
-    wanted = source.join(F.broadcast(years.where(F.col("year") > cutoff).distinct()))
+    wanted = source.crossJoin(few(years.where(F.col("year") > cutoff).distinct()))
     both = land.select(*keys, "year", "value", F.lit(True).alias("_has")).join(wanted, [*keys, "year"], "full_outer")
     known = both.join(land.select("variable", "year").distinct().withColumn("_year", F.lit(True)), ["variable", "year"], "left")
     take = F.col("_from").isNotNull() if overwrite else F.col("_year").isNull()
@@ -60,9 +61,10 @@ def carry_forward(land: DataFrame, years: DataFrame, cutoff: int = CUTOFF_YEAR,
 
 
 def provenance(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row per year, the newest replacing."""
+    """One row per year, the newest replacing; of several of one time the greatest in the other columns."""
     rows = old.unionByName(new)
-    return rows.groupBy("year").agg(F.max_by(F.struct("mode", "source_year", "source_file"), "ingested_at").alias("r"), F.max("ingested_at").alias("ingested_at")).select("year", "r.*", "ingested_at")
+    told = F.struct("mode", "source_year", "source_file")
+    return rows.groupBy("year").agg(F.max_by(told, F.struct(F.col("ingested_at"), told)).alias("r"), F.max("ingested_at").alias("ingested_at")).select("year", "r.*", "ingested_at")
 
 
 def sort_landcover(df: DataFrame) -> DataFrame:

@@ -110,10 +110,9 @@ def yearly_asof(land: DataFrame, months: DataFrame, variable: str) -> DataFrame:
     table = land.where(F.col("variable") == variable)
     years = table.select("year").distinct()
     wanted = months.select("month", F.year("month").alias("y")).distinct()
-    # both are small dimensions: distinct months and distinct years
-    chosen = wanted.join(F.broadcast(years), F.col("year") <= F.col("y")).groupBy("month").agg(F.max("year").alias("year"))
+    chosen = wanted.join(few(years), F.col("year") <= F.col("y")).groupBy("month").agg(F.max("year").alias("year"))
     layer = table.where(F.col("value").isNotNull()).groupBy("year", "lat_i", "lon_i").agg(F.avg("value").alias("value"))
-    return layer.join(F.broadcast(chosen), "year").select("month", "lat_i", "lon_i", "value", F.col("year").alias("source_year"))
+    return layer.join(few(chosen), "year").select("month", "lat_i", "lon_i", "value", F.col("year").alias("source_year"))
 
 
 def yearly_asof_wide(land: DataFrame, months: DataFrame, names: dict[str, str]) -> DataFrame:

@@ -140,15 +140,45 @@ def kelvin_guard(layers: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.when(kelvin, F.col("value") - 273.15).otherwise(F.col("value"))).drop("_hot")
 
 
-def dense_batch(groups: DataFrame, cells: DataFrame, variables: DataFrame, mode: str = "all") -> DataFrame:
-    """Every listed variable on every cell: values where known, zeros elsewhere and for placeholder groups.
+#: Groups that are always zero, and those that are in mode clean.
+ZERO_GROUPS, CLEAN_GROUPS = ("redlist", "misc"), ("vegetation", "agriculture", "forest")
 
-    The land group's Land is a copy of the surface group's lsm. Mode clean also leaves vegetation,
-    agriculture and forest at zero.
-    """
+
+def with_land(groups: DataFrame) -> DataFrame:
+    """groups whose land group's Land is a copy of the surface group's lsm."""
     land = groups.where((F.col("grp") == "surface") & (F.col("variable") == "lsm")).withColumns({"grp": F.lit("land"), "variable": F.lit("Land")})
-    groups = groups.where((F.col("grp") != "land") | (F.col("variable") != "Land")).unionByName(land)
-    empty = ("redlist", "misc") + (("vegetation", "agriculture", "forest") if mode == "clean" else ())
-    frame = cells.select("lat_i", "lon_i").crossJoin(few(variables))
-    rows = frame.join(groups, ["grp", "variable", "lat_i", "lon_i"], "left")
-    return rows.withColumn("value", F.when(F.col("grp").isin(*empty), 0.0).otherwise(F.coalesce("value", F.lit(0.0))))
+    return groups.where((F.col("grp") != "land") | (F.col("variable") != "Land")).unionByName(land)
+
+
+def dense_batches(groups: DataFrame, cells: DataFrame, variables: DataFrame, months: DataFrame, mode: str = "all", atmosphere: bool = True) -> DataFrame:
+    """(month, grp, variable, level, lat_i, lon_i, value): every listed map of every month on every cell.
+
+    groups: the known values (month, grp, variable, level, lat_i, lon_i, value), sparse; the greatest of a
+    cell counts. variables: grp, variable and levels (array<int>; null or empty for a variable without).
+    months: the months wanted. Where nothing is known a cell is zero, as are placeholder groups, in mode
+    clean also vegetation, agriculture and forest, and the atmospheric group without atmosphere. Land is
+    a copy of lsm. Only the sparse rows are shuffled, by map; the cells of a map are made where its rows
+    are, from one list of all cells (the model grid; it goes to every task).
+    """
+    one = ["month", "grp", "variable", "level"]
+    levels = F.when(F.coalesce(F.size("levels"), F.lit(0)) > 0, F.col("levels")).otherwise(F.array(F.lit(None).cast("int")))
+    listed = variables.select("grp", "variable", F.explode(levels).alias("level")).distinct()
+    wanted = months.select("month").distinct().crossJoin(few(listed))
+    empty = F.col("grp").isin(*ZERO_GROUPS, *(CLEAN_GROUPS if mode == "clean" else ()), *(() if atmosphere else ("atmospheric",)))
+    known = with_land(groups).where(~empty & F.col("value").isNotNull()).select(*one, "lat_i", "lon_i", F.col("value").cast("double").alias("value"), F.lit(False).alias("listed"))
+    no = lambda kind: F.lit(None).cast(kind)
+    marks = wanted.select(*one, no("int").alias("lat_i"), no("int").alias("lon_i"), no("double").alias("value"), F.lit(True).alias("listed"))
+    maps = known.unionByName(marks).repartition(*one)
+    cell = lambda value: F.struct(F.col("lat_i").cast("int").alias("lat_i"), F.col("lon_i").cast("int").alias("lon_i"), value.alias("value"))
+    every = cells.select("lat_i", "lon_i").distinct().agg(F.collect_list(cell(no("double"))).alias("_cells"))  # one row
+    rows = maps.crossJoin(F.broadcast(every)).select(*one, "listed", F.explode(F.when(F.col("listed"), F.col("_cells")).otherwise(F.array(cell(F.col("value"))))).alias("c")).select(*one, "listed", "c.*")
+    dense = rows.groupBy(*one, "lat_i", "lon_i").agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"), F.max("listed").alias("listed"))
+    return dense.where("listed").drop("listed")
+
+
+def dense_batch(groups: DataFrame, cells: DataFrame, variables: DataFrame, mode: str = "all") -> DataFrame:
+    """Every listed variable of one month and no level on every cell; see dense_batches."""
+    at = groups.select(F.lit(None).cast("date").alias("month"), "grp", "variable", F.lit(None).cast("int").alias("level"), "lat_i", "lon_i", "value")
+    listed = variables.select("grp", "variable", F.lit(None).cast("array<int>").alias("levels"))
+    month = variables.sparkSession.createDataFrame([(None,)], "month date")
+    return dense_batches(at, cells, listed, month, mode).drop("month", "level")

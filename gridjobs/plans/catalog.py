@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridjobs.functions import grid, months, text, values
+from gridjobs.functions.tables import few
 from gridjobs.operators import cities, landcover, metrics, observed, quality, reshape, species, summed, trends, verify
 from gridjobs.plans.fixtures import Fixtures, duckdb
 
@@ -298,9 +299,9 @@ def nearest_to_grid(f):
     return grid.nearest_to_grid(f.cities.select(F.col("lat").alias("x")), axis, "x")
 
 
-@query("SELECT g.lat_i, g.lon_i, coalesce(v.value, 0) AS value FROM (SELECT DISTINCT lat_i, lon_i FROM {grid_obs}) g LEFT JOIN (SELECT lat_i, lon_i, avg(value) AS value FROM {land_long} WHERE variable = 'Arable' AND year = 1997 AND value IS NOT NULL GROUP BY ALL) v USING (lat_i, lon_i)", "value")
+@query("SELECT k.variable, k.year, g.lat_i, g.lon_i, coalesce(v.value, 0) AS value FROM (SELECT DISTINCT lat_i, lon_i FROM {grid_obs}) g CROSS JOIN (SELECT DISTINCT variable, year FROM {land_long}) k LEFT JOIN (SELECT variable, year, lat_i, lon_i, avg(value) AS value FROM {land_long} WHERE value IS NOT NULL GROUP BY ALL) v USING (variable, year, lat_i, lon_i)", "value")
 def to_model_grid(f):
-    return grid.to_model_grid(f.land_long.where("variable = 'Arable' and year = 1997"), f.grid_obs.select("lat_i", "lon_i").distinct(), "value")
+    return grid.to_model_grid(f.land_long, f.grid_obs.select("lat_i", "lon_i").distinct(), "value", keys=("variable", "year"))
 
 
 IN_AREA = "latitude BETWEEN min_lat AND max_lat AND longitude BETWEEN min_lon AND max_lon"
@@ -525,12 +526,10 @@ def validation_summary(f):
     return verify.validation_summary(verify.case_validation(f.cases))
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY forecast_month NULLS LAST, grp NULLS LAST, variable NULLS LAST, level NULLS LAST) AS INT) AS place, forecast_month, grp, variable, level, mae FROM (SELECT forecast_month, grp, variable, level, {METRICS} FROM (SELECT * REPLACE (CASE WHEN lat_index = 0 THEN level END AS level) FROM ({PAIRED})) GROUP BY ALL)", "mae")
+@query(f"SELECT forecast_month, grp, variable, level, {METRICS} FROM (SELECT * REPLACE (CASE WHEN lat_index = 0 THEN level END AS level) FROM ({PAIRED})) GROUP BY ALL ORDER BY forecast_month NULLS LAST, grp NULLS LAST, variable NULLS LAST, level NULLS LAST", METRIC_COLUMNS)
 def sort_metrics(f):
     told = metrics.continuous_metrics(f.pairs.withColumn("level", F.when(F.col("lat_index") == 0, F.col("level"))), [*KEYS, "level"])
-    order = Window.orderBy(*(F.asc_nulls_last(c) for c in (*KEYS, "level")))
-    # a report's rows are few: one for each month, variable and level
-    return metrics.sort_metrics(told).select(F.row_number().over(order).alias("place"), *KEYS, "level", "mae")
+    return metrics.sort_metrics(told)
 
 
 @query("""SELECT p.run_id, p.forecast_month, p.variable, p.lat_index, p.lon_index, p.predicted, o.observed FROM (SELECT run_id, forecast_month, variable, predicted, CASE WHEN month(forecast_month) % 3 = 0 THEN 4 - lat_index ELSE lat_index END AS lat_index, CASE WHEN month(forecast_month) % 2 = 0 THEN 4 - lon_index ELSE lon_index END AS lon_index FROM {pairs}) p
@@ -541,9 +540,9 @@ def pair_runs(f):
     return verify.pair_runs(f.pairs, f.pairs, runs, ["forecast_month", "variable"], size=(5, 5))
 
 
-@query("SELECT count(*) FILTER (g.lat_i IS NOT NULL) AS matched, count(*) FILTER (g.lat_i IS NULL) AS skipped FROM (SELECT DISTINCT lat_i, lon_i FROM {land_long} WHERE variable = 'Arable' AND year = 1997 AND value IS NOT NULL) l LEFT JOIN (SELECT DISTINCT lat_i, lon_i FROM {grid_obs} WHERE lsm > 0.5) g ON l.lat_i = g.lat_i AND l.lon_i = g.lon_i")
+@query("SELECT variable, year, count(*) FILTER (g.lat_i IS NOT NULL) AS matched, count(*) FILTER (g.lat_i IS NULL) AS skipped FROM (SELECT DISTINCT variable, year, lat_i, lon_i FROM {land_long} WHERE value IS NOT NULL) l LEFT JOIN (SELECT DISTINCT lat_i, lon_i FROM {grid_obs} WHERE lsm > 0.5) g ON l.lat_i = g.lat_i AND l.lon_i = g.lon_i GROUP BY 1, 2")
 def model_grid_counts(f):
-    return grid.model_grid_counts(f.land_long.where("variable = 'Arable' and year = 1997"), f.grid_obs.where("lsm > 0.5"), "value")
+    return grid.model_grid_counts(f.land_long, f.grid_obs.where("lsm > 0.5"), "value", ("variable", "year"))
 
 
 @query("SELECT run_id, forecast_month, path FROM (SELECT *, row_number() OVER (PARTITION BY forecast_month ORDER BY ends_with(run_id, ' 4'), path) AS n FROM {runs} WHERE checkpoint = 'small') WHERE n = 1")
@@ -691,6 +690,24 @@ def dense_batch_clean(f):
     return quality.dense_batch(of("climate", "t2m", "t2m").unionByName(of("vegetation", "NDVI", "ndvi")), f.grid_obs.select("lat_i", "lon_i").distinct(), listed, "clean")
 
 
+_LISTED = "(VALUES ('climate', 't2m', NULL), ('edaphic', 'stl1', NULL), ('misc', 'avg_pevr', NULL), ('surface', 'lsm', NULL), ('land', 'Land', NULL), ('atmospheric', 'q', 850), ('atmospheric', 'q', 500), ('atmospheric', 'z', 1000)) v(grp, variable, level)"
+
+
+@query(f"""SELECT m.month, v.grp, v.variable, CAST(v.level AS INT) AS level, c.lat_i, c.lon_i, CASE WHEN v.grp = 'misc' THEN 0 ELSE coalesce(g.value, 0) END AS value
+  FROM (SELECT DISTINCT month FROM {{grid_obs}}) m CROSS JOIN (SELECT DISTINCT lat_i, lon_i FROM {{grid_obs}}) c CROSS JOIN {_LISTED}
+  LEFT JOIN (SELECT month, grp, variable, NULL AS level, lat_i, lon_i, value FROM {{grid_long}} UNION ALL SELECT month, CASE n WHEN 1 THEN 'surface' ELSE 'land' END, CASE n WHEN 1 THEN 'lsm' ELSE 'Land' END, NULL, lat_i, lon_i, lsm FROM {{grid_obs}} CROSS JOIN (VALUES (1), (2)) t(n)
+    UNION ALL SELECT month, 'atmospheric', 'q', 850, lat_i, lon_i, swvl2 FROM {{grid_obs}}) g
+  ON g.month = m.month AND g.grp = v.grp AND g.variable = v.variable AND g.level IS NOT DISTINCT FROM v.level AND g.lat_i = c.lat_i AND g.lon_i = c.lon_i""", "value")
+def dense_batches(f):
+    flat, air = (("climate", "t2m"), ("edaphic", "stl1"), ("misc", "avg_pevr"), ("surface", "lsm"), ("land", "Land")), (("atmospheric", "q", [850, 500]), ("atmospheric", "z", [1000]))
+    listed = f.spark.createDataFrame([(*v, None) for v in flat] + list(air), "grp string, variable string, levels array<int>")
+    no, cell = F.lit(None).cast("int").alias("level"), ("lat_i", "lon_i")
+    known = f.grid_long.select("month", "grp", "variable", no, *cell, "value")
+    known = known.unionByName(f.grid_obs.select("month", F.lit("surface").alias("grp"), F.lit("lsm").alias("variable"), no, *cell, F.col("lsm").alias("value")))
+    known = known.unionByName(f.grid_obs.select("month", F.lit("atmospheric").alias("grp"), F.lit("q").alias("variable"), F.lit(850).alias("level"), *cell, F.col("swvl2").alias("value")))
+    return quality.dense_batches(known, f.grid_obs.select(*cell).distinct(), listed, f.grid_obs.select("month"))
+
+
 # land cover
 
 
@@ -873,7 +890,7 @@ def forecast_month(f):
 
 @query("SELECT DISTINCT r.source, m.month FROM (SELECT DISTINCT source FROM {sources}) r CROSS JOIN {months} m WHERE NOT EXISTS (SELECT 1 FROM {sources} s WHERE s.source = r.source AND s.month = m.month)")
 def months_missing(f):
-    frame = f.sources.select("source").distinct().join(F.broadcast(f.months))
+    frame = f.sources.select("source").distinct().join(few(f.months))
     return months.months_missing(frame, f.sources)
 
 
@@ -882,11 +899,11 @@ def months_available(f):
     return months.months_available(f.months, f.sources.where("source = 'soil'"))
 
 
-@query("SELECT q.source, q.last_month, l.latest, coalesce(q.last_month <= l.latest, false) AS covered FROM (SELECT 'soil' AS source, month AS last_month FROM {months} UNION ALL SELECT 'unknown', month FROM {months}) q LEFT JOIN (SELECT source, max(month) AS latest FROM {sources} WHERE month < DATE '1999-01-01' GROUP BY 1) l USING (source)")
+@query("SELECT q.source, q.last_month, l.latest, coalesce(q.last_month <= l.latest, false) AS covered FROM (SELECT s.source, m.month AS last_month FROM (SELECT DISTINCT source FROM {sources} UNION ALL SELECT 'unknown') s CROSS JOIN (SELECT CAST(month + INTERVAL 12 MONTH AS DATE) AS month FROM {months}) m) q LEFT JOIN (SELECT source, max(month) AS latest FROM {sources} GROUP BY 1) l USING (source)")
 def covers_months(f):
-    m = F.col("month").alias("last_month")
-    asked = f.months.select(F.lit("soil").alias("source"), m).unionByName(f.months.select(F.lit("unknown").alias("source"), m))
-    return months.covers_months(f.sources.where("month < date '1999-01-01'"), asked)
+    named = f.sources.select("source").distinct().unionByName(f.spark.range(1).select(F.lit("unknown").alias("source")))
+    asked = named.crossJoin(few(f.months.select(F.add_months("month", 12).alias("last_month"))))
+    return months.covers_months(f.sources, asked)
 
 
 @query("SELECT source, month, previous, CAST(month + INTERVAL 1 MONTH AS DATE) AS target, month + INTERVAL 1 MONTH <= DATE '2000-06-01' AS compare_available FROM (SELECT source, month, lag(month) OVER (PARTITION BY source ORDER BY month) AS previous FROM (SELECT DISTINCT source, month FROM {sources})) WHERE previous = month - INTERVAL 1 MONTH AND month <= DATE '2000-06-01'")

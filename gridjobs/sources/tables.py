@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,21 +87,32 @@ def alignment_flag(c, default: bool) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(default))
 
 
-def read_run_manifests(spark: SparkSession, path: str, skip: tuple[str, ...] = ("published", "reports")) -> DataFrame:
+#: What is read of a manifest, by its path in the JSON and type; the rest stays in column manifest.
+MANIFEST_FIELDS = {
+    "run": "string", "run_id": "string", "mode": "string", "label": "string", "selection_mode": "string", "checkpoint_kind": "string", "input_mode": "string", "device": "string",
+    "input_months": "array<string>", "forecast_month": "string", "forecast_months": "array<string>", "bounds": "struct<min_lat:double,max_lat:double,min_lon:double,max_lon:double>", "group_source_status": "map<string,string>",
+}
+
+
+def read_run_manifests(spark: SparkSession, path: str, skip: tuple[str, ...] = ("published", "reports"), fields: dict[str, str] = MANIFEST_FIELDS) -> DataFrame:
     """All run manifests below a folder, without those of published and report folders.
 
-    latitude_flip and longitude_flip are the orientation a manifest tells; one without the block
-    spatial_alignment is read as turned north to south, one with the block but not the flag as missing.
+    Files are read once, as VARIANT, with a fixed projection: no schema is inferred, so manifests may
+    drift, and what has another type than asked, or is missing, is null. A file that is no JSON has null
+    in all columns but path. latitude_flip and longitude_flip are the orientation a manifest tells; one
+    without the block spatial_alignment is read as turned north to south, one with the block but not the
+    flag as missing.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").json(path, multiLine=True).withColumn("path", F.input_file_name())
-    block = next((f.dataType for f in rows.schema.fields if f.name == "spatial_alignment"), None)
-    known = {f.name for f in block.fields} if isinstance(block, T.StructType) else set()
-    for name, told, default in (("latitude_flip", "prediction_latitude_flip_applied", True), ("longitude_flip", "prediction_longitude_flip_applied", False)):
-        own = F.col(f"spatial_alignment.{told}").cast("boolean") if told in known else F.lit(None).cast("boolean")
-        rows = rows.withColumn(name, F.when(F.col("spatial_alignment").isNotNull(), own).otherwise(F.lit(default)) if known else F.lit(default))
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.try_parse_json("value").alias("manifest"), F.input_file_name().alias("path"))
     for part in skip:
         rows = rows.where(~F.contains("path", F.lit(f"/{part}/")))
-    return rows
+    told = lambda at, kind: F.try_variant_get("manifest", f"$.{at}", kind)
+    block = told("spatial_alignment", "variant")
+    some, known = block.isNotNull() & ~F.is_variant_null(block), F.col("manifest").isNotNull()
+    flags = {}
+    for name, at, default in (("latitude_flip", "prediction_latitude_flip_applied", True), ("longitude_flip", "prediction_longitude_flip_applied", False)):
+        flags[name] = F.when(some, told(f"spatial_alignment.{at}", "boolean")).when(known, F.lit(default))
+    return rows.withColumns({**{n: told(n, kind) for n, kind in fields.items()}, **flags})
 
 
 def read_area_month(spark: SparkSession, path: str) -> DataFrame:
@@ -165,16 +177,28 @@ def write_summary_json(df: DataFrame, path: str, label: str, mode: str, bounds:
     row.write.mode("overwrite").json(path)
 
 
-def publish_forecast_month(df: DataFrame, path: str, features: list[str], source_run: str | None = None) -> DataFrame:
-    """Write each month to its own folder, replacing that month only; return the manifest rows.
+def publish_forecast_month(df: DataFrame, path: str, features: list[str], source_run: str | None = None, input_months: list[str] | None = None) -> DataFrame:
+    """Write each month to its own folder, replacing that month only, and then the months' manifest rows to
+    the table <path>_manifest; return these rows as they are stored.
 
     A row tells the month, its step and the number of steps of this publication, its rows, its features
-    and those of the wanted list that it lacks. Months of one publication are few, as a rollout has a
-    step for each; their rows are numbered after the aggregation.
+    and those of the wanted list that it lacks, the months that the run read, and the run. df is evaluated
+    once: the manifest is made from what was written. Months of one publication are few, as a rollout has
+    a step for each; their rows are numbered after the aggregation.
     """
-    df.write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    spark, batch = df.sparkSession, uuid.uuid4().hex
+    df.withColumn("_batch", F.lit(batch)).write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    written = spark.read.parquet(path).where(F.col("_batch") == batch)
     have = F.collect_set("variable")
-    rows = df.groupBy("month").agg(F.count("*").alias("rows"), F.sort_array(have).alias("features"), F.sort_array(F.array_except(F.array(*map(F.lit, features)), have)).alias("missing_features"))
+    rows = written.groupBy(F.col("month").cast(df.schema["month"].dataType).alias("month")).agg(F.count("*").alias("rows"), F.sort_array(have).alias("features"), F.sort_array(F.array_except(F.array(*map(F.lit, features)), have)).alias("missing_features"))
     steps = rows.agg(F.sort_array(F.collect_list("month")).alias("m"))
-    told = rows.crossJoin(F.broadcast(steps)).withColumns({"rollout_step_index": F.array_position("m", F.col("month")).cast("int"), "rollout_steps_total": F.size("m"), "source_run_dir": F.lit(source_run).cast("string")})
-    return told.drop("m")
+    months = F.array(*map(F.lit, input_months)) if input_months else F.array().cast("array<string>")
+    told = rows.crossJoin(F.broadcast(steps)).withColumns({"rollout_step_index": F.array_position("m", F.col("month")).cast("int"), "rollout_steps_total": F.size("m"), "input_months": months, "source_run_dir": F.lit(source_run).cast("string")})
+    told.drop("m").withColumn("_batch", F.lit(batch)).write.partitionBy("month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}_manifest")
+    stored = spark.read.parquet(f"{path}_manifest").where(F.col("_batch") == batch).drop("_batch")
+    return stored.withColumn("month", F.col("month").cast(df.schema["month"].dataType))
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """All published months."""
+    return spark.read.parquet(path).drop("_batch")
