@@ -1,20 +1,23 @@
 """Secret scans over a trigram inverted index, with DataFrame operations alone.
 
-Each rule's regex gives a Boolean query of trigrams that any match must hold. The postings of the
-queries' trigrams are bitmaps over the rows of a split: bit k of a row's words is set if the row is in
-the posting list of trigram k. Lists are intersected and united on these words, beside the texts they
-tell of, and only the candidates are verified with the regex; rules without mandatory trigrams scan
-every text. Nothing is shuffled, so no id, however often it occurs, gathers rows in one task.
+The index is a stored table: for every split and trigram the sorted list of the texts that hold it, a text
+being named by its 64-bit hash, so copies are one entry and the lists do not depend on where rows lie. Each
+rule's regex gives a Boolean query of trigrams that any match must hold; lists of a split are intersected
+and united, and only the candidates are verified with the regex. Rules without mandatory trigrams scan every
+text. Names of texts are shuffled, texts are not.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridjobs.llm.common import dropped, written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,44 +102,44 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-#: Posting lists to a word of the bitmap.
-LISTS = 60
+#: Texts to a split, about, and so entries of a posting list.
+SPLIT = 1 << 15
+#: Most candidates that are sent to every task, about 30 MB; beyond that they meet the texts in a shuffle.
+FEW = 1 << 20
+
 
+def text_of() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
-def posting_words(text: Column, trigrams: list[str]) -> Column:
-    """array<long>: for every trigram in turn a bit that tells whether the lower-cased text holds it."""
-    low = F.lower(text)
-    bit = lambda k, t: F.when(F.contains(low, F.lit(t)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-    words = []
-    for at in range(0, len(trigrams), LISTS):
-        word = F.lit(0).cast("long")
-        for k, t in enumerate(trigrams[at : at + LISTS]):
-            word = word.bitwiseOR(bit(k, t))
-        words.append(word)
-    return F.array(*words)
 
+def index(docs: DataFrame, trigrams: list[str], split: int = SPLIT) -> DataFrame:
+    """(split, trigram, keys): the sorted posting list of every trigram in every split.
 
-def is_candidate(words: Column, trigrams: list[str], query: list[list[frozenset[str]]]) -> Column:
-    """Whether a row is in the posting lists that a trigram query asks for."""
-    place = {t: divmod(k, LISTS) for k, t in enumerate(trigrams)}
+    keys are hashes of whole texts and tell the split. Two texts of one hash share an entry, which then
+    has the trigrams of both, so no candidate is lost. Trigrams are those of the lower-cased text.
+    """
+    splits = max(1, -(-docs.count() // split))
+    low = F.lower(text_of())
+    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams)))
+    entries = docs.select(F.xxhash64(text_of()).alias("key"), F.explode(held).alias("trigram")).distinct()
+    return entries.groupBy(F.pmod("key", F.lit(splits)).cast("int").alias("split"), "trigram").agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
-    def all_of(alternative) -> Column:
-        masks: dict[int, int] = {}
-        for t in alternative:
-            word, k = place[t]
-            masks[word] = masks.get(word, 0) | 1 << k
-        out = F.lit(True)
-        for word, mask in sorted(masks.items()):
-            out = out & (F.element_at(words, word + 1).bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
-        return out
 
-    found = F.lit(True)
-    for clause in query:
-        any_of = F.lit(False)
-        for alternative in clause:
-            any_of = any_of | all_of(alternative)
-        found = found & any_of
-    return found
+def candidates(lists: DataFrame, queries: list[list[list[frozenset[str]]]]) -> DataFrame:
+    """(key, rules): the texts that posting lists give for each trigram query, and the numbers of these.
+
+    A split answers by itself: alternatives intersect their lists, a clause unites its alternatives, and a
+    query intersects its clauses. Queries without clauses have no candidates here.
+    """
+    none = F.array().cast("array<bigint>")
+    of = lambda t: F.coalesce(F.try_element_at("lists", F.lit(t)), none)
+    both = lambda xs: reduce(F.array_intersect, xs)
+    any_of = lambda xs: reduce(F.array_union, xs)
+    named = lambda k: lambda key: F.struct(key.alias("key"), F.lit(k).alias("rule"))
+    answers = [F.transform(both([any_of([both([of(t) for t in sorted(some)]) for some in clause]) for clause in query]), named(k)) for k, query in enumerate(queries) if query]
+    by_split = lists.groupBy("split").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("lists"))
+    found = by_split.select(F.explode(F.flatten(F.array(*answers))).alias("x")).select("x.*")
+    return found.groupBy("key").agg(F.collect_set("rule").alias("rules"))
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
@@ -161,26 +164,32 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, rules=RULES, few: int = FEW) -> DataFrame:
     """All columns of docs and `found`: array<struct<start, kind, end>>, by start, then rule, then end.
 
-    One pass without a shuffle: rows are independent, so null and repeated ids are rows like others.
-    Null text counts as empty; a text without secrets has an empty array. A task holds one text and its
-    spans at a time. Columns of docs named found or _postings are replaced or dropped; others, whatever
-    their names, are kept.
+    One pass makes the index, a second verifies its candidates; rows are told by their texts, so null and
+    repeated ids are rows like others, and no text is shuffled while there are at most `few` different
+    candidate texts. Null text counts as empty; a text without secrets has an empty array. A task holds one
+    text and its spans at a time, however long it is. Columns of docs named found, _key, _name or _rules
+    are replaced or dropped; others, whatever their names, are kept.
     """
-    docs = docs.drop("found", "_postings")
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    trigrams = sorted({t for clauses in queries.values() for c in clauses for a in c for t in a})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.drop("found", "_key", "_name", "_rules")
+    queries = [trigram_query(r.pattern) for r in rules]
+    trigrams = sorted({t for clauses in queries for c in clauses for some in c for t in some})
     if trigrams:
-        docs = docs.withColumn("_postings", posting_words(text, trigrams))
+        lists = written(index(docs, trigrams), "secrets-index")
+        named = written(candidates(lists, queries), "secrets-candidates")
+        dropped(lists)
+        named = named.select(F.col("key").alias("_name"), F.col("rules").alias("_rules"))
+        named = F.broadcast(named) if named.limit(few + 1).count() <= few else named
+        docs = docs.withColumn("_key", F.xxhash64(text_of())).join(named, F.col("_key") == F.col("_name"), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []
     for k, rule in enumerate(rules):
-        own = spans_of(text, rule, k)
-        each.append(F.when(is_candidate(F.col("_postings"), trigrams, queries[rule.kind]), own).otherwise(none) if queries[rule.kind] else own)
-    return docs.withColumn("found", F.array_sort(F.concat(*each))).drop("_postings")
+        own = spans_of(text_of(), rule, k)
+        asked = F.coalesce(F.array_contains("_rules", k), F.lit(False)) if queries[k] else F.lit(True)
+        each.append(F.when(asked, own).otherwise(none))
+    return docs.withColumn("found", F.array_sort(F.concat(*each))).drop("_key", "_name", "_rules")
 
 
 def told(found: Column, rules=RULES) -> Column:
@@ -190,9 +199,9 @@ def told(found: Column, rules=RULES) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", rules=RULES) -> DataFrame:
-    """docs, without columns named found or _postings, and every found span of the text replaced by the
-    mask; overlapping spans get one."""
-    cols, text = [c for c in docs.columns if c not in ("found", "_postings")], F.col("text")
+    """docs, without the columns that scan replaces, and every found span of the text replaced by the mask;
+    overlapping spans get one."""
+    cols, text = [c for c in docs.columns if c not in ("found", "_key", "_name", "_rules")], F.col("text")
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))

@@ -551,7 +551,8 @@ def test_secrets_hard_cases(spark, hard, none):
     assert len(out) == len(HARD) and {r["text"] for r in out if r["doc_id"] == 1} == {"Alpha beta, gamma delta. epsilon [secret] and [secret]"}
     assert [r["text"] for r in out if r["doc_id"] == 3] == [None] and secrets.scan(none).count() == 0
     plan = secrets.scan(hard)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan and "Join" not in plan
+    # texts meet the candidates where they are
+    assert "Python" not in plan and "Pandas" not in plan and "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
 def test_secrets_of_many_null_and_repeated_ids(spark, planted):
@@ -560,6 +561,51 @@ def test_secrets_of_many_null_and_repeated_ids(spark, planted):
     assert [(r["text"], r["s"]) for r in out] == [(t, brute_spans(t)) for t in planted]
 
 
+@pytest.mark.parametrize("split", [1 << 15, 7])
+def test_posting_lists(spark, planted, split):
+    """The stored lists are those of a plain index, and queries are answered from them alone."""
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(planted + planted[:50])], "doc_id long, text string")
+    rules = [*secrets.RULES, secrets.Rule("words", r"(?i:token|secret).*(?i:password)", 0, 1), secrets.Rule("never", "zzzz", 0, 1)]
+    queries = [secrets.trigram_query(r.pattern) for r in rules]
+    trigrams = sorted({t for q in queries for clause in q for some in clause for t in some})
+    assert "tok" in trigrams and queries[2] == []
+    keys = {r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
+    lists = secrets.index(docs, trigrams, split)
+    got, splits = {}, -(-docs.count() // split)
+    for r in lists.collect():
+        assert r["keys"] == sorted(set(r["keys"])) and {k % splits for k in r["keys"]} == {r["split"]}
+        got.setdefault(r["trigram"], set()).update(r["keys"])
+    low = {t: t.lower() for t in keys}
+    assert got == {t: s for t in trigrams if (s := {k for x, k in keys.items() if t in low[x]})}
+    holds = lambda text, query: all(any(all(t in low[text] for t in some) for some in clause) for clause in query)
+    want = {k: sorted(n for n, q in enumerate(queries) if q and holds(x, q)) for x, k in keys.items()}
+    told = {r["key"]: sorted(r["rules"]) for r in secrets.candidates(lists, queries).collect()}
+    assert told == {k: ns for k, ns in want.items() if ns}
+    for x, k in keys.items():  # no match without its trigrams
+        for n, rule in enumerate(rules):
+            assert not queries[n] or not re.search(rule.pattern, x) or n in want[k]
+
+
+def test_candidates_beyond_a_broadcast(spark, planted):
+    """More candidates than every task gets: they meet the texts in a shuffle, with the same spans."""
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(planted)], DOCS)
+    out = secrets.scan(docs, few=3).select("doc_id", secrets.told(F.col("found")).alias("s"))
+    assert {r["doc_id"]: r["s"] for r in out.collect()} == {i: brute_spans(t) for i, t in enumerate(planted)}
+
+
+def test_rules_without_trigrams_need_no_index(spark):
+    rules = [secrets.Rule("hex", "[0-9a-f]{4,}", 0, 4)]
+    out = secrets.scan(spark.createDataFrame([(1, "x beef", "en", "a", 0), (2, None, "en", "a", 0)], DOCS), rules)
+    assert {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in out.collect()} == {1: [(2, 6)], 2: []}
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = "word " * 200_000 + "password: hunter22 " + "x" * 300_000
+    out = secrets.scan(spark.createDataFrame([(1, text, "en", "a", 0), (2, "word", "en", "a", 0)], DOCS)).select("doc_id", secrets.told(F.col("found")).alias("s"))
+    assert {r["doc_id"]: r["s"] for r in out.collect()} == {1: brute_spans(text), 2: ""}
+
+
 def test_postings_answer_more_than_one_word_of_trigrams(spark):
     words = [f"{a}{b}{c}" for a in "abcde" for b in "xyz" for c in "01234567"]
     rules = [secrets.Rule(w, w, 0, 3) for w in words]
