@@ -16,8 +16,8 @@ BITS = 18
 #: Most labelled rows that a fit reads, and the models it averages.
 SAMPLE = 30_000
 SHARDS = 8
-#: Examples that a model sees at least, in 3 to 40 passes over its own.
-SEEN = 20_000
+#: Passes of a model over its examples, however many it has.
+PASSES = 40
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 0.001, 0.001
 
 _words = re.compile(r"\w+|[^\w\s]+").findall
@@ -87,14 +87,14 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(texts, labels, bits: int = BITS) -> np.ndarray:
-    """Weights of one leader that goes through the examples a few times, in their order."""
+    """Weights of one leader that goes through the examples PASSES times, in their order."""
     slots, values = Growing(np.int32), Growing(np.float32)
     for text in texts:
         at, x = features(text, bits)
         slots.extend([at])
         values.extend([x])
     leader, ends = Leader(bits), slots.ends.tolist()
-    for _ in range(min(40, max(3, SEEN // max(slots.n, 1)))):
+    for _ in range(PASSES):
         for a, b, label in zip(ends, ends[1:], labels):
             leader.learn(slots.flat[a:b], values.flat[a:b].astype(np.float64), label)
     return leader.weights_at(np.arange(1 << bits))
@@ -103,10 +103,11 @@ def train(texts, labels, bits: int = BITS) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int = SHARDS, bits: int = BITS) -> np.ndarray:
     """Weights from about `sample` labelled ids, chosen and ordered by a hash of doc_id.
 
-    They are dealt to a fixed number of shards; each goes through its own leader a few times, in the
+    They are dealt to a fixed number of shards; each goes through its own leader PASSES times, in the
     order of the hash, and the models are averaged. The driver gets `shards` arrays of 2**bits floats.
     Held-out ids, null labels, null ids and ids with both labels take no part; of several rows of an
-    id the least text does. No rows give zero weights.
+    id the least text does. No rows give zero weights. Texts are whole, however long: a task holds those of
+    its shard, at most about `sample` / `shards` texts.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int =
 def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """All columns of docs, and score and predicted, by one pass over the whole texts; no shuffle.
 
-    Null and empty texts score by the bias alone. Columns of docs named score or predicted are replaced.
+    Null and empty texts score by the bias alone; very long ones are read whole, a task holding one Arrow
+    batch of texts. Columns of docs named score or predicted are replaced.
     """
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))

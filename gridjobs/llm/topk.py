@@ -27,11 +27,19 @@ GATHERED = 10.0
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products; floating point only where every sum stays below 2**53."""
+    """Exact integer products; floating point only where every sum stays below 2**53.
+
+    Where a sum could pass 64 bits it is made of Python's integers, and OverflowError raised if it does.
+    """
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[-1], 1)
     if largest < 1 << 53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if largest < 1 << 62:
+        return q @ c.T
+    exact = q.astype(object) @ c.astype(object).T
+    if exact.size and max(abs(exact.min()), abs(exact.max())) > np.iinfo(np.int64).max:
+        raise OverflowError("an inner product goes beyond 64 bits")
+    return exact.astype(np.int64)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int, least: float, own: int):
@@ -190,12 +198,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bucket: int = BUCK
 def quantized(embeddings: DataFrame, scale: int = 256) -> DataFrame:
     """vec_id and v = floor(scale * x) of vectors whose components are all finite numbers.
 
-    A vector that is null or holds a null, a nan or an infinity takes no part, nor does a null vec_id.
+    A vector that is null or holds a null, a nan or an infinity takes no part, nor does a null vec_id. A
+    finite component that is no 64-bit integer then is an error, as its score would be none either.
     """
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+    whole = lambda e: F.when(F.abs(e * float(scale)) < float(1 << 63), F.floor(e * float(scale))).otherwise(F.raise_error("an embedding component is beyond 64 bits").cast("long"))
     usable = embeddings.filter(F.col("vec_id").isNotNull() & x.isNotNull() & finite)
-    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * float(scale))).alias("v"))
+    return usable.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def op1_topk(spark, sf_dir: str) -> DataFrame:

@@ -115,6 +115,30 @@ def test_topk_measures_which_pruning_pays(spark):
     assert told == {"switch": float("inf"), "by_length": 20, "by_coordinates": 0}
 
 
+def test_topk_of_huge_and_empty_vectors(spark):
+    """Scores up to 64 bits are exact; beyond, the query fails rather than be wrong."""
+    big = 2**30
+    rows = [(0, [big, big + 1]), (1, [big, -big]), (50, [big - 1, big]), (100, []), (150, [])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id in (0, 50, 100)"), 5).collect())
+    assert got == brute_python([(i, v) for i, v in rows], [0, 50, 100], 5)
+    over = spark.createDataFrame([(0, [2**40, 1]), (1, [2**40, 2])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(over, over.where("vec_id = 0"), 5).collect()
+    far = spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.quantized(far).collect()
+
+
+def brute_python(rows, asked, k):
+    out = []
+    for q in asked:
+        u = dict(rows)[q]
+        found = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, v in rows if i != q and len(v) == len(u))
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
+    return sorted(out)
+
+
 def test_topk_bad_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.5]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf"), 0.0]), (50, [2.0, -0.001]), (None, [1.0, 1.0])]
     v = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
@@ -669,6 +693,18 @@ def test_jaccard_components(spark, seed):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
 
 
+def test_jaccard_with_dealt_lists_and_shuffled_lookups(spark, monkeypatch):
+    """Open lists dealt to many tasks, sketches added level by level, lookups without a broadcast, and a
+    passage that all documents share."""
+    for name, least in (("LISTED", 2), ("ADDED", 2), ("FEW", 1)):
+        monkeypatch.setattr(jaccard, name, least)
+    shared = " ".join(f"s{k}" for k in range(12))
+    rows = [(i, f"{t} {shared}") for i, t in near_rows(5)] + [(9000 + k, shared) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()}
+    assert got == brute_components(rows)
+
+
 def test_jaccard_hard_cases(spark, hard, none):
     out = jaccard.near_duplicates(hard).toPandas()
     assert len(out) == len(HARD) and set(out.loc[out["doc_id"].isin([1, 4]), "component_id"]) == {1}
