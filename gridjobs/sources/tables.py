@@ -154,6 +154,13 @@ SEMANTICS = {
 }
 
 
+#: How the precipitation columns come from a source's variable.
+PRECIPITATION = {
+    "avg_tprate": "mean rate in kg m-2 s-1 times 86400 gives mm a day, times the days of the month mm a month",
+    "tp": "metres times 1000 give mm a month, divided by the days of the month mm a day",
+}
+
+
 def bounds_to_json(bounds: dict[str, float]) -> str:
     """A box as JSON text, its sides in a fixed order."""
     return json.dumps({k: float(bounds[k]) for k in BOUNDS})
@@ -165,13 +172,17 @@ def bounds_from_json(c) -> Column:
     return F.when(F.forall(F.array(*(box[k] for k in BOUNDS)), lambda x: x.isNotNull()), box)
 
 
-def write_summary_json(df: DataFrame, path: str, label: str, mode: str, bounds: dict[str, float] | None = None, sources: dict[str, str] | None = None, selection: str | None = None, cell_rows: int | None = None) -> None:
-    """One row about an area-month table: period and counts, box, sources and what its columns mean."""
+def write_summary_json(df: DataFrame, path: str, label: str, mode: str, bounds: dict[str, float] | None = None, sources: dict[str, str] | None = None, selection: str | None = None, cell_rows: int | None = None, requested: tuple[str, str] | None = None, precipitation: str | None = None) -> None:
+    """One row about an area-month table: period and counts, box, sources and what its columns mean.
+
+    requested: the months asked for, which may have no rows; precipitation: from which variable its
+    columns come (avg_tprate or tp), told with how they were converted.
+    """
     species = F.count("species_count_observed_area") if "species_count_observed_area" in df.columns else F.lit(None).cast("long")
     cells = F.max("cell_count_land") if "cell_count_land" in df.columns else F.lit(None).cast("long")
     box = F.struct(*(F.lit(float(bounds[k])).alias(k) for k in BOUNDS)) if bounds else F.lit(None).cast("string")
     row = df.agg(
-        F.lit(label).alias("label"), F.lit(mode).alias("mode"), F.lit(selection).cast("string").alias("selection_mode"), box.alias("bounds"), F.min("month").alias("first_month"), F.max("month").alias("last_month"),
+        F.lit(label).alias("label"), F.lit(mode).alias("mode"), *(F.lit(requested[k] if requested else None).cast("string").alias(n) for k, n in enumerate(("requested_start", "requested_end"))), F.lit(PRECIPITATION.get(precipitation)).cast("string").alias("precipitation_conversion"), F.lit(selection).cast("string").alias("selection_mode"), box.alias("bounds"), F.min("month").alias("first_month"), F.max("month").alias("last_month"),
         F.countDistinct("month").alias("months"), cells.alias("cell_count_land"), F.lit(cell_rows).cast("long").alias("cell_rows"), species.alias("species_months_with_records"),
         *(F.lit(v).alias(f"{k}_source") for k, v in (sources or {}).items()), *(F.lit(v).alias(k) for k, v in SEMANTICS.items()))
     row.write.mode("overwrite").json(path)

@@ -58,6 +58,9 @@ def test_csv_round_trip(spark, tmp_path):
     tables.write_summary_json(df, str(tmp_path / "s"), "x", "city", box, {"temperature": "t.nc"}, cell_rows=7)
     told = spark.read.json(str(tmp_path / "s")).first()
     assert told["months"] == 1 and told["bounds"].asDict() == box and told["temperature_source"] == "t.nc" and told["cell_rows"] == 7 and "species_note" in told
+    tables.write_summary_json(df, str(tmp_path / "r"), "x", "city", requested=("2019-12", "2020-02"), precipitation="tp")
+    told = spark.read.json(str(tmp_path / "r")).first()
+    assert (told["requested_start"], told["requested_end"]) == ("2019-12", "2020-02") and told["precipitation_conversion"].startswith("metres")
     texts = spark.createDataFrame([(tables.bounds_to_json(box),), ('{"min_lat": 1}',), ("x",)], "j string")
     assert [r[0] and r[0].asDict() for r in texts.select(tables.bounds_from_json("j")).collect()] == [box, None, None]
 
