@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridjobs.functions.grid import STEP, areas_range_join, inside, snap_to_grid
 from gridjobs.functions.months import month_start
+from gridjobs.functions.tables import few
 
 #: Side of a block of raw cells that a box takes whole.
 BLOCK = 16
@@ -50,20 +51,27 @@ def species_areas(occ: DataFrame, areas: DataFrame, start: str | None = None, en
 
     Records meet boxes by cell keys. Records of a cell that no box ends in count once for each month and
     species, before the join; only those of edge cells keep their coordinates and are tested. max_steps:
-    an area's first so many months with records. Areas of one key count together.
+    an area's first so many months with records. Areas of one key count together, and areas of one box are
+    looked up once.
     """
     rows = occ.dropna(subset=["species", "latitude", "longitude", "ts"]).select("species", "latitude", "longitude", month_start("ts").alias("month"))
     if start:
         rows = rows.where(F.col("month").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     rows = rows.withColumns({"lat_c": raw_cell("latitude"), "lon_c": raw_cell("longitude")})
-    boxes = box_cells(areas, key, block)
+    # areas of the same box are looked up once
+    sides = F.struct(*SIDES)
+    boxes = box_cells(areas.select(sides.alias("box"), *SIDES).distinct(), "box", block)
     cells = rows.select("month", "species", "lat_c", "lon_c").distinct()
     blocks = cells.select("month", "species", F.floor(F.col("lat_c") / block).cast("int").alias("lat_c"), F.floor(F.col("lon_c") / block).cast("int").alias("lon_c")).distinct()
     cell = ["lat_c", "lon_c"]
-    inner = cells.join(boxes.where("size = 1 and not edge").select(key, *cell), cell).select(key, "month", "species")
-    wide = blocks.join(boxes.where(f"size = {block} and not edge" if block > 1 else "false").select(key, *cell), cell).select(key, "month", "species")
-    edges = rows.join(boxes.where("edge").drop("size", "edge"), cell).where(inside({k: F.col(k) for k in SIDES})).select(key, "month", "species")
-    found = inner.unionByName(wide).unionByName(edges).distinct()
+    inner = cells.join(boxes.where("size = 1 and not edge").select("box", *cell), cell).select("box", "month", "species")
+    wide = blocks.join(boxes.where(f"size = {block} and not edge" if block > 1 else "false").select("box", *cell), cell).select("box", "month", "species")
+    edges = rows.distinct().join(boxes.where("edge").drop("size", "edge"), cell).where(inside({k: F.col(k) for k in SIDES})).select("box", "month", "species")
+    by_box = inner.unionByName(wide).unionByName(edges).distinct()
+    named = few(areas.select(key, sides.alias("box")).distinct())
+    found = by_box.join(named, "box").select(key, "month", "species")
+    if not areas.select(key, *SIDES).distinct().groupBy(key).count().where("count > 1").isEmpty():
+        found = found.distinct()
     counts = found.groupBy(key, "month").agg(F.count("*").alias("species_count_observed_area"))
     if max_steps is None:
         return counts

@@ -29,15 +29,19 @@ def frame_of(rows: DataFrame) -> dict[str, int] | None:
 
 
 def cell_boxes(areas: DataFrame, frame: dict[str, int], key: str) -> DataFrame:
-    """(key, lat0, lat1, lon0, lon1): the cells of every area inside the frame; lat0 > lat1 or lon0 > lon1
-    if there are none. A grid coordinate is its key times a power of two, so no cell is misplaced."""
+    """(key, box, lat0, lat1, lon0, lon1): the cells of every area inside the frame, and one number for
+    the four sides; box -1 and null sides if there are none. A grid coordinate is its key times a power of
+    two, so no cell is misplaced."""
     low = lambda c, least: F.greatest(F.ceil(F.col(c) / STEP).cast("int"), F.lit(least))
     high = lambda c, most: F.least(F.floor(F.col(c) / STEP).cast("int"), F.lit(most))
+    sides = {"lat0": low("min_lat", frame["lat0"]), "lat1": high("max_lat", frame["lat1"]), "lon0": low("min_lon", frame["lon0"]), "lon1": high("max_lon", frame["lon1"])}
     known = F.col("min_lat").isNotNull() & F.col("max_lat").isNotNull() & F.col("min_lon").isNotNull() & F.col("max_lon").isNotNull()
-    some = lambda c, nothing: F.when(known, c).otherwise(F.lit(nothing))
-    return areas.select(
-        key, some(low("min_lat", frame["lat0"]), frame["lat1"] + 1).alias("lat0"), some(high("max_lat", frame["lat1"]), frame["lat0"] - 1).alias("lat1"),
-        some(low("min_lon", frame["lon0"]), frame["lon1"] + 1).alias("lon0"), some(high("max_lon", frame["lon1"]), frame["lon0"] - 1).alias("lon1"))
+    rows = areas.select(key, known.alias("_known"), *(c.alias(n) for n, c in sides.items()))
+    full = F.col("_known") & (F.col("lat0") <= F.col("lat1")) & (F.col("lon0") <= F.col("lon1"))
+    packed = F.lit(0).cast("long")
+    for n in sides:  # a side is within 2^15 cells of the equator or the meridian
+        packed = packed * (1 << 16) + (F.col(n) + (1 << 14))
+    return rows.select(key, F.when(full, packed).otherwise(F.lit(-1)).alias("box"), *(F.when(full, F.col(n)).alias(n) for n in sides))
 
 
 def level(low: str, high: str) -> Column:
@@ -45,12 +49,11 @@ def level(low: str, high: str) -> Column:
     return F.floor(F.log2(F.col(high) - F.col(low) + 1)).cast("int")
 
 
-def corners(boxes: DataFrame, frame: dict[str, int], key: str) -> DataFrame:
-    """(key, lat_i, lon_i, sign, a, b): the cells to look up for every box.
+def corners(boxes: DataFrame, frame: dict[str, int]) -> DataFrame:
+    """(box, lat_i, lon_i, sign, a, b): the cells to look up for every different box, at most eight.
 
     sign: what the prefix sum there counts; a, b: whether the block of 2^a x 2^b cells from there is asked
-    for its extremes. Every box has a row at the last cell of the frame that counts nothing, so boxes
-    without cells are found too.
+    for its extremes. The box without cells looks up one that counts nothing, so it is found too.
     """
     at = lambda lat, lon, sign, a, b: F.struct(lat.cast("int").alias("lat_i"), lon.cast("int").alias("lon_i"), F.lit(sign).alias("sign"), a.cast("int").alias("a"), b.cast("int").alias("b"))
     no, (lat0, lat1, lon0, lon1) = F.lit(None), (F.col(c) for c in ("lat0", "lat1", "lon0", "lon1"))
@@ -58,18 +61,19 @@ def corners(boxes: DataFrame, frame: dict[str, int], key: str) -> DataFrame:
     far_lat, far_lon = lat1 - F.pow(F.lit(2), a) + 1, lon1 - F.pow(F.lit(2), b) + 1
     sums = (at(lat1, lon1, 1, no, no), at(lat0 - 1, lon1, -1, no, no), at(lat1, lon0 - 1, -1, no, no), at(lat0 - 1, lon0 - 1, 1, no, no))
     blocks = (at(x, y, 0, a, b) for x in (lat0, far_lat) for y in (lon0, far_lon))
-    full = (lat0 <= lat1) & (lon0 <= lon1)
     base = at(F.lit(frame["lat1"]), F.lit(frame["lon1"]), 0, no, no)
-    rows = boxes.withColumns({"a": F.when(full, level("lat0", "lat1")), "b": F.when(full, level("lon0", "lon1"))})
-    rows = rows.select(key, F.explode(F.when(full, F.array(base, *sums, *blocks)).otherwise(F.array(base))).alias("c")).select(key, "c.*")
-    return rows.where((F.col("lat_i") >= frame["lat0"]) & (F.col("lon_i") >= frame["lon0"]))
+    rows = boxes.select("box", "lat0", "lat1", "lon0", "lon1").distinct().withColumns({"a": level("lat0", "lat1"), "b": level("lon0", "lon1")})
+    rows = rows.select("box", F.explode(F.when(F.col("box") >= 0, F.array(*sums, *blocks)).otherwise(F.array(base))).alias("c")).select("box", "c.*")
+    inside = rows.where((F.col("lat_i") >= frame["lat0"]) & (F.col("lon_i") >= frame["lon0"]))
+    return inside.groupBy("box", "lat_i", "lon_i").agg(F.sum("sign").cast("int").alias("sign"), F.max("a").alias("a"), F.max("b").alias("b"))
 
 
 def box_totals(maps: DataFrame, keys: list[str], sums: dict[str, Column], extremes: dict[str, Column], areas: DataFrame, key: str = "area_label", frame: dict[str, int] | None = None) -> DataFrame:
     """(keys, key, sums, <name>_min and <name>_max of extremes) for every map and area.
 
     maps: by_map rows with lat_i, lon_i; several rows of a cell are added up. sums must not be null. Areas
-    may overlap; an area without cells has sums of 0 and null extremes; areas of one key count together.
+    may overlap; an area without cells has sums of 0 and null extremes; areas of one key count together, and
+    areas that hold the same cells are looked up once.
     A map is as large as the frame of all maps (found in one pass, unless it is given), a bounded number of
     cells that one task sorts. Maps or areas without rows give none.
     """
@@ -78,7 +82,7 @@ def box_totals(maps: DataFrame, keys: list[str], sums: dict[str, Column], extrem
         blank = maps.limit(0).select(*keys, *(c.alias(n) for n, c in sums.items()), *(c.alias(f"{n}_{k}") for n, c in extremes.items() for k in ("min", "max")))
         return blank.crossJoin(areas.limit(0).select(key)).select(*keys, key, *(c for c in blank.columns if c not in keys))
     boxes = cell_boxes(areas, frame, key)
-    asked = corners(boxes, frame, key)
+    asked = corners(boxes, frame)
     levels = sorted((r["a"], r["b"]) for r in asked.where("a is not null").select("a", "b").distinct().collect()) if extremes else []  # at most log2 of height times log2 of width
 
     # every cell of the frame, once a map: the first row of a map brings those of no value
@@ -107,7 +111,12 @@ def box_totals(maps: DataFrame, keys: list[str], sums: dict[str, Column], extrem
 
     found = table.join(few(asked), ["lat_i", "lon_i"])
     of_level = lambda n, k: F.coalesce(*(F.when((F.col("a") == a) & (F.col("b") == b), F.col(f"_{n}_{k}_{a}_{b}")) for a, b in levels), F.lit(None).cast(kinds[f"_{n}"]))
-    return found.groupBy(*keys, key).agg(*(F.sum(F.col(n) * F.col("sign")).cast(kinds[n]).alias(n) for n in sums), *((F.min if k == "min" else F.max)(of_level(n, k)).alias(f"{n}_{k}") for n, k in names))
+    extreme = {"min": F.min, "max": F.max}
+    totals = found.groupBy(*keys, "box").agg(*(F.sum(F.col(n) * F.col("sign")).cast(kinds[n]).alias(n) for n in sums), *(extreme[k](of_level(n, k)).alias(f"{n}_{k}") for n, k in names))
+    told = totals.join(few(boxes.select(key, "box")), "box").drop("box")
+    if areas.groupBy(key).count().where("count > 1").isEmpty():
+        return told.select(*keys, key, *sums, *(f"{n}_{k}" for n, k in names))
+    return told.groupBy(*keys, key).agg(*(F.sum(n).cast(kinds[n]).alias(n) for n in sums), *(extreme[k](f"{n}_{k}").alias(f"{n}_{k}") for n, k in names))
 
 
 def metrics_of_totals() -> dict[str, Column]:
