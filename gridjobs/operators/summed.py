@@ -18,8 +18,9 @@ from gridjobs.operators.metrics import continuous_metrics, valid_pair
 
 
 def by_map(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The one shuffle: all rows of a map in one partition, as many maps as there are spread over all."""
-    return rows.repartition(*keys)
+    """The one shuffle: all rows of a map in one partition, maps spread over as many partitions as the
+    session has for shuffles. They are not joined to fewer, as a few cells give rows for many areas."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def frame_of(rows: DataFrame) -> dict[str, int] | None:

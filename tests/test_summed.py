@@ -66,7 +66,7 @@ def test_area_metrics_equal_the_join_of_all_cells(pairs, areas):
 def test_cells_meet_areas_at_corners_only(spark, pairs, areas):
     """One shuffle of the cells, and the join has a few rows for each area."""
     plan = summed.area_metrics(pairs, areas, KEYS)._jdf.queryExecution().executedPlan().toString()
-    assert len(re.findall("REPARTITION_BY_COL", plan)) == 2  # one for the tables and, the same exchange, one for whole maps
+    assert len(re.findall("REPARTITION_BY_NUM", plan)) == 2  # one for the tables and, the same exchange, one for whole maps
     assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
     frame = {"lat0": 160, "lat1": 172, "lon0": -9, "lon1": 11}
     boxes = summed.cell_boxes(areas, frame, "area_label")
