@@ -271,3 +271,11 @@ def test_two_weighted_means(spark):
     df = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (4.0, 1.0)], "v double, latitude_weight double")
     assert df.agg(observed.weighted_mean("v")).first()[0] == pytest.approx(2.0)
     assert df.agg(observed.weighted_mean(F.lit(None).cast("double"))).first()[0] is None
+
+
+def test_lists_of_cities(spark):
+    from gridjobs.functions import text
+
+    rows = [(" Milan, Rome;Paris ",), (",;, ",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string").select(text.split_list("c")).collect()]
+    assert got == [["Milan", "Rome", "Paris"], [], [], None]
