@@ -2,8 +2,10 @@
 
 Equal texts form a group that is never divided. Groups, largest first, enter the bin with the least
 remaining capacity that still holds them, found in a balanced tree ordered by remaining capacity;
-the capacity is the smallest with which the wanted number of bins suffices. Groups of one size are
-placed together: the tightest bin takes as many as it holds, as it stays the tightest while it can.
+the capacity is the smallest with which the wanted number of bins suffices. Groups are placed in runs:
+the tightest bin takes groups, of whatever sizes, until one no longer fits or sizes fall to the room of a
+tighter bin. Both ends are found by binary search in running sums, and a bin that is met again has at
+most half its room, so a packing takes some bins * log2(largest size) steps, however many sizes there are.
 """
 
 from __future__ import annotations
@@ -62,70 +64,115 @@ class Tree:
         return key
 
 
+    def most_below(self, size: int) -> int:
+        """The most remaining capacity below size; 0 if there is none."""
+        node, most = self.root, 0
+        while node is not None:
+            if node[0][0] < size:
+                most, node = node[0][0], node[3]
+            else:
+                node = node[2]
+        return most
+
+
 Run = tuple[int, int]  # bin, groups
 
 
-def best_fit(classes: list[tuple[int, int]], capacity: int, most_bins: int | None = None) -> list[list[Run]] | None:
-    """For each (size, groups) the bins that take them in turn; sizes must be descending.
+def runs_of(sizes: np.ndarray, many: np.ndarray, capacity: int, most_bins: int | None = None) -> list[Run] | None:
+    """Best fit of all groups, largest first: which bin takes how many of them next.
 
-    None if more than most_bins bins are needed.
+    sizes: different sizes, descending; many: the groups of each. None if more than most_bins bins are needed.
     """
+    groups, total, falling = np.cumsum(many), np.cumsum(sizes * many), -sizes
     tree, bins, out = Tree(), 0, []
-    for size, many in classes:
+    k = placed = used = 0  # the size at hand; groups and bytes placed
+    while k < len(sizes):
+        size = int(sizes[k])
+        found = tree.take_least(size)
+        if found is None:
+            if bins == most_bins or size > capacity:
+                return None
+            found, bins = (capacity, bins), bins + 1
+        room, own = found
+        tighter = int(np.searchsorted(falling, -tree.most_below(size), "left"))  # first size for which another bin is tighter
+        full = int(np.searchsorted(total, used + room, "right"))  # first size of which not all fit
+        if tighter <= full:
+            k, after, spent = tighter, int(groups[tighter - 1]), int(total[tighter - 1])
+        else:
+            start, spent = (placed, used) if full == k else (int(groups[full - 1]), int(total[full - 1]))
+            fit = (used + room - spent) // int(sizes[full])
+            k, after, spent = full, start + fit, spent + fit * int(sizes[full])
+        out.append((own, after - placed))
+        tree.add((room - (spent - used), own))
+        placed, used = after, spent
+    return out
+
+
+def by_size(many, runs: list[Run]) -> list[list[Run]]:
+    """Runs over all groups, cut at the ends of sizes."""
+    out, left = [], list(reversed(runs))
+    for n in many:
         own = []
-        while many:
-            found = tree.take_least(size)
-            if found is None:
-                if bins == most_bins or size > capacity:
-                    return None
-                found, bins = (capacity, bins), bins + 1
-            took = min(many, found[0] // size)
-            own.append((found[1], took))
-            tree.add((found[0] - took * size, found[1]))
-            many -= took
+        while n:
+            b, took = left.pop()
+            if took > n:
+                left.append((b, took - n))
+                took = n
+            own.append((b, took))
+            n -= took
         out.append(own)
     return out
 
 
-def into_bins(classes: list[tuple[int, int]], bins: int) -> list[list[Run]]:
-    """Best fit with the smallest capacity (to a part in 100,000) that fills no more than so many bins.
+def best_fit(classes: list[tuple[int, int]], capacity: int, most_bins: int | None = None) -> list[list[Run]] | None:
+    """For each (size, groups) the bins that take them in turn; sizes must be descending.
+
+    None if more than most_bins bins are needed.
+    """
+    many = [n for _, n in classes]
+    runs = runs_of(np.array([s for s, _ in classes], np.int64), np.array(many, np.int64), capacity, most_bins)
+    return None if runs is None else by_size(many, runs)
+
+
+def runs_into(sizes: np.ndarray, many: np.ndarray, bins: int) -> list[Run]:
+    """runs_of with the smallest capacity (to a part in 100,000) that fills no more than so many bins.
 
     A group beyond the mean of the bins still open gets a bin of its own, so that the others stay equal.
     """
-    total, alone = sum(s * m for s, m in classes), []
-    while classes and len(alone) < bins - 1 and classes[0][0] * (bins - len(alone)) > total:
-        size, many = classes[0]
-        alone.append(size)
-        total -= size
-        classes = [(size, many - 1), *classes[1:]] if many > 1 else classes[1:]
-    left = bins - len(alone)
-    low = max([-(-total // left), *(s for s, _ in classes[:1])])
-    high = low + max((s for s, _ in classes[:1]), default=1)
-    while (best := best_fit(classes, high, left)) is None:
+    many, total, alone, k = many.copy(), int((sizes * many).sum()), 0, 0
+    while k < len(sizes) and alone < bins - 1 and int(sizes[k]) * (bins - alone) > total:
+        alone, total = alone + 1, total - int(sizes[k])
+        many[k] -= 1
+        k += not many[k]
+    sizes, many, left = sizes[k:], many[k:], bins - alone
+    largest = int(sizes[0]) if len(sizes) else 0
+    low = max(-(-total // left), largest)
+    high = low + (largest or 1)
+    while (best := runs_of(sizes, many, high, left)) is None:
         low, high = high + 1, high * 2
     while high - low > low // 100_000:
         mid = (low + high) // 2
-        got = best_fit(classes, mid, left)
+        got = runs_of(sizes, many, mid, left)
         if got is None:
             low = mid + 1
         else:
             best, high = got, mid
-    out = [[(b + len(alone), n) for b, n in own] for own in best]
-    for k in range(len(alone) - 1, -1, -1):  # the groups put aside, back before those of their size
-        if classes and classes[0][0] == alone[k]:
-            out[0] = [(k, 1), *out[0]]
-            continue
-        classes, out = [(alone[k], 1), *classes], [[(k, 1)], *out]
-    return out
+    return [(b, 1) for b in range(alone)] + [(b + alone, n) for b, n in best]
+
+
+def into_bins(classes: list[tuple[int, int]], bins: int) -> list[list[Run]]:
+    """runs_into for (size, groups) pairs of descending sizes: for each the bins that take them in turn."""
+    many = [n for _, n in classes]
+    return by_size(many, runs_into(np.array([s for s, _ in classes], np.int64), np.array(many, np.int64), bins))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Put every row into a shard so that the shards' bytes are nearly equal, with a gapless slot.
 
-    Groups of equal texts are never divided. The driver packs (size, groups) pairs, one for each
-    distinct size of a group: their number grows with the variety of sizes (at most the square root
-    of twice all bytes), not with the documents. Groups are numbered by size, and a group's number
-    tells its shard. A group of more bytes than the mean shard has a shard of its own; then that shard
+    Groups of equal texts are never divided. The driver packs two arrays, the distinct sizes of groups
+    and how many groups have each: their number grows with the variety of sizes (at most the square root
+    of twice all bytes, 230 MB of them at 100 TB), not with the documents, and the steps of packing with
+    neither. Groups are numbered by size, and a group's number tells its shard. A group of more bytes than the mean shard has a shard of its own; then that shard
     is larger than the others, which is the one case in which their bytes are not nearly equal.
 
     Null text has no bytes and counts as equal to the empty text; a null doc_id is kept; repeated rows
@@ -136,13 +183,12 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group")), "shard-sizes")
     groups = written(slim.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
-    sizes = groups.groupBy("bytes").agg(F.count("*").alias("many"), F.sum("n").alias("n")).toPandas().sort_values("bytes")
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("many"), F.sum("n").alias("n")).toPandas().sort_values("bytes", ascending=False)
     rows = int(sizes["n"].sum())
-    classes = list(zip(sizes["bytes"].tolist(), sizes["many"].tolist()))
-    runs = into_bins(classes[::-1], shards)[::-1] if classes else []
     # groups in order of size, numbered; the places from which on a shard takes them
-    starts = np.cumsum([0, *(n for own in runs for _, n in own)])[:-1]
-    shared = spark.sparkContext.broadcast((starts, np.array([b for own in runs for b, _ in own], np.int32)))
+    runs = runs_into(sizes["bytes"].to_numpy(np.int64), sizes["many"].to_numpy(np.int64), shards)[::-1] if rows else []
+    starts = np.cumsum([0, *(n for _, n in runs)])[:-1]
+    shared = spark.sparkContext.broadcast((starts, np.array([b for b, _ in runs], np.int32)))
 
     @F.pandas_udf("int")
     def shard_of(idx):

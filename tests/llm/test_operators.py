@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -179,6 +180,33 @@ def test_best_fit_takes_the_tightest_bin():
         assert bins_of(sharding.best_fit(classes_of(sizes), 100)) == brute_fit(sizes, 100)
 
 
+def test_packing_many_sizes_takes_few_steps():
+    rng = np.random.default_rng(5)
+    sizes = np.unique(rng.integers(1, 1 << 40, 300_000))[::-1].copy()
+    many = rng.integers(1, 50, len(sizes))
+    began = time.time()
+    runs = sharding.runs_into(sizes, many, 16)
+    assert time.time() - began < 10 and len(runs) < 16 * 41 * 2 and sum(n for _, n in runs) == many.sum()
+    loads, at = np.zeros(16), 0
+    each = np.repeat(sizes, many)
+    for b, n in runs:
+        loads[b] += each[at : at + n].sum()
+        at += n
+    assert loads.max() <= 1.00002 * loads.mean()
+
+
+def test_runs_are_the_best_fit_of_single_groups():
+    rng = random.Random(4)
+    for _ in range(80):
+        top = rng.choice((3, 30, 500))
+        sizes = sorted((int(top ** rng.random()) for _ in range(rng.randint(0, 120))), reverse=True)
+        most = rng.choice((None, 1, 4, 9))
+        got, want = sharding.best_fit(classes_of(sizes), top + 40, most), brute_fit(sizes, top + 40)
+        many = len({b for b in want})
+        assert (got is None) == (most is not None and many > most)
+        assert got is None or bins_of(got) == want
+
+
 def test_large_groups_have_bins_of_their_own():
     assert sharding.into_bins([(1000, 1), (10, 30)], 4) == [[(0, 1)], [(1, 10), (2, 10), (3, 10)]]
     assert sharding.into_bins([(50, 3)], 3) == [[(0, 1), (1, 1), (2, 1)]] and sharding.into_bins([(5, 2), (1, 5)], 1) == [[(0, 2)], [(0, 5)]]
