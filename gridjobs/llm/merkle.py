@@ -1,7 +1,9 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
 Paragraphs (lines) are cut into leaves where the characters say so, by one rule for texts of every
-length, so an edit moves the cuts near it alone. A paragraph hashes its leaves, a section the
+length, so an edit moves the cuts near it alone. Leaves start fine and grow with their distance from the
+start of the text, so a short text has several too: of any text whose last quarter changes, leaves of
+half of it or more stay. A paragraph hashes its leaves, a section the
 neighbouring paragraphs up to one whose own hash ends it, the root the sections. Equal roots mean
 equal texts, and only branches that differ are compared further.
 """
@@ -23,6 +25,8 @@ from gridjobs.llm.tokens import groups_of, utf8
 
 #: Code points of a leaf, least and most, and of the window whose hash cuts one time in CUT.
 LEAST, MOST, WINDOW, CUT = 8, 32, 4, 16
+#: A leaf that starts p code points into the text has 1 + p // 8 at least and 2 + p // 4 at most, within these.
+LEASTS, MOSTS = [min(LEAST, 1 + p // 8) for p in range(4 * MOST)], [min(MOST, 2 + p // 4) for p in range(4 * MOST)]
 #: A leaf in a fingerprint: eight bytes of hash as 11 characters, and one for its code points.
 LEAF = 12
 _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -79,22 +83,25 @@ class Tree:
 
 def tree_of(text: str) -> Tree:
     """Leaves never reach over a line's end; a line's cuts are those whose window lies in it."""
+    grown = len(LEASTS)
     sections: list[tuple[str, list[str]]] = []
     own, hashes, cuts, k, start = [], [], cuts_of(text), 0, 0
     for paragraph in text.split("\n"):
         leaves, last, end = [], start, start + len(paragraph)
         while k < len(cuts) and cuts[k] < end:
             cut, k = cuts[k], k + 1
-            if cut < start + WINDOW or cut - last < LEAST:
+            if cut < start + WINDOW or cut - last < (LEAST if last >= grown else LEASTS[last]):
                 continue
-            while cut - last > MOST:
-                leaves.append(_leaves[text[last : last + MOST]])
-                last += MOST
-            if cut - last >= LEAST:
+            while cut - last > (most := MOST if last >= grown else MOSTS[last]):
+                leaves.append(_leaves[text[last : last + most]])
+                last += most
+            if cut - last >= (LEAST if last >= grown else LEASTS[last]):
                 leaves.append(_leaves[text[last:cut]])
                 last = cut
-        for at in range(last, end, MOST):
-            leaves.append(_leaves[text[at : min(at + MOST, end)]])
+        while last < end:
+            after = min(last + (MOST if last >= grown else MOSTS[last]), end)
+            leaves.append(_leaves[text[last:after]])
+            last = after
         start = end + 1
         own.append("".join(leaves))
         hashes.append(digest(own[-1].encode()))
