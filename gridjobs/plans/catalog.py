@@ -966,3 +966,6 @@ def search_cities(f):
 def resolve_city(f):
     asked = f.cities.select(F.upper("label").alias("query")).distinct()
     return cities.resolve_city(asked, catalog_of(f), 0.5).select("query", "label", "country", "min_lat", "max_lat")
+
+
+from gridjobs.plans import stored  # noqa: E402,F401  registers the queries of readers and writers
